@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shapeloom.functions.json_text import parse_strict
 from shapeloom.functions.paths import is_item, is_member, parent_of
 from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, parse_documents, shred_documents
-from shapeloom.session import cut
+from shapeloom.session import cut, small_side
+from shapeloom.sources.texts import not_blank, text_lines, whole_files
 
 # The JSON Schema type names.
 KINDS = ["array", "boolean", "integer", "null", "number", "object", "string"]
@@ -140,3 +142,64 @@ def infer_schema(
         docs = docs.join(approved.select("file").distinct(), "file", "left_semi")
     nodes = shred_documents(parse_documents(docs), ["dataset"], max_depth)
     return infer_paths(nodes, ["dataset"])
+
+
+# Fixed value: files above this size are not parsed as one value.
+WHOLE_FILE_BYTES = 500 * 1024 * 1024
+
+
+def file_documents(
+    spark: SparkSession,
+    path: str,
+    collection: str = "file",
+    existing: DataFrame | None = None,
+    whole_bytes: int = WHOLE_FILE_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """The JSON values of every raw file, and what became of each file.
+
+    A file whose lines all parse gives a value per line; any other gives one value, if it
+    parses as a whole and is not too large. Values come as ``dataset, file, v``; outcomes as
+    ``dataset, file, outcome``. Files in ``existing`` (``file``) are left out.
+    """
+    lines = text_lines(spark, path, collection).filter(not_blank(F.col("text")))
+    if existing is not None:
+        lines = lines.join(existing.select("file").distinct(), "file", "left_anti")
+    parsed = lines.withColumn("v", parse_strict(F.col("text")))
+    tried = cut(
+        parsed.groupBy("dataset", "file").agg(
+            F.count(F.lit(1)).alias("lines"), F.count_if(F.col("v").isNull()).alias("broken")
+        )
+    )
+    by_line = parsed.join(small_side(tried.filter("broken = 0").select("file")), "file", "left_semi")
+    second = tried.filter("broken > 0").select("file")
+    small = whole_files(spark, path, collection).filter(F.col("size_bytes") <= whole_bytes)
+    as_one = small.join(small_side(second), "file", "left_semi").withColumn(
+        "v", parse_strict(F.col("text"))
+    )
+    values = by_line.select("dataset", "file", "v").unionByName(
+        as_one.filter(F.col("v").isNotNull()).select("dataset", "file", "v")
+    )
+    parses = as_one.select("file", F.col("v").isNotNull().alias("parses"))
+    outcome = (
+        F.when(F.col("broken") == 0, "lines")
+        .when(F.col("parses").isNull(), "too_large")
+        .when(F.col("parses"), "whole")
+        .otherwise("unparsable")
+    )
+    outcomes = tried.join(parses, "file", "left").select(
+        "dataset", "file", outcome.alias("outcome")
+    )
+    return values, outcomes
+
+
+def infer_file_schemas(
+    spark: SparkSession,
+    path: str,
+    collection: str = "file",
+    existing: DataFrame | None = None,
+    whole_bytes: int = WHOLE_FILE_BYTES,
+    max_depth: int = DEFAULT_MAX_DEPTH,
+) -> DataFrame:
+    """Path table per raw file."""
+    values, _ = file_documents(spark, path, collection, existing, whole_bytes)
+    return infer_paths(shred_documents(values, ["dataset", "file"], max_depth), ["dataset", "file"])

@@ -17,8 +17,15 @@ _local_root: str | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set what the jobs rely on: repeated JSON keys resolve to the last one."""
+    """Set what the jobs rely on.
+
+    Repeated JSON keys resolve to the last one. How files are cut into splits must not change
+    while executors come and go, for jobs that read the same files twice.
+    """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
     checkpoint_root(spark)
     return spark
 
