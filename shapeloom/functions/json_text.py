@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOM = "\ufeff"
@@ -21,10 +21,25 @@ def strip_bom(text: Column) -> Column:
 def parse_strict(text: Column) -> Column:
     """The text as a variant, or NULL unless it is exactly one JSON value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
-    whole = (F.try_variant_get(wrapped, "$[1]", "string") == _MARK) & F.try_variant_get(
-        wrapped, "$[2]", "variant"
-    ).isNull()
-    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def whole(w: Column) -> Column:
+        ends = F.try_variant_get(w, "$[1]", "string") == _MARK
+        return ends & F.try_variant_get(w, "$[2]", "variant").isNull()
+
+    # Passed through an array, the parsed value is looked at three times but parsed once.
+    return F.get(
+        F.transform(F.array(wrapped), lambda w: F.when(whole(w), F.try_variant_get(w, "$[0]", "variant"))),
+        F.lit(0),
+    )
+
+
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that filters may refer to without computing it a second time.
+
+    The optimizer moves a filter below the column it tests by repeating the expression; it does
+    not do so across a generator.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value)))
 
 
 def brace_slice(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import parse_strict
+from shapeloom.functions.json_text import parse_strict, with_computed
 from shapeloom.functions.paths import is_item, is_member, parent_of
 from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, parse_documents, shred_documents
 from shapeloom.session import cut, small_side
@@ -164,7 +164,7 @@ def file_documents(
     lines = text_lines(spark, path, collection).filter(not_blank(F.col("text")))
     if existing is not None:
         lines = lines.join(existing.select("file").distinct(), "file", "left_anti")
-    parsed = lines.withColumn("v", parse_strict(F.col("text")))
+    parsed = with_computed(lines, "v", parse_strict(F.col("text")))
     tried = cut(
         parsed.groupBy("dataset", "file").agg(
             F.count(F.lit(1)).alias("lines"), F.count_if(F.col("v").isNull()).alias("broken")
@@ -173,8 +173,8 @@ def file_documents(
     by_line = parsed.join(small_side(tried.filter("broken = 0").select("file")), "file", "left_semi")
     second = tried.filter("broken > 0").select("file")
     small = whole_files(spark, path, collection).filter(F.col("size_bytes") <= whole_bytes)
-    as_one = small.join(small_side(second), "file", "left_semi").withColumn(
-        "v", parse_strict(F.col("text"))
+    as_one = with_computed(
+        small.join(small_side(second), "file", "left_semi"), "v", parse_strict(F.col("text"))
     )
     values = by_line.select("dataset", "file", "v").unionByName(
         as_one.filter(F.col("v").isNotNull()).select("dataset", "file", "v")

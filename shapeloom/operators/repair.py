@@ -11,6 +11,7 @@ from shapeloom.functions.json_text import (
     kind_sql,
     parse_strict,
     strip_bom,
+    with_computed,
 )
 from shapeloom.functions.paths import STEP_SQL
 from shapeloom.session import small_side
@@ -58,18 +59,17 @@ def repair_schema_text(schemas: DataFrame) -> DataFrame:
     ``ok``: the text parses, a byte order mark aside. ``sliced``: the part from the first brace
     to the last one does. ``failed``: neither, and ``v`` is NULL.
     """
-    parsed = schemas.withColumn("whole", parse_strict(strip_bom(F.col("text"))))
+    parsed = with_computed(schemas, "whole", parse_strict(strip_bom(F.col("text"))))
     sliced = F.when(F.col("whole").isNull(), parse_strict(brace_slice(F.col("text"))))
     return (
-        parsed.withColumn("sliced", sliced)
-        .withColumn("v", F.coalesce("whole", "sliced"))
+        with_computed(parsed, "v", F.coalesce("whole", sliced))
         .withColumn(
             "status",
             F.when(F.col("whole").isNotNull(), "ok")
-            .when(F.col("sliced").isNotNull(), "sliced")
+            .when(F.col("v").isNotNull(), "sliced")
             .otherwise("failed"),
         )
-        .drop("whole", "sliced")
+        .drop("whole")
     )
 
 
@@ -84,74 +84,66 @@ def _movable(key: str, value: str, mode: str) -> str:
     return f"({key} not in ({names}) and {_is_schema_like(value)})"
 
 
-def _look_at(source: str, carried: str, mode: str) -> str:
-    """What the repair and the vote want to know of the schema node ``v``, from its own members.
+def _forced(mode: str) -> str:
+    """The node ``v`` holds properties directly and is to be made an object around them.
 
-    ``forced``: the node holds properties directly and is made an object around them.
-    ``types``: the votes it casts; empty when its ``type`` has no usable form.
+    Only asked of nodes without ``properties`` that have an object among their members.
     """
     markers = ", ".join(f"'{name}'" for name in MARKER_KEYWORDS)
-    return f"""
-    select *,
-        case when forced and {_movable("'type'", 'type', mode)} then array('null')
-             when forced then array('object')
-             when type_form in ('absent', 'null') then array('null')
-             when type_form = 'string' then array(cast(type as string))
-             when type_form = 'array' then transform(
-                filter(try_variant_get(type, '$', 'array<variant>'), t -> not is_variant_null(t)),
-                t -> case schema_of_variant(t)
-                     when 'BOOLEAN' then initcap(cast(t as string))
-                     when 'STRING' then cast(t as string)
-                     else to_json(t) end)
-             else cast(array() as array<string>) end as node_types
-    from (
-        select *, coalesce(
-            exists(map_keys(members), k -> {_movable('k', 'members[k]', mode)})
-            and (coalesce(type_form = 'string' and cast(type as string) = 'object', false)
-                 or exists(array({markers}), k -> map_contains_key(members, k)
-                           and not {_movable('k', 'members[k]', mode)})), false) as forced
-        from (
-            select *,
-                coalesce({kind_sql('type')}, 'absent') as type_form,
-                coalesce({kind_sql('required')}, 'absent') as required_form,
-                try_variant_get(required, '$', 'array<variant>') as required_list,
-                case when not has_properties and contains(schema_of_variant(v), ': OBJECT<')
-                     then try_variant_get(v, '$', 'map<string,variant>') end as members
-            from (
-                select {carried}, v, type, properties, required,
-                    {is_object_sql('properties')} as has_properties
-                from (
-                    select {carried}, v,
-                        try_variant_get(v, '$.type') as type,
-                        try_variant_get(v, '$.properties') as properties,
-                        try_variant_get(v, '$.required') as required
-                    from {source}))))"""
+    return f"""exists(array(try_variant_get(v, '$', 'map<string,variant>')), m ->
+        exists(map_keys(m), k -> {_movable('k', 'm[k]', mode)})
+        and (coalesce(try_variant_get(type, '$', 'string') = 'object', false)
+             or exists(array({markers}), k -> map_contains_key(m, k)
+                       and not {_movable('k', 'm[k]', mode)})))"""
+
+
+_NAMES_OBJECT = """coalesce(try_variant_get(type, '$', 'string') = 'object', false)
+    or coalesce(array_contains(try_variant_get(type, '$', 'array<string>'), 'object'), false)"""
+
+_HAS_CONTAINER = f"""case
+    when required is null or schema_of_variant(required) in
+        ('ARRAY<STRING>', 'ARRAY<VOID>', 'BOOLEAN', 'STRING', 'VOID') then false
+    else coalesce(exists(try_variant_get(required, '$', 'array<variant>'),
+        r -> {kind_sql('r')} in ('object', 'array')), false) end"""
 
 
 def _settle(source: str, names: str, mode: str) -> str:
-    """Node rows with their facts, and with ``inside``: where their own properties are.
+    """Take from each new node ``v`` what the walk needs, and let go of the node.
 
-    Rows that had their facts before are done; they pass through. ``bad``: counting the votes of
-    this node is impossible.
+    ``inside``: the variant whose members are the node's properties. ``visited``: its properties
+    are counted. ``bad``: counting them is impossible. Rows without ``v`` are done and keep what
+    they have; every expression asks for that first.
     """
-    carried = f"{names}, path, depth, is_required, voted, facts"
     return f"""
-    select {names}, path, depth, is_required, voted, visited, has_properties,
-        coalesce(facts, named_struct(
-            'types', node_types, 'type_form', type_form, 'required_form', required_form,
-            'forced', forced,
-            'bad', visited and (
-                (depth = 1 and not {is_object_sql('v')})
-                or (not has_properties and not forced and properties is not null)
-                or coalesce(exists(required_list, r -> {kind_sql('r')} in ('object', 'array')), false)
-            ))) as facts,
-        case when has_properties then properties when forced then v end as inside,
-        transform(filter(required_list, r -> schema_of_variant(r) = 'STRING'),
-            r -> cast(r as string)) as required_names
+    select {names}, path, depth, is_required, voted, type, required, forced, visited, has_properties,
+        case when v is null then bad else visited and (
+            (depth = 1 and not {is_object_sql('v')})
+            or (not has_properties and not forced and properties is not null)
+            or {_HAS_CONTAINER}) end as bad,
+        case when v is null then null when has_properties then properties
+             when forced then v end as inside,
+        case when v is null or not (has_properties or forced) then null else
+            transform(filter(try_variant_get(required, '$', 'array<variant>'),
+                r -> schema_of_variant(r) = 'STRING'), r -> cast(r as string)) end as required_names
     from (
-        select *, voted and (depth = 1 or (array_contains(node_types, 'object')
-                and (properties is not null or forced))) as visited
-        from ({_look_at(source, carried, mode)}))"""
+        select *, case when v is null or not voted then false when depth = 1 then true
+            when forced then not {_is_schema_like('type')}
+            else properties is not null and ({_NAMES_OBJECT}) end as visited
+        from (
+            select *, case when v is null then done_forced when has_properties then false
+                when not contains(schema_of_variant(v), ': OBJECT<') then false
+                else {_forced(mode)} end as forced
+            from (
+                select *, case when v is null then null else {is_object_sql('properties')} end
+                    as has_properties
+                from (
+                    select {names}, path, depth, is_required, voted, v, bad, done_forced,
+                        case when v is null then type else try_variant_get(v, '$.type') end as type,
+                        case when v is null then required
+                             else try_variant_get(v, '$.required') end as required,
+                        case when v is null then null
+                             else try_variant_get(v, '$.properties') end as properties
+                    from {source}))))"""
 
 
 def _step_down(level: str, names: str, mode: str) -> str:
@@ -163,7 +155,10 @@ def _step_down(level: str, names: str, mode: str) -> str:
             case when own then is_required
                  else coalesce(array_contains(required_names, key), false) end as is_required,
             case when own then voted else visited end as voted,
-            case when own then facts end as facts,
+            case when own then type end as type,
+            case when own then required end as required,
+            case when own then forced end as done_forced,
+            case when own then bad end as bad,
             case when not own then value end as v
         from (
             select *, explode(case
@@ -176,6 +171,21 @@ def _step_down(level: str, names: str, mode: str) -> str:
     return _settle(children, names, mode)
 
 
+# The votes a node casts; none when its ``type`` has no usable form.
+_VOTES = f"""case
+    when forced and {_is_schema_like('type')} then array('null')
+    when forced then array('object')
+    when type_form in ('absent', 'null') then array('null')
+    when type_form = 'string' then array(cast(type as string))
+    when type_form = 'array' then transform(
+        filter(try_variant_get(type, '$', 'array<variant>'), t -> not is_variant_null(t)),
+        t -> case schema_of_variant(t)
+             when 'BOOLEAN' then initcap(cast(t as string))
+             when 'STRING' then cast(t as string)
+             else to_json(t) end)
+    else cast(array() as array<string>) end"""
+
+
 def schema_tree(
     parsed: DataFrame,
     keys: list[str],
@@ -192,10 +202,10 @@ def schema_tree(
         raise ValueError(f"unknown repair mode {mode!r}")
     spark = parsed.sparkSession
     names = ", ".join(f"`{k}`" for k in keys)
+    nothing = "cast(null as variant)"
     root = f"""(select {names}, '' as path, 1 as depth, false as is_required, true as voted,
-        cast(null as struct<types:array<string>,type_form:string,required_form:string,
-            forced:boolean,bad:boolean>) as facts, v
-        from {{parsed}} where v is not null)"""
+        {nothing} as type, {nothing} as required, cast(null as boolean) as done_forced,
+        cast(null as boolean) as bad, v from {{parsed}} where v is not null)"""
     nodes = spark.sql(_settle(root, names, mode), parsed=parsed)
     for first in range(1, max_depth, _LEVELS_PER_QUERY):
         nested = "{nodes}"
@@ -203,8 +213,9 @@ def schema_tree(
             nested = f"({_step_down(nested, names, mode)})"
         nodes = spark.sql(f"select * from {nested}", nodes=nodes)
     return spark.sql(
-        f"""select {names}, path, depth, is_required, voted, facts.*
-        from {{nodes}}
+        f"""select {names}, path, depth, is_required, voted, forced, bad, type_form,
+            coalesce({kind_sql('required')}, 'absent') as required_form, {_VOTES} as types
+        from (select *, coalesce({kind_sql('type')}, 'absent') as type_form from {{nodes}})
         where case when inside is null then true else cast(raise_error(
             'a schema is nested deeper than max_depth={max_depth}') as boolean) end""",
         nodes=nodes,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import json_kind, parse_strict
+from shapeloom.functions.json_text import json_kind, parse_strict, with_computed
 from shapeloom.session import small_side
 
 # Fixed value: size a collection is sampled down to.
@@ -128,7 +128,7 @@ def sample_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
 
 def split_documents(arrays: DataFrame, keys: list[str]) -> DataFrame:
     """Array texts to one row per element with a 1-based ``doc_no``; other roots are left out."""
-    parsed = arrays.withColumn("v", parse_strict(F.col("json"))).select(*keys, "v")
+    parsed = with_computed(arrays, "v", parse_strict(F.col("json"))).select(*keys, "v")
     opened = parsed.filter(json_kind("v") == "array").lateralJoin(
         parsed.sparkSession.tvf.variant_explode(F.col("v").outer())
     )

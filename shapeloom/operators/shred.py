@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import kind_sql, parse_strict
+from shapeloom.functions.json_text import kind_sql, parse_strict, with_computed
 from shapeloom.functions.paths import STEP_SQL
 
 DEFAULT_MAX_DEPTH = 16
@@ -16,7 +16,7 @@ _LEVELS_PER_QUERY = 5
 def parse_documents(docs: DataFrame, text: Column | None = None) -> DataFrame:
     """Add the variant column ``v``; rows that are not exactly one JSON value are dropped."""
     text = F.col("json") if text is None else text
-    return docs.withColumn("v", parse_strict(text)).filter(F.col("v").isNotNull())
+    return with_computed(docs, "v", parse_strict(text)).filter(F.col("v").isNotNull())
 
 
 def shred_documents(

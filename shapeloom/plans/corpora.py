@@ -19,8 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on.
+
+    Held in fewer files than there are cores it would keep most of them idle, so its rows are
+    dealt out. Larger tables come in enough files and are read as they are.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("dataset"),
         F.col("event_id").alias("doc_id"),
         F.col("props").alias("json"),
@@ -58,7 +69,7 @@ def docs_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
+    return spread_table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("string").alias("dataset"),
         F.col("vec_id").alias("doc_id"),
         F.to_json(F.struct(F.col("embedding").alias("v"))).alias("json"),
@@ -67,7 +78,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key, many types."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread_table(spark, sf_dir, "events").selectExpr(
         "concat('m', event_id % 3) as dataset",
         "event_id as doc_id",
         """case when event_id % 7 = 0 then '{"a":null,"z":true}'
@@ -107,7 +118,7 @@ META_NODE_SQL = """case
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "events").selectExpr(
+    nodes = spread_table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "event_type",
         f"{VALUE_NODE_SQL} as value_node",
@@ -142,7 +153,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents the manifest lists."""
-    return table(spark, sf_dir, "events").selectExpr(f"{FILE_SQL} as file", "props as json")
+    return spread_table(spark, sf_dir, "events").selectExpr(f"{FILE_SQL} as file", "props as json")
 
 
 def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
