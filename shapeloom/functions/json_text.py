@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BOM = "\ufeff"
 # Parsing stops at the end of the first value and ignores what follows. Wrapping the text with
@@ -98,7 +99,7 @@ def quote_json_list(texts: Column) -> Column:
     return F.to_json(texts)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def serialized_length(text: pd.Series) -> pd.Series:
     """Characters of the value written by Python's ``json`` with default separators.
 
@@ -114,7 +115,7 @@ def serialized_length(text: pd.Series) -> pd.Series:
     return text.map(measure).astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def indented(text: pd.Series) -> pd.Series:
     """The value re-written with an indent of two blanks, non-ASCII escaped."""
 
@@ -127,7 +128,7 @@ def indented(text: pd.Series) -> pd.Series:
     return text.map(rewrite)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def indented_unicode(text: pd.Series) -> pd.Series:
     """As ``indented``, non-ASCII kept; text that is not JSON comes back as it is."""
 

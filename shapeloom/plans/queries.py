@@ -63,8 +63,7 @@ def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = corpora.write_arrays(spark, sf_dir)
-    elements = texts.scan_json_array(spark, path, "directory")
-    return elements.select("dataset", "doc_no", F.trim("json").alias("json"))
+    return texts.scan_json_array(spark, path, "directory").select("dataset", "doc_no", "json")
 
 
 @_query

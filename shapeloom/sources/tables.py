@@ -19,8 +19,14 @@ def _texts(columns: list[str]) -> T.StructType:
 
 
 def _csv_options() -> dict[str, object]:
-    # Quotes inside a value are doubled, as in any CSV dialect but Spark's own default.
-    return {"header": True, "quote": '"', "escape": '"'}
+    # Quotes inside a value are doubled and blanks kept, unlike in Spark's own default.
+    return {
+        "header": True,
+        "quote": '"',
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
 
 
 def scan_manifest(

@@ -253,7 +253,7 @@ def _without_brackets(elements: DataFrame) -> DataFrame:
         elements.withColumn("opens", opens)
         .withColumn("opened", opened)
         .withColumn("whole", F.col("opens") & closes)
-        .withColumn("json", F.when(F.col("whole"), closed))
+        .withColumn("json", F.when(F.col("whole"), F.regexp_replace(closed, r"^\s+|\s+$", "")))
         .filter(F.coalesce(~empty, F.lit(True)))
         .select("dataset", "file", (F.col("element") + 1).alias("doc_no"), "json")
     )
