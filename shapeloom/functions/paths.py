@@ -77,10 +77,9 @@ def tidy(path: Column) -> Column:
 def part(path: Column, n: int) -> Column:
     """The n-th part (from 0) of a file path; NULL when there is none."""
     clean = tidy(path)
-    parts = F.split(clean, "/")
+    parts = F.filter(F.split(clean, "/"), lambda p: (p != "") & (p != "."))
     rooted = F.startswith(clean, F.lit("/"))
-    parts = F.when(rooted, F.concat(F.array(F.lit("/")), F.slice(parts, 2, 2147483647))).otherwise(parts)
-    parts = F.filter(parts, lambda p: (p != "") & (p != "."))
+    parts = F.when(rooted, F.array_prepend(parts, "/")).otherwise(parts)
     return F.get(parts, F.lit(n))
 
 

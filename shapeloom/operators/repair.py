@@ -216,7 +216,7 @@ def schema_tree(
         f"""select {names}, path, depth, is_required, voted, forced, bad, type_form,
             coalesce({kind_sql('required')}, 'absent') as required_form, {_VOTES} as types
         from (select *, coalesce({kind_sql('type')}, 'absent') as type_form from {{nodes}})
-        where case when inside is null then true else cast(raise_error(
+        where case when inside is null or to_json(inside) = '{{{{}}}}' then true else cast(raise_error(
             'a schema is nested deeper than max_depth={max_depth}') as boolean) end""",
         nodes=nodes,
     )

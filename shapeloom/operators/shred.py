@@ -45,7 +45,7 @@ def shred_documents(
         nodes = spark.sql(f"select * from {nested}", nodes=nodes)
     return spark.sql(
         f"""select {names}, path, depth, kind from {{nodes}}
-        where case when v is null then true else cast(raise_error(
+        where case when v is null or to_json(v) in ('{{{{}}}}', '[]') then true else cast(raise_error(
             'a document is nested deeper than max_depth={max_depth}') as boolean) end""",
         nodes=nodes,
     )

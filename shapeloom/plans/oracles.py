@@ -107,11 +107,13 @@ _MANIFEST = f"""select {corpora.FILE_SQL} as file, 'documents' as object_type,
     '0' as array_len, length(props)::varchar as size_bytes, {corpora.FLAG_SQL} as schema_generated
     from events"""
 _DATASET = "nullif(split_part(file, '/', 2), '')"
-_REFRESHED = f"""select m.file, m.schema_generated as old,
-    lower(trim(coalesce(schema_generated, 'false'))) = 'false' and e.event_id is not null as updated
+# A flag that is missing counts as false; one read from an empty CSV field is not missing.
+_REFRESH = f"""select m.file, m.schema_generated as old,
+    lower(trim(coalesce(schema_generated, '%s'))) = 'false' and e.event_id is not null as updated
     from ({_MANIFEST}) m left join events e
         on e.event_id % 3 <> 0 and {_DATASET} = e.event_type
         and split_part(file, '/', 4) = 'document_' || e.event_id || '.json'"""
+_REFRESHED, _REFRESHED_FILE = (_REFRESH.replace("%s", default) for default in ("false", ""))
 
 # --- files --------------------------------------------------------------------------------
 
@@ -310,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
                 json_type(props::json, '$.k') in ('UBIGINT', 'BIGINT') and len(json_keys(props::json)) = 1)
             then '{_K_SCHEMA}' end as schema_json from events group by 1""",
         "write_manifest": f"""select file, case when updated then 'true' else coalesce(old, '') end
-            as schema_generated from ({_REFRESHED})""",
+            as schema_generated from ({_REFRESHED_FILE})""",
         "append_run_log": """select 'processed/' || role || '/c/' || conv_id || '_' || turn as original_file,
             'm' as model, case when turn % 2 = 0 then 'success' else 'failed' end as status,
             substr(replace(text, chr(10), ' '), 1, 2000) as message from conversations""",

@@ -77,7 +77,7 @@ def detect_file_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "manifest")
     tables.write_manifest(corpora.manifest(spark, sf_dir), path)
-    return tables.scan_manifest(spark, path).fillna("")
+    return tables.scan_manifest(spark, path)
 
 
 @_query
@@ -123,7 +123,7 @@ def write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables.scan_manifest(spark, path), corpora.generated_files(spark, sf_dir)
     )
     tables.write_manifest(refreshed.drop("updated"), path)
-    return tables.scan_manifest(spark, path).select("file", "schema_generated").fillna("")
+    return tables.scan_manifest(spark, path).select("file", "schema_generated")
 
 
 @_query
@@ -137,7 +137,7 @@ def append_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     for status in ("success", "failed"):
         tables.append_run_log(rows.filter(F.col("status") == status), path)
-    return tables.read_run_log(spark, path).drop("timestamp").fillna("")
+    return tables.read_run_log(spark, path).drop("timestamp")
 
 
 # --- document preparation -------------------------------------------------------------------
@@ -465,6 +465,8 @@ def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     proposals = propose.propose_offline(docs, ["dataset", "doc_id"], DEPTH).select(
         "dataset", F.col("doc_id").alias("file"), F.col("response").alias("text")
     )
+    # Proposals are kept, as a model's answers would be: the merge reads them twice.
+    proposals = cut(proposals)
     voted = vote.merge_schemas(proposals, max_depth=DEPTH)
     return compare.schema_diff(voted, infer.infer_schema(docs, max_depth=DEPTH), ["dataset"])
 

@@ -32,9 +32,9 @@ def _csv_options() -> dict[str, object]:
 def scan_manifest(
     spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """A manifest CSV with a header, all columns as text."""
+    """A manifest CSV with a header, all columns as text; an empty field is an empty text."""
     reader = spark.read.options(**_csv_options()).schema(_texts(columns or MANIFEST_COLUMNS))
-    return reader.option("multiLine", multi_line).csv(path)
+    return reader.option("multiLine", multi_line).csv(path).fillna("")
 
 
 def typed_manifest(manifest: DataFrame) -> DataFrame:

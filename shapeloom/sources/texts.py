@@ -142,8 +142,9 @@ def scan_json_array(spark: SparkSession, path: str, collection: str = "file") ->
     left out whole.
     """
     elements = array_elements(text_lines(spark, path, collection, separator=","))
-    broken = elements.filter(parse_strict(F.col("json")).isNull()).select("file").distinct()
-    return elements.join(small_side(broken), "file", "left_anti")
+    sound = F.every(parse_strict(F.col("json")).isNotNull()) & F.bool_or("last")
+    arrays = elements.groupBy("file").agg(sound.alias("sound")).filter("sound").select("file")
+    return elements.join(small_side(arrays), "file", "left_semi").drop("last")
 
 
 def _outside_in(text: Column, inside_first: bool) -> Column:
@@ -240,8 +241,8 @@ def _meet(pieces: DataFrame, splits: DataFrame, fact: str) -> DataFrame:
 def _without_brackets(elements: DataFrame) -> DataFrame:
     """Take the array's own brackets off its first and last element.
 
-    A text that does not open or close as an array gets NULL for an element. An empty array has
-    one empty element, which is no row.
+    A text that does not open or close as an array gets NULL for an element, or has no last one
+    because the end of the file leaves it open. An empty array has one empty element, no row.
     """
     first, last = F.col("element") == 0, F.col("ends") == 0
     opened = F.when(first, F.regexp_extract("json", r"(?s)^\s*\[(.*)$", 1)).otherwise(F.col("json"))
@@ -255,5 +256,5 @@ def _without_brackets(elements: DataFrame) -> DataFrame:
         .withColumn("whole", F.col("opens") & closes)
         .withColumn("json", F.when(F.col("whole"), F.regexp_replace(closed, r"^\s+|\s+$", "")))
         .filter(F.coalesce(~empty, F.lit(True)))
-        .select("dataset", "file", (F.col("element") + 1).alias("doc_no"), "json")
+        .select("dataset", "file", (F.col("element") + 1).alias("doc_no"), "json", last.alias("last"))
     )
