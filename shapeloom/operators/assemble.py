@@ -33,7 +33,7 @@ def assemble_documents(
         ).alias("product"),
     )
     folded = lines.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("item", "product"))).alias("lines")
+        F.sort_array(F.collect_list(F.struct("item", "product"))).alias("lines")
     )
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     member = F.struct(

@@ -18,7 +18,7 @@ def schema_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     def side(paths: DataFrame, name: str) -> DataFrame:
         return paths.filter(is_member(F.col("path"))).select(
             *by,
-            F.array_sort(F.array_distinct("types")).alias(f"{name}_types"),
+            F.sort_array(F.array_distinct("types")).alias(f"{name}_types"),
             F.col("required").alias(f"{name}_required"),
         )
 

@@ -63,7 +63,7 @@ def _with_facts(paths: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _assemble(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("order", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("order", "text")))
     text = F.array_join(F.transform(ordered, lambda p: p["text"]), "")
     text = F.replace(text, F.lit(_FIRST + ", "), F.lit(""))
     return pieces.groupBy(*keys).agg(F.replace(text, F.lit(_FIRST), F.lit("")).alias("schema_json"))

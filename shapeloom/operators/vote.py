@@ -74,7 +74,7 @@ def _tally(nodes: DataFrame) -> DataFrame:
         F.sum("required_count").alias("required_count"),
         F.sum(F.when(named, F.col("votes")).otherwise(0)).alias("named_votes"),
         F.max(F.when(named, F.struct("votes", "type"))).alias("leader"),
-        F.array_sort(F.collect_set(F.when(named, F.col("type")))).alias("named_types"),
+        F.sort_array(F.collect_set(F.when(named, F.col("type")))).alias("named_types"),
         F.coalesce(F.bool_or(F.col("type") == "null"), F.lit(False)).alias("has_null"),
     )
 
@@ -100,7 +100,7 @@ def _nullable_types() -> Column:
     nullable = F.col("has_null") & (F.size("named_types") > 0)
     with_null = F.concat(types, F.array(F.lit("null")))
     return (
-        F.when(nullable & (F.size(types) > 1), F.array_sort(with_null))
+        F.when(nullable & (F.size(types) > 1), F.sort_array(with_null))
         .when(nullable, with_null)
         .otherwise(types)
     )

@@ -210,7 +210,7 @@ def write_arrays(spark: SparkSession, sf_dir: str) -> str:
         "event_type", f"floor(event_id / {EVENT_CHUNK}) as chunk", "event_id", f"{ARRAY_ELEMENT_SQL} as e"
     )
     listed = element.groupBy("event_type", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("event_id", "e"))).alias("es")
+        F.sort_array(F.collect_list(F.struct("event_id", "e"))).alias("es")
     )
     joined = "array_join(transform(es, x -> x.e), ',\\n ')"
     files = listed.selectExpr(

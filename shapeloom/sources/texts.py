@@ -7,21 +7,23 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import parse_strict
-from shapeloom.functions.paths import parent_name, stem
+from shapeloom.functions.json_text import parse_strict, with_computed
 from shapeloom.session import cut, small_side
 
 def _file_path() -> Column:
     """Path of the file a row comes from, scheme dropped and escapes undone."""
-    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = F.col("_metadata.file_path")
+    escaped = F.contains(raw, F.lit("%")) | F.contains(raw, F.lit("+"))
+    plain = F.when(escaped, F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
     return F.regexp_replace(plain, r"^[A-Za-z0-9]+:(//[^/]*)?(?=/)", "")
 
 
 def _collection(by: str) -> Column:
+    # Paths of scanned files are clean already: cheap cuts do, this runs for every row.
     if by == "file":
-        return stem(F.col("file"))
+        return F.regexp_replace(F.substring_index("file", "/", -1), r"(?<=[^.])\.[^.]*$", "")
     if by == "directory":
-        return parent_name(F.col("file"))
+        return F.substring_index(F.substring_index("file", "/", -2), "/", 1)
     raise ValueError(f"a collection is a 'file' or a 'directory', not {by!r}")
 
 
@@ -99,7 +101,7 @@ def file_heads(spark: SparkSession, path: str, collection: str = "file") -> Data
         .join(first, "file")
         .filter(F.col("pos") - F.col("first_pos") <= 100)
         .groupBy("file")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("lines"))
         .select("file", F.array_join(F.transform("lines", lambda x: x["text"]), ",").alias("text"))
     )
     return (
@@ -142,22 +144,18 @@ def scan_json_array(spark: SparkSession, path: str, collection: str = "file") ->
     left out whole.
     """
     elements = array_elements(text_lines(spark, path, collection, separator=","))
-    sound = F.every(parse_strict(F.col("json")).isNotNull()) & F.bool_or("last")
+    # Written once: whether a file is sound is known only when all its elements are.
+    elements = cut(elements.withColumn("valid", parse_strict(F.col("json")).isNotNull()))
+    sound = F.every("valid") & F.bool_or("last")
     arrays = elements.groupBy("file").agg(sound.alias("sound")).filter("sound").select("file")
-    return elements.join(small_side(arrays), "file", "left_semi").drop("last")
+    return elements.join(small_side(arrays), "file", "left_semi").drop("last", "valid")
 
 
-def _outside_in(text: Column, inside_first: bool) -> Column:
-    """The parts of a piece that lie outside of strings, if it starts outside or inside of one."""
-    parts = F.split(F.regexp_replace(text, r"(?s)\\.", ""), '"')
-    odd = 0 if inside_first else 1
-    return F.array_join(F.filter(parts, lambda _, i: i % 2 != odd), " ")
-
-
-def _net_depth(outside: Column) -> Column:
-    opened = F.length(outside) - F.length(F.translate(outside, "[{", ""))
-    closed = F.length(outside) - F.length(F.translate(outside, "]}", ""))
-    return opened - closed
+def _net_depth(parts: str, every_other_from: int) -> Column:
+    """Brackets opened less brackets closed in every other part of a piece."""
+    kept = F.filter(parts, lambda _, i: i % 2 == every_other_from)
+    text = F.array_join(kept, " ")
+    return F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))
 
 
 def array_elements(pieces: DataFrame) -> DataFrame:
@@ -167,8 +165,21 @@ def array_elements(pieces: DataFrame) -> DataFrame:
     deep is it nested. Both are running totals: of quotes, and of brackets. They are summed per
     split first, then carried from split to split, then followed inside each split.
     """
-    text = F.col("text")
-    quotes = F.length(F.regexp_replace(text, r'(?s)\\.|[^"]', ""))
+    # Between its quotes a piece is by turns outside and inside of strings.
+    unescaped = F.when(
+        F.contains("text", F.lit("\\")), F.regexp_replace("text", r"(?s)\\.", "")
+    ).otherwise(F.col("text"))
+    pieces = with_computed(pieces, "parts", F.split(unescaped, '"'))
+    pieces = pieces.select(
+        "dataset",
+        "file",
+        "block",
+        "pos",
+        "text",
+        (F.size("parts") - 1).alias("quotes"),
+        _net_depth("parts", 0).alias("plain"),
+        _net_depth("parts", 1).alias("quoted"),
+    )
     split_by = ["file", "block"]
     inside = Window.partitionBy(*split_by).orderBy("pos")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -181,13 +192,12 @@ def array_elements(pieces: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(column).over(window), F.lit(0))
 
     # Net depth of a piece, were its split to start outside (0) or inside (1) of a string.
-    in_string = before("quotes", earlier) % 2 == 1
-    plain, quoted = _net_depth(_outside_in(text, False)), _net_depth(_outside_in(text, True))
+    plain, quoted = F.col("plain"), F.col("quoted")
     marked = (
-        pieces.withColumn("quotes", quotes)
-        .withColumn("flipped", in_string)
+        pieces.withColumn("flipped", before("quotes", earlier) % 2 == 1)
         .withColumn("net0", F.when(F.col("flipped"), quoted).otherwise(plain))
         .withColumn("net1", F.when(F.col("flipped"), plain).otherwise(quoted))
+        .drop("plain", "quoted", "flipped")
     )
     splits = cut(
         marked.groupBy(*split_by).agg(
@@ -220,7 +230,7 @@ def array_elements(pieces: DataFrame) -> DataFrame:
         .withColumn("element", F.col("ended") + before("ends", earlier))
         .groupBy("dataset", "file", "element")
         .agg(
-            F.array_sort(F.collect_list(F.struct("block", "pos", "text"))).alias("pieces"),
+            F.sort_array(F.collect_list(F.struct("block", "pos", "text"))).alias("pieces"),
             F.max("ends").alias("ends"),
         )
         .withColumn("json", F.array_join(F.transform("pieces", lambda p: p["text"]), ","))
