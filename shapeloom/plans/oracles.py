@@ -277,6 +277,34 @@ _K_SCHEMA = (
 )
 
 
+def _rendered(with_paths: str, head: str) -> str:
+    """Text of a schema of up to three levels of members, from a table ``p`` of its paths."""
+
+    def level(depth: int) -> str:
+        below = f"left join (select dataset, parent, members, required_keys from agg{depth + 1}) c on c.dataset = n.dataset and c.parent = n.path" if depth < 3 else ""
+        text = (
+            """case when c.members is not null then '{"type": "object", "properties": {' || members || '}'
+                || case when required_keys is null then '' else ', "required": [' || required_keys || ']' end
+                || '}' else '{"type": ' || type_text || '}' end"""
+            if depth < 3
+            else """'{"type": ' || type_text || '}'"""
+        )
+        return f"""agg{depth} as (select dataset, parent, string_agg('"' || key || '": ' || text, ', ' order by key) as members,
+            string_agg('"' || key || '"', ', ' order by key) filter (required) as required_keys
+            from (select n.*, {text} as text from named_paths n {below} where n.depth = {depth})
+            group by dataset, parent)"""
+
+    return f"""{with_paths},
+    named_paths as (select dataset, path, required, regexp_extract(path, '[^.]*$', 0) as key,
+        regexp_replace(path, '\.[^.]*$', '') as parent, len(string_split(path, '.')) - 1 as depth,
+        case when contains(types, '|') then '["' || replace(types, '|', '", "') || '"]'
+             else '"' || types || '"' end as type_text from p where path <> ''),
+    {level(3)}, {level(2)}, {level(1)}
+    select dataset, '{head}"type": "object", "properties": {{' || members || '}}'
+        || case when required_keys is null then '' else ', "required": [' || required_keys || ']' end
+        || '}}' as schema_json from agg1"""
+
+
 def oracle_sql() -> dict[str, str]:
     profile = f"""select dataset, doc_id,
         count(*) filter (parent is not null and right(fullkey, 1) <> ']') as keys,
@@ -381,6 +409,9 @@ def oracle_sql() -> dict[str, str]:
                 and e.chunk = f.chunk"""
         ),
         "infer_document_schemas": _paths(_MIXED, "dataset, doc_id"),
+        "render_schema": _rendered(
+            f"with p as ({_paths(_NULLABLE)})", '{"$schema": "' + SCHEMA_URI + '", '
+        ),
         "propose_schemas": f"""select {corpora.FILE_SQL} as file,
             case when (props->>'$.k')::int = 0 then ''
                  else '{{"type": "object", "required": ["k"]}}' end as response,
@@ -428,6 +459,9 @@ def oracle_sql() -> dict[str, str]:
             array_to_string(final_types, '|') as types, nullable from with_null""",
         "resolve_required": f"{_VOTES} select dataset, path, required from resolved",
         "merge_schemas": f"{_VOTES} select dataset, path, {_joined('types')}, required from merged",
+        "render_master_schema": _rendered(
+            f"{_VOTES}, p as (select dataset, path, {_joined('types')}, required from merged)", "{"
+        ),
         "schema_diff": f"""{_OFFLINE} select dataset, path, left_types, right_types, left_required,
             right_required, outcome from diff""",
         "schema_similarity": f"""{_OFFLINE}, sums as (select dataset, count(*) as paths,
