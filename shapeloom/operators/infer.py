@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import parse_strict, with_computed
+from shapeloom.functions.json_text import parse_strict, strip_bom, with_computed
 from shapeloom.functions.paths import is_item, is_member, parent_of
 from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, parse_documents, shred_documents
 from shapeloom.session import cut, small_side
@@ -137,11 +137,14 @@ def infer_array_items(nodes: DataFrame, keys: list[str]) -> DataFrame:
 def infer_schema(
     docs: DataFrame, approved: DataFrame | None = None, max_depth: int = DEFAULT_MAX_DEPTH
 ) -> DataFrame:
-    """Path table per dataset of ``dataset, file, json``, limited to approved files if given."""
+    """Path table per dataset of ``dataset, file, json``, limited to approved files if given.
+
+    A byte order mark before a document is overlooked.
+    """
     if approved is not None:
         docs = docs.join(approved.select("file").distinct(), "file", "left_semi")
-    nodes = shred_documents(parse_documents(docs), ["dataset"], max_depth)
-    return infer_paths(nodes, ["dataset"])
+    parsed = parse_documents(docs, strip_bom(F.col("json")))
+    return infer_paths(shred_documents(parsed, ["dataset"], max_depth), ["dataset"])
 
 
 # Fixed value: files above this size are not parsed as one value.

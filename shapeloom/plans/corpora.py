@@ -30,8 +30,9 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_table(spark, sf_dir, "events").select(
+def events_props(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    events = (spread_table if spread else table)(spark, sf_dir, "events")
+    return events.select(
         F.col("event_type").alias("dataset"),
         F.col("event_id").alias("doc_id"),
         F.col("props").alias("json"),

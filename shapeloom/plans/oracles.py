@@ -296,7 +296,7 @@ def _rendered(with_paths: str, head: str) -> str:
 
     return f"""{with_paths},
     named_paths as (select dataset, path, required, regexp_extract(path, '[^.]*$', 0) as key,
-        regexp_replace(path, '\.[^.]*$', '') as parent, len(string_split(path, '.')) - 1 as depth,
+        regexp_replace(path, '\\.[^.]*$', '') as parent, len(string_split(path, '.')) - 1 as depth,
         case when contains(types, '|') then '["' || replace(types, '|', '", "') || '"]'
              else '"' || types || '"' end as type_text from p where path <> ''),
     {level(3)}, {level(2)}, {level(1)}

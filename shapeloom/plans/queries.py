@@ -44,7 +44,7 @@ def _types() -> Column:
 
 
 def _block() -> Column:
-    return F.floor(F.col("doc_id") / corpora.ORDINAL_BLOCK).cast("long").alias("block")
+    return F.expr(f"doc_id div {corpora.ORDINAL_BLOCK}").alias("block")
 
 
 def _nodes(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,7 +109,8 @@ def write_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def write_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "schemas")
-    paths = infer.infer_paths(_nodes(corpora.events_props(spark, sf_dir), ["dataset"]), ["dataset"])
+    nodes = _nodes(corpora.events_props(spark, sf_dir, spread=True), ["dataset"])
+    paths = infer.infer_paths(nodes, ["dataset"])
     tables.write_schemas(render_schema(paths, ["dataset"]), path)
     return tables.read_schemas(spark, path)
 

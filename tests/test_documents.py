@@ -271,3 +271,13 @@ def test_path_table_does_not_depend_on_order_or_partitions(spark):
         for d in (docs.coalesce(1), docs.orderBy(F.desc("json")).repartition(7))
     ]
     assert tables[0] == tables[1]
+
+
+def test_byte_order_mark_and_approval(spark):
+    docs = spark.createDataFrame(
+        [("d", "a", "\ufeff" + '{"x":1}'), ("d", "b", '{"y":1}'), ("d", "c", "broken")],
+        "dataset string, file string, json string",
+    )
+    approved = spark.createDataFrame([("a",), ("c",)], "file string")
+    paths = infer.infer_schema(docs, approved, DEPTH).collect()
+    assert {(r.path, r.required) for r in paths} == {("", False), (".x", True)}
