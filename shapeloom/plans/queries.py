@@ -19,8 +19,9 @@ from shapeloom.sources import tables, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The corpora nest less deeply than this; a document that does not would raise an error.
-DEPTH = 8
+# The corpora nest no deeper than this; a document that did would raise an error, not get lost.
+DEPTH = 6
+SCHEMA_DEPTH = 5
 SUBSET_BYTES = 10_000
 SAMPLE_BYTES = 20_000
 
@@ -390,24 +391,24 @@ def repair_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def repair_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.repair_required(_parsed(spark, sf_dir), max_depth=DEPTH)
+    return repair.repair_required(_parsed(spark, sf_dir), max_depth=SCHEMA_DEPTH)
 
 
 @_query
 def repair_misplaced_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = repair.repair_misplaced_properties(
-        _parsed(spark, sf_dir), ["dataset", "file"], max_depth=DEPTH
+        _parsed(spark, sf_dir), ["dataset", "file"], max_depth=SCHEMA_DEPTH
     )
     return moved.select("dataset", "file", "path", "type_form", _types())
 
 
 @_query
 def repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.repair_report(corpora.proposals(spark, sf_dir), max_depth=DEPTH)
+    return repair.repair_report(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH)
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vote.schema_nodes(corpora.proposals(spark, sf_dir), max_depth=DEPTH)
+    return vote.schema_nodes(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH)
 
 
 @_query
@@ -446,14 +447,14 @@ def resolve_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def merge_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = vote.merge_schemas(corpora.proposals(spark, sf_dir), max_depth=DEPTH)
+    merged = vote.merge_schemas(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH)
     return merged.filter(is_member(F.col("path"))).select("dataset", "path", _types(), "required")
 
 
 @_query
 def render_master_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_master(
-        vote.merge_schemas(corpora.proposals(spark, sf_dir), max_depth=DEPTH), ["dataset"]
+        vote.merge_schemas(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH), ["dataset"]
     )
 
 
@@ -468,7 +469,7 @@ def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Proposals are kept, as a model's answers would be: the merge reads them twice.
     proposals = cut(proposals)
-    voted = vote.merge_schemas(proposals, max_depth=DEPTH)
+    voted = vote.merge_schemas(proposals, max_depth=SCHEMA_DEPTH)
     return compare.schema_diff(voted, infer.infer_schema(docs, max_depth=DEPTH), ["dataset"])
 
 
