@@ -6,7 +6,8 @@ with a probability equal to their similarity, so ``PERMUTATIONS`` evaluations gi
 values. ``BANDS`` bands of ``ROWS`` values make candidates: at similarity 0.75 a pair shares no
 band with a probability below 1e-7. Every link is then confirmed on full sets.
 
-Copies of one set are one node. Within a band's bucket, no list of all pairs is made: one member
+Copies of one set are one node. A set with too few shingles in common with any other candidate is
+left alone, and so is a pair that cannot reach the similarity by these counts. Within a band's bucket, no list of all pairs is made: one member
 is compared with all others, links join components, and only where a bucket still spans several
 components are further members compared with the rest, a few per bucket and round, until every
 candidate pair is either compared or joined otherwise. Members that were compared with all
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ PERCENT = 75
 PERMUTATIONS = 160
 BANDS = 64
 ROWS = 5
+# Longs of a set's bitmap.
+MARKS = 16
 _SEED = 20240607
 # Permutations at once: bounds the working memory for long documents.
 _BLOCK_VALUES = 4_000_000
@@ -114,91 +117,124 @@ def sketches(docs: DataFrame, rid: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, hashes of the documents in ``nodes`` (node, doc_id, text_hash)."""
+    """node, hashes, marks of the documents in ``nodes`` (node, doc_id, text_hash).
+
+    Marks are a bitmap: the bit that a hash names is set.
+    """
     keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
     texts = keyed.join(lookup(nodes, "candidates"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.BinaryType())])
+    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=out.names)
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                found = [shingles(t.as_py()) for t in some.column(1)]
+                bits = np.zeros((len(found), 64 * MARKS), np.uint8)
+                for k, hashes in enumerate(found):
+                    bits[k, (hashes % np.uint64(64 * MARKS)).astype(np.int64)] = 1
+                marks = pa.array(np.packbits(bits, axis=1).view(np.int64).ravel(), pa.int64())
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values) for ends, values in ((np.cumsum([0, *map(len, found)]), pa.array(np.concatenate(found).astype(np.int64), pa.int64())), (np.arange(len(found) + 1) * MARKS, marks))]
+                yield pa.RecordBatch.from_arrays([some.column(0), *lists], names=out.names)
 
     return texts.select("node", "text").mapInArrow(run, out)
 
 
+def _possible(one: str, two: str) -> Column:
+    """Whether two sets can be similar enough, by counts alone.
+
+    In both are at most the shingles that are not one set's alone, and no shingle whose mark the
+    other set lacks. 7 times the shingles in both must reach 3 times the sum of sizes.
+    """
+    n, m = F.col(f"{one}n"), F.col(f"{two}n")
+    x, y = F.col(f"{one}marks"), F.col(f"{two}marks")
+    lacks = lambda a, b: sum((F.bit_count(a[k].bitwiseAND(F.bitwise_not(b[k]))) for k in range(MARKS)), F.lit(0))
+    both = F.least(F.col(f"{one}shared"), F.col(f"{two}shared"), n - lacks(x, y), m - lacks(y, x))
+    return F.lit(100 + PERCENT) * both >= F.lit(PERCENT) * (n + m)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs with whether their full sets are similar enough: a, b, linked."""
     one = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    least = lambda x, y: F.lit(100) * F.least(F.octet_length(x), F.octet_length(y)) >= F.lit(PERCENT) * F.greatest(F.octet_length(x), F.octet_length(y))
-    both = pairs.join(one, "b").join(two, "a").select("a", "b", F.when(least("ha", "hb"), F.col("ha")).alias("ha"), F.when(least("ha", "hb"), F.col("hb")).alias("hb"))
+    both = pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ha", "hb")
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType())])
 
-    def similar(x: bytes | None, y: bytes | None) -> bool:
-        if x is None or y is None:
-            return False
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
         at = np.searchsorted(a, b)
         shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
         return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
+    def arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+        values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        return (values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            linked = [similar(x, y) for x, y in zip(arrays(batch.column(2)), arrays(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=out.names)
 
     return both.mapInArrow(run, out)
 
 
+def _relabelled(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """The components after new links; only links between components are looked at."""
+    if labels is None:
+        return components(fresh)
+    known = lookup(labels, "labels")
+    ends = fresh.alias("e").join(known.alias("x"), F.col("e.a") == F.col("x.node"), "left").join(known.alias("y"), F.col("e.b") == F.col("y.node"), "left")
+    x, y = F.coalesce(F.col("x.component"), F.col("e.a")), F.coalesce(F.col("y.component"), F.col("e.b"))
+    joined = components(stored(ends.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct(), "new-links"))
+    moved = labels.alias("l").join(lookup(joined, "moved").alias("j"), F.col("l.component") == F.col("j.node"), "left").select("l.node", F.coalesce("j.component", "l.component").alias("component"))
+    return stored(moved.unionByName(joined.join(labels, "node", "left_anti")), "labels")
+
+
 def node_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """set_id, node, copies, component for each distinct set; a set's node is its least rid."""
     order = F.struct(F.col("rid"), F.col("doc_id"), F.col("text_hash"))
     nodes = sketched.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min(order).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select("set_id", F.col("of.rid").alias("node"), F.col("of.doc_id").alias("doc_id"), F.col("of.text_hash").alias("text_hash"), "copies", "bands"), "set-nodes")
     each = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = stored(each.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center"), "band-buckets")
+    buckets = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "band-buckets")
     members = stored(each.join(buckets, "key"), "band-members")
     met = members.select("node").distinct()
     sets = stored(_sets(docs, nodes.join(met, "node", "left_semi").select("node", "doc_id", "text_hash")).dropDuplicates(["node"]), "candidate-sets")
-    pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    members, rejected, labels, links, few = members.where("node <> center").select("key", "node"), None, None, None, 16
+    # A shingle that no other candidate has is in no intersection.
+    own = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("node", F.size("hashes").cast("long").alias("n"), "marks").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), "marks")
+    sizes = sizes.where(F.lit(100) * F.col("shared") >= F.lit(PERCENT) * F.col("n"))
+    members = members.join(lookup(sizes, "set-sizes"), "node")
+    facts = ["n", "shared", "marks"]
+    members = members.select("key", "node", *facts)
+    labels, rejected, few = None, None, 0
     while True:
-        checked = stored(_confirmed(pairs, sets), "compared")
-        fresh = checked.where("linked").select("a", "b")
-        no = checked.where("not linked").select("a", "b")
-        rejected = no if rejected is None else rejected.unionByName(no)
-        if not fresh.isEmpty():
-            if labels is not None:  # only the new links, between components
-                label = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"e.{side}"))
-                known = lookup(labels, "labels")
-                ends = fresh.alias("e").join(known.alias("x"), F.col("e.a") == F.col("x.node"), "left").join(known.alias("y"), F.col("e.b") == F.col("y.node"), "left")
-                x, y = F.coalesce(F.col("x.component"), F.col("e.a")), F.coalesce(F.col("y.component"), F.col("e.b"))
-                fresh = stored(ends.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct(), "new-links")
-            joined = components(fresh)
-            if labels is None:
-                labels = joined
-            else:
-                moved = labels.alias("l").join(lookup(joined, "moved").alias("j"), F.col("l.component") == F.col("j.node"), "left").select("l.node", F.coalesce("j.component", "l.component").alias("component"))
-                labels = stored(moved.unionByName(joined.join(labels, "node", "left_anti")), "labels")
-        labelled = members if labels is None else members.join(lookup(labels, "labels"), "node", "left")
-        labelled = labelled.select("key", "node", (F.col("node") if labels is None else F.coalesce("component", "node")).alias("label"))
-        labelled = stored(labelled, "labelled-members")
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-        open_ = stored(open_.select("key", "low", "high", "size"), "open-buckets")
-        if open_.isEmpty():
+        labelled = members.withColumn("component", F.col("node")) if labels is None else members.join(lookup(labels, "labels"), "node", "left")
+        labelled = stored(labelled.select("key", "node", *facts, F.coalesce("component", "node").alias("label")), "labelled-members")
+        open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "low")
+        open_ = lookup(open_, "open-buckets")
+        spread = stored(labelled.join(open_, "key"), "open-members")
+        if spread.isEmpty():
             break
-        spread = stored(labelled.join(lookup(open_, "open-lookup"), "key"), "open-members")
-        # All but the component of the smallest label wait for comparison; about ``few`` of a
-        # bucket are compared with its other members now, all of them when they are that few.
-        waiting = spread.where("label <> low").groupBy("key").agg(F.count(F.lit(1)).alias("waiting"))
-        turn = spread.where("label <> low").join(lookup(waiting, "waiting"), "key")
-        turn = stored(turn.where((F.col("waiting") <= few) | (F.pmod(F.xxhash64("key", "node", F.lit(few)), F.col("waiting")) < few)).select("key", F.col("node").alias("center"), F.col("label").alias("center_label")), "turns")
-        others = spread.select("key", "node", "label")
-        pairs = others.join(lookup(turn, "turn-lookup"), "key").where("label <> center_label")
+        if not few:  # first the smallest member of each bucket
+            turn = spread.where("node = low")
+        else:
+            # The component of the smallest label waits no more; of the other members about
+            # ``few`` of a bucket have their turn now, all of them when they are that few.
+            waiting = spread.where("label <> low").groupBy("key").agg(F.count(F.lit(1)).alias("waiting"))
+            turn = spread.where("label <> low").join(lookup(waiting, "waiting"), "key")
+            turn = turn.where((F.col("waiting") <= few) | (F.pmod(F.xxhash64("key", "node", F.lit(few)), F.col("waiting")) < few))
+        turn = lookup(turn.select("key", F.col("node").alias("center"), F.col("label").alias("center_label"), *[F.col(c).alias(f"center_{c}") for c in facts]), "turns")
+        pairs = spread.join(turn, (spread["key"] == turn["key"]) & (F.col("label") != F.col("center_label")) & _possible("", "center_"))
         pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-        pairs = stored(pairs.join(rejected, ["a", "b"], "left_anti"), "next-pairs")
-        members = spread.select("key", "node").join(turn.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
-        few *= 4
+        if rejected is not None:
+            pairs = pairs.join(rejected, ["a", "b"], "left_anti")
+        checked = stored(_confirmed(stored(pairs, "pairs"), sets), "compared")
+        no, fresh = checked.where("not linked").select("a", "b"), checked.where("linked").select("a", "b")
+        rejected = no if rejected is None else rejected.unionByName(no)
+        if not fresh.isEmpty():
+            labels = _relabelled(labels, fresh)
+        members = spread.select("key", "node", *facts).join(turn.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
+        few = max(4, 4 * few)
     if labels is None:
         return nodes.select("set_id", "node", "copies", F.col("node").alias("component"))
     return nodes.join(lookup(labels, "labels"), "node", "left").select("set_id", "node", "copies", F.coalesce("component", "node").alias("component"))
