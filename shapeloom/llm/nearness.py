@@ -147,9 +147,8 @@ def _possible(one: str, two: str) -> Column:
     other set lacks. 7 times the shingles in both must reach 3 times the sum of sizes.
     """
     n, m = F.col(f"{one}n"), F.col(f"{two}n")
-    x, y = F.col(f"{one}marks"), F.col(f"{two}marks")
-    lacks = lambda a, b: sum((F.bit_count(a[k].bitwiseAND(F.bitwise_not(b[k]))) for k in range(MARKS)), F.lit(0))
-    both = F.least(F.col(f"{one}shared"), F.col(f"{two}shared"), n - lacks(x, y), m - lacks(y, x))
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}m{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}m{k}")))) for k in range(MARKS)), F.lit(0))
+    both = F.least(F.col(f"{one}shared"), F.col(f"{two}shared"), n - lacks(one, two), m - lacks(two, one))
     return F.lit(100 + PERCENT) * both >= F.lit(PERCENT) * (n + m)
 
 
@@ -201,10 +200,10 @@ def node_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     sets = stored(_sets(docs, nodes.join(met, "node", "left_semi").select("node", "doc_id", "text_hash")).dropDuplicates(["node"]), "candidate-sets")
     # A shingle that no other candidate has is in no intersection.
     own = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    sizes = sets.select("node", F.size("hashes").cast("long").alias("n"), "marks").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), "marks")
+    sizes = sets.select("node", F.size("hashes").cast("long").alias("n"), "marks").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), *[F.col("marks")[k].alias(f"m{k}") for k in range(MARKS)])
     sizes = sizes.where(F.lit(100) * F.col("shared") >= F.lit(PERCENT) * F.col("n"))
     members = members.join(lookup(sizes, "set-sizes"), "node")
-    facts = ["n", "shared", "marks"]
+    facts = ["n", "shared", *[f"m{k}" for k in range(MARKS)]]
     members = members.select("key", "node", *facts)
     labels, rejected, few = None, None, 0
     while True:
