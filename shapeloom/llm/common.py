@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +70,17 @@ def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The rows, written, with a number of their own each: doc_id may be null or repeated."""
     rid = free_name(docs, "row_number_")
     return stored(docs.withColumn(rid, F.monotonically_increasing_id()), label), rid
+
+
+# Bytes of text that a task works on at once.
+AT_ONCE = 4_000_000
+
+
+def portions(texts: pa.StringArray, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes each; a longer text is a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, stop
+        at = stop

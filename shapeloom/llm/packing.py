@@ -30,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import portions
+
 # Examples that wait for a place at most; more only delay when they are placed.
 WAITING = 128
-# Characters encoded at once.
-AT_ONCE = 4_000_000
 END = 0
 # Texts with blanks before blanks, at the end or none at all: words cannot be told by blanks.
 _BLANK_RUNS = "^$| [\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]| $"
@@ -227,16 +227,6 @@ def _rows(pieces: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def portions(texts: pa.StringArray, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes each."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield at, stop
-        at = stop
-
-
 _PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "sequence_tokens"]
 
 

@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import portions
+
 BLANK = "▁"
 CACHED_WORDS = 1_000_000
 # Longer words are relaxed one by one.
@@ -195,7 +197,7 @@ class Encoder:
         if self.v.merges:
             keep = self.whole[symbol]
             start, symbol = start[keep], symbol[keep]
-        owner = np.searchsorted(starts, start, "right") - 1
+        owner = np.repeat(np.arange(len(words)), lengths + 1)[start]
         stop = start + self.lengths[symbol]
         n = len(text) + 1
         # The symbol that ends at a place, and where it starts; -1: a character without a piece.
@@ -203,7 +205,8 @@ class Encoder:
         best[starts] = 0
         unknown_score = float(self.v.scores[self.v.plain].min() if self.v.plain.any() else 0) - 10
         offset = stop - starts[owner]
-        order = np.lexsort((symbol, start, offset))
+        # Edges with the same end need no order among them; short keys sort by radix.
+        order = np.argsort(offset.astype(np.uint16) if lengths.max() < 1 << 16 else offset, kind="stable")
         start, symbol, stop, owner, offset = (x[order] for x in (start, symbol, stop, owner, offset))
         at_start = np.zeros(n, bool)
         at_start[starts] = True
@@ -221,7 +224,7 @@ class Encoder:
                     last[e], back[e] = y, a
         else:
             self._best_paths(text, starts, lengths, start, symbol, stop, last, back, best, unknown_score)
-        self._take(words, starts, lengths, last, back)
+        self._take(words, codes, starts, lengths, last, back)
 
     def _best_paths(self, text, starts, lengths, start, symbol, stop, last, back, best, unknown_score) -> None:
         by_stop = np.argsort(stop, kind="stable")
@@ -236,7 +239,7 @@ class Encoder:
                         best[end], back[end], last[end] = score, edge[0], edge[1]
                     edge = next(edges, None)
 
-    def _take(self, words, starts, lengths, last, back) -> None:
+    def _take(self, words, text_codes, starts, lengths, last, back) -> None:
         """Follows the last pieces back and stores the ids."""
         place, floor, found = starts + lengths, starts, []
         live = np.flatnonzero(place > floor)
@@ -252,31 +255,27 @@ class Encoder:
         else:
             owner = symbol = end = np.zeros(0, np.int64)
         ids = np.where(symbol >= 0, self.ids[symbol], -1)
-        for k in np.unique(owner[ids < 0]):
-            where = np.flatnonzero(owner == k) if len(words) < 50 else np.arange(*np.searchsorted(owner, (k, k + 1)))
-            out = self._spelt(words[k], ids[where], end[where] - starts[k])
-            at = where[0]
-            # Rare: the word's ids are replaced by as many as its unknown characters need.
-            ids = np.concatenate((ids[:at], out, ids[at + len(where) :]))
-            owner = np.concatenate((owner[:at], np.full(len(out), k), owner[at + len(where) :]))
-            end = np.concatenate((end[:at], np.zeros(len(out), np.int64), end[at + len(where) :]))
+        missing = ids < 0
+        if self.v.byte_ids:  # a character without a piece becomes its bytes
+            codes = text_codes[end[missing] - 1]
+            kinds, which = np.unique(codes, return_inverse=True)
+            spelt = [[self.v.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds.tolist()]
+            widths = np.ones(len(ids), np.int64)
+            widths[missing] = np.array([len(x) for x in spelt], np.int64)[which]
+            first, at = np.cumsum(widths) - widths, np.flatnonzero(missing)
+            ids, owner = np.repeat(ids, widths), np.repeat(owner, widths)
+            for k, some in enumerate(spelt):
+                for n, i in enumerate(some):
+                    ids[first[at[which == k]] + n] = i
+        else:  # a run of them is one unknown
+            again = missing & np.concatenate(([False], missing[:-1] & (owner[1:] == owner[:-1])))
+            ids, owner = np.where(missing, self.v.unknown, ids)[~again], owner[~again]
         counts = np.bincount(owner, minlength=len(words))
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
         self.pool.append(ids.astype(np.uint32))
         self.ends.append(self.ends[-1][-1] + np.cumsum(counts))
 
-    def _spelt(self, word: str, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out: list[int] = []
-        for i, stop in zip(ids.tolist(), ends.tolist(), strict=True):
-            if i >= 0:
-                out.append(i)
-            elif self.v.byte_ids:
-                out += [self.v.byte_ids[b] for b in word[stop - 1].encode("utf-8", "surrogatepass")]
-            elif not out or out[-1] != self.v.unknown:
-                out.append(self.v.unknown)
-        return np.array(out, np.int64)
-
     def _learn(self, words: list[str]) -> None:
         new, size = [], 0
         for word in words:
@@ -356,8 +355,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ids = encoder(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at, stop in portions(batch.column(1)):
+                some = batch.slice(at, stop - at)
                 ids = with_ids.batch([t.as_py() or "" for t in some.column(1)])
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids or [[]]).astype(np.int32), pa.int32()))
@@ -388,8 +387,8 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ids = encoder(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at, stop in portions(batch.column(1)):
+                some = batch.slice(at, stop - at)
                 texts = [t.as_py() or "" for t in some.column(1)]
                 ids = with_ids.batch(texts)
                 columns = [list(map(len, texts)), list(map(len, ids)), [zlib.crc32(i.tobytes()) for i in ids]]
