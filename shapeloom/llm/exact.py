@@ -21,8 +21,8 @@ from .common import BLANKS, lookup, numbered, stored
 
 MIN_CHUNK = 1024
 MAX_CHUNK = 16384
-# A chunk may end at a blank that follows a sign whose code is 19 modulo 32, say "s".
-CUT = "[" + "".join(chr(c) for c in range(0x33, 0x500, 32)) + r"][.,]?\x20"
+# A chunk may end at a blank that follows a sign whose code is 3 modulo 16, say "c" or "s".
+CUT = "[" + "".join(chr(c) for c in range(0x23, 0x500, 16)) + r"][.,]?\x20"
 
 
 def normalised(text: str | Column) -> Column:

@@ -93,7 +93,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings = S
         return weights.astype(np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     squares, bias, bias_square = np.full(settings.buckets, 1e-2), 0.0, 1.0
     random = np.random.default_rng(settings.seed)
-    balance = {c: len(classes) / (2 * classes.count(c)) for c in (0, 1)}
+    balance = {c: (len(classes) / (2 * classes.count(c))) ** 0.5 for c in (0, 1)}
     seen = np.zeros(settings.buckets, np.int64)
     for _, ids, _ in rows:
         seen[ids] += 1
