@@ -73,7 +73,7 @@ def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 # Bytes of text that a task works on at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 
 def portions(texts: pa.StringArray, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
@@ -84,3 +84,22 @@ def portions(texts: pa.StringArray, most: int = AT_ONCE) -> Iterator[tuple[int,
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, stop
         at = stop
+
+
+# Bytes that a worker gets at once, unless the session says otherwise.
+BATCH_BYTES = "16m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session keeps the default: bounds a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "64m", "67108864", "67108864b"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with Arrow's unused memory given back behind each."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()

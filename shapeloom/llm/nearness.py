@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup, numbered, stored
+from .common import bounded_batches, lookup, numbered, released, stored
 from .components import components
 
 WORDS = 5
@@ -42,7 +42,7 @@ ROWS = 5
 MARKS = 16
 _SEED = 20240607
 # Permutations at once: bounds the working memory for long documents.
-_BLOCK_VALUES = 4_000_000
+_BLOCK_VALUES = 250_000
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -100,8 +100,10 @@ def sketches(docs: DataFrame, rid: str) -> DataFrame:
         [T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     )
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sizes, sets, keys = [], [], []
             for text in batch.column(3):
                 found = shingles(text.as_py())
@@ -126,7 +128,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 found = [shingles(t.as_py()) for t in some.column(1)]
@@ -169,7 +171,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return (values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             linked = [similar(x, y) for x, y in zip(arrays(batch.column(2)), arrays(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=out.names)
 

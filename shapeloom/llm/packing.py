@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import portions
+from .common import bounded_batches, portions, released
 
 # Examples that wait for a place at most; more only delay when they are placed.
 WAITING = 128
@@ -249,11 +249,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits())
     out, arrow = _schema(docs)
     with open(vocabulary, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
+    bounded_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple]:
             encode, packer = encoder(spec.value), Packer(limits, _first_sequence())
-            for batch in batches:
+            for batch in released(batches):
                 ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
                 for at, stop in portions(texts):
                     for doc_id, found in zip(ids[at:stop].to_pylist(), encode.batch(texts[at:stop]), strict=True):

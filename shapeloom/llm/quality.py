@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_batches, fold
 from .labelled import Spans, byte_grams, featured, sample, sigmoid, to_buckets, word_spans
 
 FOLDS = 5
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> Column:
     """A column expression: the probability of class 1 of ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
