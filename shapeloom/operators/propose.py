@@ -14,51 +14,61 @@ from shapeloom.operators.manifest import dataset_of, route_by_complexity, target
 from shapeloom.operators.render import render_schema
 from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, parse_documents, shred_documents
 
-INSTRUCTION = """Work out the JSON Schema (Draft 2020-12) of the JSON document below.
-List members under 'required' where that is certain. Leave out every 'description'.
-Answer with the schema alone and stop after its last brace.
-
-Document:
-```json
-"""
-ANSWER_HEAD = "\n```\n\nJSON Schema:\n```json\n"
+INSTRUCTION = "Give the JSON Schema of this document."
 
 # Fixed value: message for a manifest path that names no dataset.
 BAD_PATH = "Invalid file path structure in manifest"
 
+# What is told of a document that is not JSON.
+UNREADABLE = "unreadable document"
+
 Generator = Callable[[list[str]], list[str | BaseException]]
 
 
 def prompts(docs: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:
-    """Add ``prompt``: the instruction around the document, indented."""
-    return docs.withColumn(
-        "prompt", F.concat(F.lit(instruction), indented(F.col("json")), F.lit(ANSWER_HEAD))
-    )
+    """Add ``prompt``: the instruction, then the document, indented; null if it is not JSON."""
+    return docs.withColumn("prompt", F.concat(F.lit(f"{instruction}\n\n"), indented(F.col("json"))))
 
 
-def propose_schemas(prompted: DataFrame, make_generator: Callable[[], Generator]) -> DataFrame:
+def propose_schemas(
+    prompted: DataFrame, make_generator: Callable[[], Generator], batch_rows: int = 64
+) -> DataFrame:
     """Ask the generator for every ``file, prompt``; gives ``file, response, error``.
 
     ``make_generator`` is called once per partition, where the model would be loaded. The
-    generator answers a batch of prompts with a text or an exception each; an exception, raised
-    or returned, becomes a row and never fails the job. Limits of time belong to the generator:
-    it signals them with ``TimeoutError``.
+    generator answers up to ``batch_rows`` prompts with a text or an exception each; an
+    exception, raised or returned, becomes a row and never fails the job. A batch that raises is
+    asked again prompt by prompt, so a document fails alone. A null prompt never reaches the
+    generator. Limits of time belong to the generator: it signals them with ``TimeoutError``.
     """
 
     def describe(problem: BaseException) -> str:
         return f"Timeout: {problem}" if isinstance(problem, TimeoutError) else str(problem)
 
+    def ask(generate: Generator, some: list[str]) -> list[str | BaseException]:
+        try:
+            answers = list(generate(some))
+            if len(answers) != len(some):
+                raise ValueError(f"{len(answers)} answers to {len(some)} prompts")
+            return answers
+        except Exception as problem:
+            return [problem] if len(some) == 1 else [a for one in some for a in ask(generate, [one])]
+
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = None
         for batch in batches:
+            answers: list[str | BaseException] = [ValueError(UNREADABLE)] * len(batch)
+            readable = [k for k, p in enumerate(batch["prompt"]) if isinstance(p, str)]
             try:
-                if generate is None:
+                if generate is None and readable:
                     generate = make_generator()
-                answers = list(generate(batch["prompt"].tolist()))
-                if len(answers) != len(batch):
-                    raise ValueError(f"{len(answers)} answers to {len(batch)} prompts")
+                for at in range(0, len(readable), batch_rows):
+                    some = readable[at : at + batch_rows]
+                    for k, got in zip(some, ask(generate, [batch["prompt"].iloc[k] for k in some])):
+                        answers[k] = got
             except Exception as problem:
-                answers = [problem] * len(batch)
+                for k in readable:
+                    answers[k] = problem
             failed = [isinstance(a, BaseException) for a in answers]
             yield pd.DataFrame(
                 {

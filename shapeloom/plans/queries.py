@@ -343,8 +343,10 @@ def _member_names() -> propose.Generator:
     def generate(prompts: list[str]) -> list[str | BaseException]:
         answers: list[str | BaseException] = []
         for prompt in prompts:
-            document = json.loads(prompt.split("```json\n")[1].split("\n```")[0])
-            if document["k"] == 0:
+            document = json.loads(prompt.split("\n\n", 1)[1])
+            if not isinstance(document, dict):
+                answers.append(ValueError("not an object"))
+            elif document.get("k") == 0:
                 answers.append(TimeoutError("too slow"))
             else:
                 answers.append(json.dumps({"type": "object", "required": sorted(document)}))

@@ -214,15 +214,19 @@ def test_generator_problems_become_rows(spark):
         return generate
 
     docs = spark.createDataFrame(
-        [("a", '{"a":1}'), ("b", '{"slow":1}'), ("c", '{"boom":1}')], "file string, json string"
-    ).repartition(3, "file")
+        [("a", '{"a":1}'), ("b", '{"slow":1}'), ("c", '{"boom":1}'), ("d", "no json"), ("e", '{"e":1}')],
+        "file string, json string",
+    ).coalesce(1)
     prompted = propose.prompts(docs, instruction="")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        got = {r.file: (r.response, r.error) for r in propose.propose_schemas(prompted, make).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == {"a": ("got a", None), "b": (None, "Timeout: late"), "c": (None, "no model")}
+    for batch_rows in (64, 2):
+        told = propose.propose_schemas(prompted, make, batch_rows).collect()
+        assert {r.file: (r.response, r.error) for r in told} == {
+            "a": ("got a", None),
+            "b": (None, "Timeout: late"),
+            "c": (None, "no model"),
+            "d": (None, propose.UNREADABLE),
+            "e": ("got e", None),
+        }
 
 
 def test_saved_answers(spark):
@@ -238,24 +242,25 @@ def test_saved_answers(spark):
     }
 
 
-def test_comparison_of_two_listings_schemas(spark):
-    """Nineteen shared paths, all of the same types, twelve of the same required flag."""
-    plain = ["id", "host_id", "nights", "reviews", "listings", "area", "room", "updated", "city"]
-    nullable = ["name", "last_review"]
-    only_right = ["column_10", "availability", "column_19", "column_20"]
-    left, right = [], []
-    for key in [*plain, *only_right]:
-        left.append(("l", f".{key}", ["integer"], key in plain))
-        right.append(("l", f".{key}", ["integer"], True))
-    for key in [*nullable, "per_month"]:
-        left.append(("l", f".{key}", ["string", "null"], key in nullable))
-        right.append(("l", f".{key}", ["null", "string"], True))
-    left += [("l", ".at", ["object"], True), ("l", ".at.lon", ["number"], False), ("l", ".at.lat", ["number"], False)]
-    right += [("l", ".at", ["object"], True), ("l", ".at.lon", ["number"], True), ("l", ".at.lat", ["number"], True)]
+def test_comparison_counts_paths_types_and_flags(spark):
+    """Three shared paths: one alike in all, one of another type, one required on one side only;
+    and a path on either side alone."""
     shape = "dataset string, path string, types array<string>, required boolean"
+    left = [
+        ("d", ".same", ["null", "string"], True),
+        ("d", ".kind", ["integer"], True),
+        ("d", ".flag", ["object"], False),
+        ("d", ".left", ["array"], True),
+    ]
+    right = [
+        ("d", ".same", ["string", "null"], True),
+        ("d", ".kind", ["number"], True),
+        ("d", ".flag", ["object"], True),
+        ("d", ".flag.right", ["boolean"], False),
+    ]
     diff = compare.schema_diff(
         spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), ["dataset"]
     )
     row = compare.schema_similarity(diff, ["dataset"]).first()
-    assert (row.paths, row.shared_paths, row.same_type, row.same_required) == (19, 19, 19, 12)
-    assert row.path_overlap == 1.0 and row.required_agreement == 12 / 19
+    assert (row.paths, row.shared_paths, row.same_type, row.same_required) == (5, 3, 2, 2)
+    assert row.path_overlap == 3 / 5 and row.required_agreement == 2 / 3
