@@ -25,6 +25,10 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
 
 
+# A task that writes a work table holds this much of it.
+ROW_GROUP_BYTES = 32 * 1024 * 1024
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -33,7 +37,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
@@ -87,7 +91,7 @@ def portions(texts: pa.StringArray, most: int = AT_ONCE) -> Iterator[tuple[int,
 
 
 # Bytes that a worker gets at once, unless the session says otherwise.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
