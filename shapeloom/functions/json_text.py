@@ -19,9 +19,26 @@ def strip_bom(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit(BOM)), F.substring(text, 2, 2147483647)).otherwise(text)
 
 
+def _floats_marked(text: Column) -> Column:
+    """Large floats without a fraction spelt with an exponent, outside of strings.
+
+    The parser turns ``12345678901234567890.0`` into a decimal and forgets the fraction's zeros;
+    spelt with an exponent it stays a number that is not an integer.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[^"]++'), F.lit(0))
+    marked = F.transform(
+        tokens,
+        lambda t: F.when(F.startswith(t, F.lit('"')), t).otherwise(F.regexp_replace(t, _LARGE_FLOAT, "$1e0")),
+    )
+    return F.when(F.regexp_like(text, F.lit(_LARGE_FLOAT)), F.array_join(marked, "")).otherwise(text)
+
+
+_LARGE_FLOAT = r"([0-9]{19})\.0+(?![0-9.eE])"
+
+
 def parse_strict(text: Column) -> Column:
     """The text as a variant, or NULL unless it is exactly one JSON value."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), _floats_marked(text), F.lit(f',"{_MARK}"]')))
 
     def whole(w: Column) -> Column:
         ends = F.try_variant_get(w, "$[1]", "string") == _MARK

@@ -157,6 +157,7 @@ def file_documents(
     collection: str = "file",
     existing: DataFrame | None = None,
     whole_bytes: int = WHOLE_FILE_BYTES,
+    glob: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The JSON values of every raw file, and what became of each file.
 
@@ -164,7 +165,7 @@ def file_documents(
     parses as a whole and is not too large. Values come as ``dataset, file, v``; outcomes as
     ``dataset, file, outcome``. Files in ``existing`` (``file``) are left out.
     """
-    lines = text_lines(spark, path, collection).filter(not_blank(F.col("text")))
+    lines = text_lines(spark, path, collection, glob=glob).filter(not_blank(F.col("text")))
     if existing is not None:
         lines = lines.join(existing.select("file").distinct(), "file", "left_anti")
     parsed = with_computed(lines, "v", parse_strict(F.col("text")))
@@ -175,7 +176,7 @@ def file_documents(
     )
     by_line = parsed.join(small_side(tried.filter("broken = 0").select("file")), "file", "left_semi")
     second = tried.filter("broken > 0").select("file")
-    small = whole_files(spark, path, collection).filter(F.col("size_bytes") <= whole_bytes)
+    small = whole_files(spark, path, collection, glob).filter(F.col("size_bytes") <= whole_bytes)
     as_one = with_computed(
         small.join(small_side(second), "file", "left_semi"), "v", parse_strict(F.col("text"))
     )

@@ -12,12 +12,14 @@ from shapeloom.session import small_side
 SIZE_TARGET_BYTES = 80 * 1024 * 1024
 
 
-def sampling_plan(sizes: DataFrame, size_target: int = SIZE_TARGET_BYTES) -> DataFrame:
-    """``dataset, size_bytes`` to keep-all flag and step ``k``; halves round to even."""
+def sampling_plan(
+    sizes: DataFrame, size_target: int = SIZE_TARGET_BYTES, by: str = "dataset"
+) -> DataFrame:
+    """``by, size_bytes`` to keep-all flag and step ``k``; halves round to even."""
     size = F.col("size_bytes")
     ratio = F.rint(size / F.lit(float(size_target)))
     return sizes.select(
-        "dataset",
+        by,
         "size_bytes",
         (size <= size_target).alias("keep_all"),
         F.when(size <= size_target, F.lit(1))
@@ -34,16 +36,16 @@ def collection_sizes(docs: DataFrame, text: str = "json", per_row: int = 1) -> D
     )
 
 
-def _block_offsets(docs: DataFrame, block: list[str], measure: Column) -> DataFrame:
-    """What all earlier blocks of a dataset add up to, for each block.
+def _block_offsets(docs: DataFrame, block: list[str], measure: Column, by: str) -> DataFrame:
+    """What all earlier blocks of a dataset (or file) add up to, for each block.
 
     Only the block totals are ordered per dataset; they are smaller than the data by the number
     of rows in a block.
     """
-    totals = docs.groupBy("dataset", *block).agg(F.sum(measure).alias("total"))
-    before = Window.partitionBy("dataset").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = docs.groupBy(by, *block).agg(F.sum(measure).alias("total"))
+    before = Window.partitionBy(by).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        "dataset", *block, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")
+        by, *block, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")
     )
 
 
@@ -54,35 +56,40 @@ def running_total(
     measure: Column,
     name: str,
     facts: DataFrame | None = None,
+    by: str = "dataset",
 ) -> DataFrame:
-    """Inclusive running total of ``measure`` per dataset in the order of ``block, order``.
+    """Inclusive running total of ``measure`` per dataset, or ``by``, in the order of ``block, order``.
 
     ``block`` columns split a dataset into ordered ranges. Rows are sorted inside their block
     only, so one very large dataset is worked on by as many tasks as it has blocks. ``facts`` per
     dataset are brought in by way of the blocks: no row is ever joined on its dataset alone.
     """
-    offsets = _block_offsets(docs, block, measure)
+    offsets = _block_offsets(docs, block, measure, by)
     if facts is not None:
-        offsets = offsets.join(facts, "dataset")
+        offsets = offsets.join(facts, by)
     inside = (
-        Window.partitionBy("dataset", *block)
+        Window.partitionBy(by, *block)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         docs.withColumn(name, F.sum(measure).over(inside))
-        .join(offsets, ["dataset", *block])
+        .join(offsets, [by, *block])
         .withColumn(name, F.col(name) + F.col("offset"))
         .drop("offset")
     )
 
 
 def dense_index(
-    docs: DataFrame, block: list[str], order: list[str], facts: DataFrame | None = None
+    docs: DataFrame,
+    block: list[str],
+    order: list[str],
+    facts: DataFrame | None = None,
+    by: str = "dataset",
 ) -> DataFrame:
-    """``idx``: position of a row in its dataset, from 0, without gaps."""
+    """``idx``: position of a row in its dataset, or ``by``, from 0, without gaps."""
     one = F.lit(1).cast("long")
-    counted = running_total(docs, block, order, one, "idx", facts)
+    counted = running_total(docs, block, order, one, "idx", facts, by)
     return counted.withColumn("idx", F.col("idx") - 1)
 
 
@@ -97,8 +104,8 @@ def systematic_sample(
     )
 
 
-def sample_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
-    """Every k-th line of text files as read by ``sources.lines.text_lines``.
+def sample_lines(lines: DataFrame, plan: DataFrame, by: str = "dataset") -> DataFrame:
+    """Every k-th line of a dataset, or of a ``file``, as read by ``sources.texts.text_lines``.
 
     Blank lines count. A line's position in its split is known from the scan, so only the
     number of lines per split has to be found out first: lines are neither sorted nor shuffled.
@@ -107,11 +114,11 @@ def sample_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
         F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("total")
     )
     before = (
-        Window.partitionBy("dataset")
+        Window.partitionBy(by)
         .orderBy("file", "block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = splits.join(plan.select("dataset", "k"), "dataset").select(
+    offsets = splits.join(plan.select(by, "k"), by).select(
         "file",
         "block",
         "k",
@@ -142,8 +149,8 @@ def split_documents(arrays: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def file_outcome(head: Column) -> Column:
-    """``array``, ``lines``, ``empty`` or ``unknown``, from the start of a file's text."""
-    peek = F.regexp_replace(F.substring(head, 1, 100), r"^\s+|\s+$", "")
+    """``array``, ``lines``, ``empty`` or ``unknown``, by the first character that is not blank."""
+    peek = F.regexp_extract(head, r"^\s*(\S)", 1)
     return (
         F.when(peek == "", "empty")
         .when(F.startswith(peek, F.lit("[")), "array")

@@ -39,6 +39,16 @@ def events_props(spark: SparkSession, sf_dir: str, spread: bool = False) -> Data
     )
 
 
+# Same text in both SQL dialects: datasets of very different sizes.
+UNEVEN_SQL = "case when event_id % 100 < 70 then 'large' when event_id % 100 < 95 then 'middle' else 'small' end"
+
+
+def uneven_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{UNEVEN_SQL} as dataset", "event_id as doc_id", "props as json"
+    )
+
+
 def orders_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble_documents(
         *[table(spark, sf_dir, name) for name in ("customer", "orders", "lineitem", "part")]

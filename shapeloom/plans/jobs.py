@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapeloom.functions.paths import base_name
@@ -22,32 +22,40 @@ def prepare_documents(
 ) -> DataFrame:
     """Raw files, arrays or lines, each sampled down to about the target and split to documents.
 
-    Writes ``dataset, doc_id, json`` to ``out`` and returns the outcome of every file.
+    Writes ``dataset, doc_id, json`` to ``out`` and returns ``dataset, file, format, documents``
+    of every raw file; a file of a known format without documents is empty or not sound. Files
+    of one stem are one dataset, numbered on from file to file.
     """
     configure(spark)
-    heads = cut(sampling.detect_file_format(texts.file_heads(spark, path)))
-    usable = heads.filter(F.col("format").isin("array", "lines"))
-    plan = sampling.sampling_plan(usable.select("dataset", "size_bytes"), size_target)
+    heads = cut(sampling.detect_file_format(texts.file_heads(spark, path, glob=texts.RAW_FILES)))
+    usable = sampling.drop_empty_files(heads)
+    plan = sampling.sampling_plan(usable.select("file", "size_bytes"), size_target, "file")
     of_format = {f: small_side(usable.filter(F.col("format") == f).select("file")) for f in ("array", "lines")}
 
     lines = texts.text_lines(spark, path).join(of_format["lines"], "file", "left_semi")
-    kept = texts.valid_collections(sampling.sample_lines(lines, plan))
-    numbered = sampling.dense_index(kept.drop("idx"), ["file", "block"], ["pos"])
+    kept = texts.valid_lines(sampling.sample_lines(lines, plan, "file"))
+    numbered = sampling.dense_index(kept.drop("idx"), ["block"], ["pos"], by="file")
     from_lines = numbered.select(
-        "dataset", (F.col("idx") + 1).alias("doc_no"), F.col("text").alias("json")
+        "dataset", "file", (F.col("idx") + 1).alias("place"), F.col("text").alias("json")
     )
 
-    elements = texts.scan_json_array(spark, path).join(of_format["array"], "file", "left_semi")
-    steps = small_side(plan.select("dataset", "k"))
-    place = F.col("doc_no") - 1
+    elements = texts.scan_json_array(spark, path, wanted=of_format["array"])
+    step = F.col("k")
     from_arrays = (
-        elements.join(steps, "dataset")
-        .filter(place % F.col("k") == 0)
-        .select("dataset", (F.floor(place / F.col("k")) + 1).alias("doc_no"), "json")
+        elements.join(small_side(plan.select("file", "k")), "file")
+        .filter((F.col("doc_no") - 1) % step == 0)
+        .select("dataset", "file", (F.floor((F.col("doc_no") - 1) / step) + 1).alias("place"), "json")
+    )
+    # Samples are small by the target, whatever the size of the files.
+    documents = cut(from_lines.unionByName(from_arrays))
+    counts = cut(documents.groupBy("dataset", "file").agg(F.count(F.lit(1)).alias("documents")))
+    earlier = Window.partitionBy("dataset").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("file", F.coalesce(F.sum("documents").over(earlier), F.lit(0)).alias("shift"))
+    named = documents.join(small_side(shifts), "file").withColumn("doc_no", F.col("shift") + F.col("place"))
+    tables.write_documents(tables.numbered_documents(named), out)
+    return heads.join(counts.drop("dataset"), "file", "left").select(
+        "dataset", "file", "format", F.coalesce("documents", F.lit(0)).alias("documents")
     )
-    documents = tables.numbered_documents(from_lines.unionByName(from_arrays))
-    tables.write_documents(documents, out)
-    return heads.select("dataset", "file", "format")
 
 
 def _named_documents(spark: SparkSession, documents: str) -> DataFrame:
@@ -133,16 +141,35 @@ def master_schemas(
 
 
 def raw_file_schemas(
-    spark: SparkSession, path: str, out: str, max_depth: int = DEFAULT_MAX_DEPTH
+    spark: SparkSession,
+    path: str,
+    out: str,
+    max_depth: int = DEFAULT_MAX_DEPTH,
+    existing: DataFrame | None = None,
 ) -> DataFrame:
-    """Write a schema per raw file and return ``json_path, schema_path`` of the pairs."""
+    """Write a schema per raw JSON file; returns ``json_path, outcome, schema_path`` of each file.
+
+    A schema is named by its file's place below ``path``, ``<stem>.schema.json``, whatever other
+    files share the stem; files that gave no value have none. Files in ``existing`` (``file``) are
+    left out and their schemas stay.
+    """
     configure(spark)
     keys = ["dataset", "file"]
-    values, _ = infer.file_documents(spark, path)
+    values, outcomes = infer.file_documents(spark, path, existing=existing, glob="*.json")
     paths = cut(infer.infer_paths(shred_documents(values, keys, max_depth), keys))
-    tables.write_schemas(render_schema(paths, ["dataset"]), out)
-    folder = F.concat(F.lit(out.rstrip("/") + "/dataset="), "dataset")
-    return paths.select(F.col("file").alias("json_path"), folder.alias("schema_path")).distinct()
+    schemas = render_schema(paths, keys).select(_schema_name(path).alias("schema"), "schema_json")
+    tables.write_file_schemas(schemas, out)
+    written = F.concat(F.lit(out.rstrip("/") + "/schema="), F.replace(_schema_name(path), F.lit("/"), F.lit("%2F")))
+    made = paths.select("file").distinct().withColumn("schema_path", written)
+    return outcomes.join(made, "file", "left").select(
+        F.col("file").alias("json_path"), "outcome", "schema_path"
+    )
+
+
+def _schema_name(root: str) -> Column:
+    """Path of a file below the root, with the extension of a schema."""
+    place = F.regexp_replace("file", r"^\Q" + texts.without_scheme(root) + r"\E/*", "")
+    return F.concat(F.regexp_replace(place, r"\.json$", ""), F.lit(".schema.json"))
 
 
 def similarity(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -347,11 +347,12 @@ def oracle_sql() -> dict[str, str]:
         "sampling_plan": f"""select dataset, size_bytes, size_bytes <= {SAMPLE_BYTES} as keep_all,
             case when size_bytes <= {SAMPLE_BYTES} then 1
                  else greatest(1, round_even(size_bytes / {SAMPLE_BYTES}.0, 0)::bigint) end::bigint as k
-            from (select event_type as dataset, sum(strlen(props) + 1)::bigint as size_bytes
+            from (select {corpora.UNEVEN_SQL} as dataset, sum(strlen(props) + 1)::bigint as size_bytes
                   from events group by 1)""",
         "systematic_sample": f"""select dataset, doc_id, idx, json from (
             select *, row_number() over (partition by dataset order by doc_id) - 1 as idx
-            from ({_EVENTS_PROPS})) join (select event_type as dataset,
+            from (select {corpora.UNEVEN_SQL} as dataset, event_id as doc_id, props as json from events))
+            join (select {corpora.UNEVEN_SQL} as dataset,
                 case when sum(strlen(props) + 1) <= {SAMPLE_BYTES} then 1 else greatest(1,
                     round_even(sum(strlen(props) + 1) / {SAMPLE_BYTES}.0, 0)::bigint) end as k
                 from events group by 1) using (dataset) where idx % k = 0""",

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 DEPTH = 6
 SCHEMA_DEPTH = 5
 SUBSET_BYTES = 10_000
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 10_000
 
 _QUERIES: dict[str, Query] = {}
 
@@ -58,7 +58,7 @@ def _nodes(docs: DataFrame, keys: list[str]) -> DataFrame:
 @_query
 def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = corpora.write_lines(spark, sf_dir)
-    return texts.scan_json_lines(spark, path, "directory").select("dataset", "json")
+    return texts.scan_json_lines(spark, path, "directory", reject="dataset").select("dataset", "json")
 
 
 @_query
@@ -147,13 +147,13 @@ def append_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def sampling_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = sampling.collection_sizes(corpora.events_props(spark, sf_dir))
+    sizes = sampling.collection_sizes(corpora.uneven_props(spark, sf_dir))
     return sampling.sampling_plan(sizes, SAMPLE_BYTES)
 
 
 @_query
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpora.events_props(spark, sf_dir)
+    docs = corpora.uneven_props(spark, sf_dir)
     plan = sampling.sampling_plan(sampling.collection_sizes(docs), SAMPLE_BYTES)
     sample = sampling.systematic_sample(docs.withColumn("block", _block()), plan, ["block"], ["doc_id"])
     return sample.select("dataset", "doc_id", "idx", "json")

@@ -115,6 +115,18 @@ def write_schemas(schemas: DataFrame, path: str) -> None:
     )
 
 
+def write_file_schemas(schemas: DataFrame, path: str) -> None:
+    """``schema, schema_json``, a file per schema; schemas written before stay unless written anew."""
+    (
+        schemas.select("schema", "schema_json")
+        .repartition("schema")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("schema")
+        .text(path)
+    )
+
+
 def read_schemas(spark: SparkSession, path: str) -> DataFrame:
     layout = "value string, dataset string"
     read = spark.read.schema(layout).option("wholetext", True).text(path)

@@ -27,8 +27,16 @@ def _collection(by: str) -> Column:
     raise ValueError(f"a collection is a 'file' or a 'directory', not {by!r}")
 
 
+# The extensions of raw files.
+RAW_FILES = "*.{json,jsonl}"
+
+
 def text_lines(
-    spark: SparkSession, path: str, collection: str = "file", separator: str | None = None
+    spark: SparkSession,
+    path: str,
+    collection: str = "file",
+    separator: str | None = None,
+    glob: str | None = None,
 ) -> DataFrame:
     """``dataset, file, block, pos, text``: every line with its place in the file.
 
@@ -38,6 +46,8 @@ def text_lines(
     reader = spark.read.option("recursiveFileLookup", True)
     if separator is not None:
         reader = reader.option("lineSep", separator)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
     lines = reader.text(path).select(
         _file_path().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -66,47 +76,46 @@ def not_blank(text: Column) -> Column:
     return F.regexp_like(text, F.lit(r"\S"))
 
 
-def scan_json_lines(spark: SparkSession, path: str, collection: str = "file") -> DataFrame:
+def scan_json_lines(
+    spark: SparkSession, path: str, collection: str = "file", reject: str = "file"
+) -> DataFrame:
     """``dataset, file, block, pos, json``: a row per line that is not blank.
 
-    One line that is not JSON rejects its whole collection.
+    One line that is not JSON rejects its whole ``file``, or its whole ``dataset``.
     """
-    return valid_collections(text_lines(spark, path, collection)).withColumnRenamed("text", "json")
+    return valid_lines(text_lines(spark, path, collection), reject).withColumnRenamed("text", "json")
 
 
-def valid_collections(lines: DataFrame) -> DataFrame:
+def valid_lines(lines: DataFrame, reject: str = "file") -> DataFrame:
     lines = lines.filter(not_blank(F.col("text")))
-    broken = lines.filter(parse_strict(F.col("text")).isNull()).select("dataset").distinct()
-    return lines.join(small_side(broken), "dataset", "left_anti")
+    broken = lines.filter(parse_strict(F.col("text")).isNull()).select(reject).distinct()
+    return lines.join(small_side(broken), reject, "left_anti")
 
 
-def file_heads(spark: SparkSession, path: str, collection: str = "file") -> DataFrame:
-    """``dataset, file, size_bytes, text`` with the first 100 characters of each file only.
+def file_heads(
+    spark: SparkSession, path: str, collection: str = "file", glob: str | None = None
+) -> DataFrame:
+    """``dataset, file, size_bytes, text``: at most 100 characters of each file, from the first
+    one on that is not blank.
 
-    Files are read in short pieces and all but the first hundred are dropped at once, so no file
-    and no line is held whole. Empty files are listed too.
+    Files are read in pieces that end at commas, of which only the first of a file is looked at:
+    one that is blank has a comma behind it, or nothing. Empty files are listed too.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(
-            _file_path().alias("file"), F.col("length").alias("size_bytes")
-        )
-    )
-    lines = text_lines(spark, path, collection, separator=",").filter("block = 0")
-    first = lines.groupBy("file").agg(F.min("pos").alias("first_pos"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    listed = reader.load(path).select(_file_path().alias("file"), F.col("length").alias("size_bytes"))
+    pieces = text_lines(spark, path, collection, separator=",", glob=glob).filter("block = 0")
+    start = F.substring(F.regexp_replace("text", r"^\s+", ""), 1, 100)
     opening = (
-        lines.select("file", "pos", F.substring("text", 1, 100).alias("text"))
-        .join(first, "file")
-        .filter(F.col("pos") - F.col("first_pos") <= 100)
+        pieces.select("file", "pos", start.alias("start"))
         .groupBy("file")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("lines"))
-        .select("file", F.array_join(F.transform("lines", lambda x: x["text"]), ",").alias("text"))
+        .agg(F.min_by("start", "pos").alias("start"), F.count(F.lit(1)).alias("pieces"))
+        .select("file", F.when((F.col("start") == "") & (F.col("pieces") > 1), ",").otherwise(F.col("start")).alias("text"))
     )
     return (
         listed.join(opening, "file", "left")
-        .withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 100))
+        .withColumn("text", F.coalesce("text", F.lit("")))
         .withColumn("dataset", _collection(collection))
     )
 
@@ -124,10 +133,14 @@ def scan_documents(
     return files.filter(parse_strict(F.col("json")).isNotNull())
 
 
+def without_scheme(root: str) -> str:
+    """A folder as the scans name it."""
+    return re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?(?=/)", "", root).rstrip("/")
+
+
 def scan_schema_corpus(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """``dataset, file, text``: every JSON file in the folder of each dataset, at any depth."""
-    plain = re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?(?=/)", "", root).rstrip("/")
-    below = rf"\Q{plain}\E/+([^/]+)/"
+    below = rf"\Q{without_scheme(root)}\E/+([^/]+)/"
     files = whole_files(spark, root, "directory", glob)
     return (
         files.withColumn("dataset", F.regexp_extract("file", below, 1))
@@ -136,14 +149,21 @@ def scan_schema_corpus(spark: SparkSession, root: str, glob: str = "*.json") ->
     )
 
 
-def scan_json_array(spark: SparkSession, path: str, collection: str = "file") -> DataFrame:
+def scan_json_array(
+    spark: SparkSession, path: str, collection: str = "file", wanted: DataFrame | None = None
+) -> DataFrame:
     """``dataset, file, doc_no, json``: a row per element of the array each file holds.
 
+    Of the files in ``wanted`` (``file``) only, if given: no others are shuffled.
+
     The text of the elements is kept as it is. Files are cut at their commas, split by split, so
     an array may be larger than any task could hold. Files that are no array, or no JSON, are
     left out whole.
     """
-    elements = array_elements(text_lines(spark, path, collection, separator=","))
+    pieces = text_lines(spark, path, collection, separator=",")
+    if wanted is not None:
+        pieces = pieces.join(wanted, "file", "left_semi")
+    elements = array_elements(pieces)
     # Written once: whether a file is sound is known only when all its elements are.
     elements = cut(elements.withColumn("valid", parse_strict(F.col("json")).isNotNull()))
     sound = F.every("valid") & F.bool_or("last")

@@ -281,3 +281,17 @@ def test_byte_order_mark_and_approval(spark):
     approved = spark.createDataFrame([("a",), ("c",)], "file string")
     paths = infer.infer_schema(docs, approved, DEPTH).collect()
     assert {(r.path, r.required) for r in paths} == {("", False), (".x", True)}
+
+
+def test_large_floats_are_numbers(spark):
+    cases = {
+        "12345678901234567890.0": "number", "12345678901234567890": "integer", "1234567890123456789.00": "number",
+        "-9999999999999999999.0": "number", "1234567890123456789012345": "integer", "12345678901234567890.05": "number",
+        "12345678901234567890.0e2": "number", "1.0": "number", "1234567890123456789": "integer",
+        '"12345678901234567890.0"': "string",
+    }
+    rows = [(text, f'{{"12345678901234567890.0 \\" 1": {text}}}') for text in cases]
+    docs = parse_documents(spark.createDataFrame(rows, "id string, json string"))
+    nodes = shred_documents(docs, ["id"], 3).filter("depth = 2").collect()
+    assert {r.id: r.kind for r in nodes} == cases
+    assert {r.path for r in nodes} == {'.12345678901234567890~10 " 1'}

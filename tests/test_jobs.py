@@ -46,9 +46,59 @@ def test_from_files_to_schemas(spark, tmp_path):
     assert (row.dataset, row.paths, row.shared_paths, row.same_type, row.same_required) == ("shop", 7, 2, 2, 1)
 
 
+def test_files_of_one_stem_are_numbered_on(spark, tmp_path):
+    (tmp_path / "x.json").write_text(" " * 120 + '[{"a":1},{"a":2}]')
+    (tmp_path / "x.jsonl").write_text('{"b":1}\n\n{"b":2}\n')
+    (tmp_path / "README").write_text('{"no":"data"}\n')
+    (tmp_path / "bad.jsonl").write_text('{"c":1}\n{"c":\n')
+    (tmp_path / "blank.json").write_text(" \n")
+    (tmp_path / "comma.json").write_text(" ,[1]")
+    documents = fresh_dir(spark, "documents")
+    outcomes = jobs.prepare_documents(spark, str(tmp_path), documents).collect()
+    assert {(r.file.rsplit("/", 1)[1], r.format, r.documents) for r in outcomes} == {
+        ("x.json", "array", 2), ("x.jsonl", "lines", 2), ("bad.jsonl", "lines", 0),
+        ("blank.json", "empty", 0), ("comma.json", "unknown", 0),
+    }
+    got = sorted((r.dataset, r.doc_id, r.json) for r in tables.read_documents(spark, documents).collect())
+    texts = ['{"a":1}', '{"a":2}', '{"b":1}', '{"b":2}']
+    assert got == [("x", f"document_{i + 1}", text) for i, text in enumerate(texts)]
+
+
+def test_each_file_is_sampled_by_its_own_size(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps([{"a": i} for i in range(50)]))
+    (tmp_path / "x.jsonl").write_text("".join(f'{{"b":{i}}}\n' for i in range(90)))
+    sizes = {n: (tmp_path / n).stat().st_size for n in ("x.json", "x.jsonl")}
+    documents, target = fresh_dir(spark, "documents"), 200
+    jobs.prepare_documents(spark, str(tmp_path), documents, target)
+    want = [{"a": i} for i in range(0, 50, round(sizes["x.json"] / target))]
+    want += [{"b": i} for i in range(0, 90, round(sizes["x.jsonl"] / target))]
+    got = {r.doc_id: json.loads(r.json) for r in tables.read_documents(spark, documents).collect()}
+    assert got == {f"document_{i + 1}": d for i, d in enumerate(want)}
+
+
 def test_raw_files_pair_with_their_schemas(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
     (tmp_path / "a.json").write_text('{"x":1}\n{"x":2}\n')
+    (tmp_path / "sub" / "a.json").write_text('[{"y":true}]')
+    (tmp_path / "a.jsonl").write_text('{"z":1}\n')
     (tmp_path / "b.json").write_text("oops")
-    pairs = jobs.raw_file_schemas(spark, str(tmp_path), fresh_dir(spark, "file_schemas"), 4).collect()
-    assert [r.json_path for r in pairs] == [str(tmp_path / "a.json")]
-    assert pairs[0].schema_path.endswith("/dataset=a")
+    out = fresh_dir(spark, "file_schemas")
+    pairs = {r.json_path: r for r in jobs.raw_file_schemas(spark, str(tmp_path), out, 4).collect()}
+    top, below, bad = (str(tmp_path / n) for n in ("a.json", "sub/a.json", "b.json"))
+    assert {k: r.outcome for k, r in pairs.items()} == {top: "lines", below: "lines", bad: "unparsable"}
+    assert pairs[bad].schema_path is None
+
+    def schema(name):
+        files = spark.read.text(pairs[name].schema_path, wholetext=True).collect()
+        return [json.loads(r.value) for r in files]
+
+    assert [list(s["properties"]) for s in schema(top)] == [["x"]]
+    assert [list(s["items"]["properties"]) for s in schema(below)] == [["y"]]
+    assert pairs[top].schema_path.endswith("/schema=a.schema.json")
+
+    # What is there already is left alone, and stays.
+    (tmp_path / "c.json").write_text('{"w":null}')
+    done = spark.createDataFrame([(top,), (below,)], "file string")
+    again = jobs.raw_file_schemas(spark, str(tmp_path), out, 4, done).collect()
+    assert {r.json_path for r in again} == {bad, str(tmp_path / "c.json")}
+    assert [list(s["properties"]) for s in schema(top)] == [["x"]]

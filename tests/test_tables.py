@@ -160,8 +160,12 @@ def test_arrays_are_cut_at_the_right_commas(spark, tiny_splits, tmp_path):
 def test_lines_with_a_broken_one_are_left_out_whole(spark, tmp_path):
     (tmp_path / "good.jsonl").write_text('{"a":1}\n\n  \n[2]\n')
     (tmp_path / "bad.jsonl").write_text('{"a":1}\n{"a":\n')
+    good = ["[2]", '{"a":1}']
     got = texts.scan_json_lines(spark, str(tmp_path)).collect()
-    assert sorted((r.dataset, r.json) for r in got) == [("good", "[2]"), ("good", '{"a":1}')]
+    assert sorted((r.dataset, r.json) for r in got) == [("good", t) for t in good]
+    folder = texts.scan_json_lines(spark, str(tmp_path), "directory").collect()
+    assert sorted((r.dataset, r.json) for r in folder) == [(tmp_path.name, t) for t in good]
+    assert texts.scan_json_lines(spark, str(tmp_path), "directory", reject="dataset").isEmpty()
 
 
 def test_files_by_line_or_whole(spark, tmp_path):
