@@ -85,13 +85,19 @@ def propose_for_pending(
     """Ask a generator about every pending document that is not of the low tier.
 
     Writes ``dataset, object_type, file, text`` of the answers as Parquet, appends the outcomes
-    to the log and flags what succeeded in the manifest.
+    to the log and flags what succeeded in the manifest. Documents whose answers an earlier run
+    stored without coming to flag them are flagged now and not asked about again.
     """
     configure(spark)
     listed = tables.scan_manifest(spark, manifest_path)
     wanted = manifest.route_by_complexity(listed).filter(
         (F.col("tier") != "skip") & manifest.dataset_of(F.col("file")).isNotNull()
     )
+    if tables.is_written(spark, out):
+        stored = spark.read.parquet(out).select("file").distinct()
+        wanted = wanted.join(small_side(stored), "file", "left_anti")
+    # Settled before answers are appended to what it is made from.
+    wanted = cut(wanted)
     named = _named_documents(spark, documents).join(wanted.select("file"), "file", "left_semi")
     # Answers are costly: they are written once and read from there.
     responses = cut(proposing.propose_schemas(proposing.prompts(named), make_generator))

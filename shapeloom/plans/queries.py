@@ -19,9 +19,6 @@ from shapeloom.sources import tables, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The corpora nest no deeper than this; a document that did would raise an error, not get lost.
-DEPTH = 6
-SCHEMA_DEPTH = 5
 SUBSET_BYTES = 10_000
 SAMPLE_BYTES = 10_000
 
@@ -49,7 +46,7 @@ def _block() -> Column:
 
 
 def _nodes(docs: DataFrame, keys: list[str]) -> DataFrame:
-    return shred_documents(parse_documents(docs), keys, DEPTH)
+    return shred_documents(parse_documents(docs), keys)
 
 
 # --- scans, sources, sinks ------------------------------------------------------------------
@@ -208,7 +205,7 @@ _QUERIES["shred_documents"] = _QUERIES.pop("shred_documents_")
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    profiled = profile.document_complexity(docs, ["dataset", "doc_id"], max_depth=DEPTH)
+    profiled = profile.document_complexity(docs, ["dataset", "doc_id"])
     return profiled.withColumn("depth", F.col("depth").cast("long"))
 
 
@@ -224,7 +221,7 @@ def classify_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = profile.build_manifest(corpora.manifest_documents(spark, sf_dir), DEPTH)
+    manifest = profile.build_manifest(corpora.manifest_documents(spark, sf_dir))
     return manifest.withColumn("depth", F.col("depth").cast("long"))
 
 
@@ -288,7 +285,7 @@ def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     approved = manifests.approved_texts(
         corpora.manifest(spark, sf_dir), corpora.manifest_documents(spark, sf_dir)
     )
-    return infer.infer_schema(approved, max_depth=DEPTH).select(
+    return infer.infer_schema(approved).select(
         "dataset", "path", "nodes", _types(), "required"
     )
 
@@ -314,7 +311,7 @@ def infer_array_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def infer_file_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = corpora.write_arrays(spark, sf_dir)
-    paths = infer.infer_file_schemas(spark, path, "directory", max_depth=DEPTH)
+    paths = infer.infer_file_schemas(spark, path, "directory")
     return paths.select("dataset", "path", "nodes", _types(), "required")
 
 
@@ -393,24 +390,24 @@ def repair_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def repair_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.repair_required(_parsed(spark, sf_dir), max_depth=SCHEMA_DEPTH)
+    return repair.repair_required(_parsed(spark, sf_dir))
 
 
 @_query
 def repair_misplaced_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = repair.repair_misplaced_properties(
-        _parsed(spark, sf_dir), ["dataset", "file"], max_depth=SCHEMA_DEPTH
+        _parsed(spark, sf_dir), ["dataset", "file"]
     )
     return moved.select("dataset", "file", "path", "type_form", _types())
 
 
 @_query
 def repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.repair_report(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH)
+    return repair.repair_report(corpora.proposals(spark, sf_dir))
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vote.schema_nodes(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH)
+    return vote.schema_nodes(corpora.proposals(spark, sf_dir))
 
 
 @_query
@@ -449,14 +446,14 @@ def resolve_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def merge_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = vote.merge_schemas(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH)
+    merged = vote.merge_schemas(corpora.proposals(spark, sf_dir))
     return merged.filter(is_member(F.col("path"))).select("dataset", "path", _types(), "required")
 
 
 @_query
 def render_master_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_master(
-        vote.merge_schemas(corpora.proposals(spark, sf_dir), max_depth=SCHEMA_DEPTH), ["dataset"]
+        vote.merge_schemas(corpora.proposals(spark, sf_dir)), ["dataset"]
     )
 
 
@@ -466,13 +463,13 @@ def render_master_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The master schema voted from one proposal per document against the inferred one."""
     docs = corpora.docs_sparse(spark, sf_dir)
-    proposals = propose.propose_offline(docs, ["dataset", "doc_id"], DEPTH).select(
+    proposals = propose.propose_offline(docs, ["dataset", "doc_id"]).select(
         "dataset", F.col("doc_id").alias("file"), F.col("response").alias("text")
     )
     # Proposals are kept, as a model's answers would be: the merge reads them twice.
     proposals = cut(proposals)
-    voted = vote.merge_schemas(proposals, max_depth=SCHEMA_DEPTH)
-    return compare.schema_diff(voted, infer.infer_schema(docs, max_depth=DEPTH), ["dataset"])
+    voted = vote.merge_schemas(proposals)
+    return compare.schema_diff(voted, infer.infer_schema(docs), ["dataset"])
 
 
 @_query

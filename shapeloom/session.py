@@ -33,7 +33,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without one; it gets a temporary folder.
+    Only a local session may go without one; it gets a temporary folder. Checkpoints go when the
+    application ends.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,12 +44,19 @@ def checkpoint_root(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         if _local_root is None:
             _local_root = tempfile.mkdtemp(prefix="shapeloom-")
+            _gone_at_end(spark, _local_root)
         root = _local_root
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
+        _gone_at_end(spark, context.getCheckpointDir())
     return root
 
 
+def _gone_at_end(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

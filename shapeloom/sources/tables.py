@@ -47,8 +47,10 @@ def typed_manifest(manifest: DataFrame) -> DataFrame:
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """Replace the manifest at ``path``.
 
-    The rows are written beside it and take its place in one rename when complete, so it may be
-    written from its own old content, and a failed job leaves the old one.
+    The rows are written beside it, so it may be written from its own old content, and a failed
+    job leaves the old one. Complete, they take its place by two renames: the old one steps aside,
+    and comes back if the new one cannot take its place. For a moment between them there is none,
+    and on stores that copy to rename the moment lasts as long as the copy.
     """
     spark = manifest.sparkSession
     staged, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
@@ -61,6 +63,8 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     if fs.exists(target):
         fs.rename(target, path_class(old))
     if not fs.rename(path_class(staged), target):
+        if fs.exists(path_class(old)):
+            fs.rename(path_class(old), target)
         raise OSError(f"could not put {staged} in place of {path}")
     if fs.exists(path_class(old)):
         fs.delete(path_class(old), True)
@@ -84,7 +88,14 @@ def append_run_log(outcomes: DataFrame, path: str) -> None:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return scan_manifest(spark, path, LOG_COLUMNS)
+    """The log's rows; a message may hold carriage returns."""
+    return scan_manifest(spark, path, LOG_COLUMNS, multi_line=True)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has completed its output at ``path``."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def write_documents(docs: DataFrame, path: str) -> None:

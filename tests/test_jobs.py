@@ -2,8 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from shapeloom.plans import jobs
-from shapeloom.session import fresh_dir
+from shapeloom.session import cut, fresh_dir
 from shapeloom.sources import tables
 
 
@@ -40,6 +42,14 @@ def test_from_files_to_schemas(spark, tmp_path):
     flags = {r.file.split("/")[1]: r.schema_generated for r in tables.scan_manifest(spark, manifest).collect()}
     assert flags == {"shop": "true", "log": "False"}
 
+    # As after a run that stored answers and then failed: nothing is asked or stored again.
+    listed = cut(tables.scan_manifest(spark, manifest).withColumn("schema_generated", F.lit("False")))
+    tables.write_manifest(listed, manifest)
+    jobs.propose_for_pending(spark, manifest, documents, make, "large", answers, log)
+    assert {r["count"] for r in spark.read.parquet(answers).groupBy("file").count().collect()} == {1}
+    again = {r.file.split("/")[1]: r.schema_generated for r in tables.scan_manifest(spark, manifest).collect()}
+    assert again["shop"] == "true"
+
     left = jobs.master_schemas(spark, spark.read.parquet(answers), fresh_dir(spark, "masters"), max_depth=6)
     right = jobs.traditional_schemas(spark, manifest, documents, fresh_dir(spark, "traditional"), 6)
     row = jobs.similarity(left, right).first()

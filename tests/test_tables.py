@@ -198,14 +198,14 @@ def test_one_document_per_file(spark, tmp_path):
 def test_log_messages_are_flat_and_short(spark):
     path = fresh_dir(spark, "log")
     rows = spark.createDataFrame(
-        [("a.json", "m", "failed", 'x "q",\ny ' + "z" * 3000), ("b.json", "m", "success", None)],
+        [("a.json", "m", "failed", 'x "q",\ny\r ' + "z" * 3000), ("b.json", "m", "success", None)],
         "original_file string, model string, status string, message string",
     )
     tables.append_run_log(rows, path)
     tables.append_run_log(rows.limit(1), path)
     got = tables.read_run_log(spark, path).orderBy("original_file").collect()
     assert [r.original_file for r in got] == ["a.json", "a.json", "b.json"]
-    assert got[0].message == ('x "q", y ' + "z" * 3000)[:2000] and got[2].message == ""
+    assert got[0].message == ('x "q", y\r ' + "z" * 3000)[:2000] and got[2].message == ""
 
 
 def test_generator_problems_become_rows(spark):
