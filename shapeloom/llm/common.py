@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.session import SMALL_SIDE_BYTES, SMALL_SIDE_ROWS, fresh_dir
@@ -46,9 +46,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def lookup(df: DataFrame, label: str) -> DataFrame:
     """A written lookup side; broadcast only below the bounds on rows and bytes.
 
-    Beyond them Spark shuffles both sides and splits skewed keys.
+    Beyond them Spark shuffles both sides and splits skewed keys. Rows and bytes are observed
+    while the side is written; a repeated task can only make them larger.
     """
-    df = stored(df, label)
     size = F.lit(0)
     for field in df.schema.fields:
         kind = field.dataType.simpleString()
@@ -58,8 +58,11 @@ def lookup(df: DataFrame, label: str) -> DataFrame:
             size = size + 16 * F.coalesce(F.size(field.name), F.lit(0))
         else:
             size = size + 8
-    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if rows <= SMALL_SIDE_ROWS and total <= SMALL_SIDE_BYTES // 4 else df
+    measures = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes")]
+    seen = Observation()
+    df = stored(df.observe(seen, *measures), label)
+    found = seen.get or df.agg(*measures).first().asDict()
+    return F.broadcast(df) if found["rows"] <= SMALL_SIDE_ROWS and found["bytes"] <= SMALL_SIDE_BYTES // 4 else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
