@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import parse_strict, strip_bom, with_computed
 from shapeloom.functions.paths import is_item, is_member, parent_of
-from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, parse_documents, shred_documents
+from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
 from shapeloom.session import cut, small_side
 from shapeloom.sources.texts import not_blank, text_lines, whole_files
 
@@ -135,7 +135,7 @@ def infer_array_items(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def infer_schema(
-    docs: DataFrame, approved: DataFrame | None = None, max_depth: int = DEFAULT_MAX_DEPTH
+    docs: DataFrame, approved: DataFrame | None = None, levels: int = DEFAULT_LEVELS
 ) -> DataFrame:
     """Path table per dataset of ``dataset, file, json``, limited to approved files if given.
 
@@ -144,7 +144,7 @@ def infer_schema(
     if approved is not None:
         docs = docs.join(approved.select("file").distinct(), "file", "left_semi")
     parsed = parse_documents(docs, strip_bom(F.col("json")))
-    return infer_paths(shred_documents(parsed, ["dataset"], max_depth), ["dataset"])
+    return infer_paths(shred_documents(parsed, ["dataset"], levels), ["dataset"])
 
 
 # Fixed value: files above this size are not parsed as one value.
@@ -202,8 +202,8 @@ def infer_file_schemas(
     collection: str = "file",
     existing: DataFrame | None = None,
     whole_bytes: int = WHOLE_FILE_BYTES,
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """Path table per raw file."""
     values, _ = file_documents(spark, path, collection, existing, whole_bytes)
-    return infer_paths(shred_documents(values, ["dataset", "file"], max_depth), ["dataset", "file"])
+    return infer_paths(shred_documents(values, ["dataset", "file"], levels), ["dataset", "file"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import serialized_length
 from shapeloom.functions.paths import is_item, parent_name
-from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, parse_documents, shred_documents
+from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
 
 # A document beyond any one of these is of high complexity.
 DEPTH_LIMIT = 3
@@ -31,7 +31,7 @@ def document_complexity(
     docs: DataFrame,
     keys: list[str],
     with_size: bool = True,
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """``keys, depth, arrays, array_len`` per document, and ``size_bytes`` (in characters).
 
@@ -42,10 +42,10 @@ def document_complexity(
     parsed = parse_documents(docs)
     if with_size:
         parsed = parsed.withColumn("size_bytes", serialized_length(F.col("json")))
-        nodes = shred_documents(parsed, [*keys, "size_bytes"], max_depth)
+        nodes = shred_documents(parsed, [*keys, "size_bytes"], levels)
         size = [F.max("size_bytes").alias("size_bytes")]
     else:
-        nodes = shred_documents(parsed, keys, max_depth)
+        nodes = shred_documents(parsed, keys, levels)
         size = []
     item = is_item(F.col("path"))
     return nodes.groupBy(*keys).agg(
@@ -79,9 +79,9 @@ def complexity_counts(profile: DataFrame) -> DataFrame:
     )
 
 
-def build_manifest(docs: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
+def build_manifest(docs: DataFrame, levels: int = DEFAULT_LEVELS) -> DataFrame:
     """One manifest row per readable document of ``file, json``; nothing is generated yet."""
-    profile = classify_complexity(document_complexity(docs, ["file"], max_depth=max_depth))
+    profile = classify_complexity(document_complexity(docs, ["file"], levels=levels))
     return profile.select(
         "file",
         parent_name(F.col("file")).alias("object_type"),

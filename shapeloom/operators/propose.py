@@ -12,7 +12,7 @@ from shapeloom.functions.json_text import brace_slice, indented, indented_unicod
 from shapeloom.operators.infer import infer_document_paths
 from shapeloom.operators.manifest import dataset_of, route_by_complexity, target_path
 from shapeloom.operators.render import render_schema
-from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, parse_documents, shred_documents
+from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
 
 INSTRUCTION = "Give the JSON Schema of this document."
 
@@ -84,10 +84,10 @@ def propose_schemas(
 
 
 def propose_offline(
-    docs: DataFrame, keys: list[str], max_depth: int = DEFAULT_MAX_DEPTH
+    docs: DataFrame, keys: list[str], levels: int = DEFAULT_LEVELS
 ) -> DataFrame:
     """A proposal per document without a model: the schema inferred from it alone."""
-    nodes = shred_documents(parse_documents(docs), keys, max_depth)
+    nodes = shred_documents(parse_documents(docs), keys, levels)
     proposals = render_schema(infer_document_paths(nodes, keys), keys)
     return proposals.withColumnRenamed("schema_json", "response")
 

@@ -14,9 +14,9 @@ from shapeloom.functions.json_text import (
     with_computed,
 )
 from shapeloom.functions.paths import STEP_SQL
+from shapeloom.operators.shred import DEFAULT_LEVELS, split_by_depth, walk_down
 from shapeloom.session import small_side
 
-DEFAULT_MAX_DEPTH = 16
 _LEVELS_PER_QUERY = 2
 
 # Members that mark a node as a schema although it has no object type.
@@ -190,7 +190,7 @@ def schema_tree(
     parsed: DataFrame,
     keys: list[str],
     mode: str = "reference",
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """Repaired schema documents as a node table, one row per schema node.
 
@@ -206,18 +206,28 @@ def schema_tree(
     root = f"""(select {names}, '' as path, 1 as depth, false as is_required, true as voted,
         {nothing} as type, {nothing} as required, cast(null as boolean) as done_forced,
         cast(null as boolean) as bad, v from {{parsed}} where v is not null)"""
-    nodes = spark.sql(_settle(root, names, mode), parsed=parsed)
-    for first in range(1, max_depth, _LEVELS_PER_QUERY):
-        nested = "{nodes}"
-        for _ in range(first, min(first + _LEVELS_PER_QUERY, max_depth)):
-            nested = f"({_step_down(nested, names, mode)})"
-        nodes = spark.sql(f"select * from {nested}", nodes=nodes)
+
+    def roots(parsed: DataFrame) -> DataFrame:
+        return spark.sql(_settle(root, names, mode), parsed=parsed)
+
+    def opened(nodes: DataFrame) -> DataFrame:
+        for first in range(1, levels, _LEVELS_PER_QUERY):
+            nested = "{nodes}"
+            for _ in range(first, min(first + _LEVELS_PER_QUERY, levels)):
+                nested = f"({_step_down(nested, names, mode)})"
+            nodes = spark.sql(f"select * from {nested}", nodes=nodes)
+        return nodes
+
+    # A step down the walk opens one level of the text or two.
+    shallow, deep = split_by_depth(parsed, levels, "text")
+    nodes = opened(roots(shallow))
+    if deep is not None:
+        unfinished = "inside is not null and to_json(inside) <> '{}'"
+        nodes = nodes.unionByName(walk_down(roots(deep), opened, unfinished))
     return spark.sql(
         f"""select {names}, path, depth, is_required, voted, forced, bad, type_form,
             coalesce({kind_sql('required')}, 'absent') as required_form, {_VOTES} as types
-        from (select *, coalesce({kind_sql('type')}, 'absent') as type_form from {{nodes}})
-        where case when inside is null or to_json(inside) = '{{{{}}}}' then true else cast(raise_error(
-            'a schema is nested deeper than max_depth={max_depth}') as boolean) end""",
+        from (select *, coalesce({kind_sql('type')}, 'absent') as type_form from {{nodes}})""",
         nodes=nodes,
     )
 
@@ -231,30 +241,30 @@ def rejected_files(
     parsed: DataFrame,
     keys: list[str],
     mode: str = "reference",
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """Files whose votes cannot be counted. Only files of a suspect shape are walked for it."""
     suspects = parsed.filter(F.regexp_like(F.schema_of_variant("v"), F.lit(_SUSPECT_SHAPE)))
-    return schema_tree(suspects, keys, mode, max_depth).filter("bad").select(*keys).distinct()
+    return schema_tree(suspects, keys, mode, levels).filter("bad").select(*keys).distinct()
 
 
 def accepted_files(
     parsed: DataFrame,
     keys: list[str],
     mode: str = "reference",
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """Parsed schema files without the failed and the rejected ones: a file counts whole or not."""
     readable = parsed.filter(F.col("v").isNotNull())
-    rejected = small_side(rejected_files(parsed, keys, mode, max_depth))
+    rejected = small_side(rejected_files(parsed, keys, mode, levels))
     return readable.join(rejected, keys, "left_anti")
 
 
 def repair_required(
-    parsed: DataFrame, mode: str = "reference", max_depth: int = DEFAULT_MAX_DEPTH
+    parsed: DataFrame, mode: str = "reference", levels: int = DEFAULT_LEVELS
 ) -> DataFrame:
     """How often ``required`` had which form, and how often it was emptied, per dataset."""
-    nodes = schema_tree(parsed, ["dataset"], mode, max_depth)
+    nodes = schema_tree(parsed, ["dataset"], mode, levels)
     return (
         nodes.filter(F.col("required_form") != "absent")
         .groupBy("dataset", "required_form")
@@ -269,18 +279,18 @@ def repair_misplaced_properties(
     parsed: DataFrame,
     keys: list[str],
     mode: str = "reference",
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """The nodes that were made objects around properties found beside their keywords."""
     return (
-        schema_tree(parsed, keys, mode, max_depth)
+        schema_tree(parsed, keys, mode, levels)
         .filter("forced")
         .select(*keys, "path", "type_form", F.col("types").alias("types"))
     )
 
 
 def repair_report(
-    schemas: DataFrame, mode: str = "reference", max_depth: int = DEFAULT_MAX_DEPTH
+    schemas: DataFrame, mode: str = "reference", levels: int = DEFAULT_LEVELS
 ) -> DataFrame:
     """Per dataset: files by outcome and nodes repaired; ``dataset, file, text`` comes in.
 
@@ -293,7 +303,7 @@ def repair_report(
         parsed.withColumn("v", F.coalesce("v", F.parse_json(F.lit("{}")))),
         ["dataset", "file", "status"],
         mode,
-        max_depth,
+        levels,
     )
     files = walked.groupBy("dataset", "file", "status").agg(
         F.bool_or("bad").alias("rejected"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import kind_sql, parse_strict, with_computed
 from shapeloom.functions.paths import STEP_SQL
+from shapeloom.session import cut
 
-DEFAULT_MAX_DEPTH = 16
+# Levels opened in one pass; deeper documents are taken further in passes of their own.
+DEFAULT_LEVELS = 16
 # Levels written into one query text; more would only make it slower to analyse.
 _LEVELS_PER_QUERY = 5
 
@@ -20,35 +24,83 @@ def parse_documents(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def shred_documents(
-    docs: DataFrame, keys: list[str], max_depth: int = DEFAULT_MAX_DEPTH
+    docs: DataFrame, keys: list[str], levels: int = DEFAULT_LEVELS
 ) -> DataFrame:
     """Rows of ``keys, path, depth, kind`` for every node of the variant column ``v``.
 
     The tree is opened level by level in one narrow pass: no shuffle, one scan, one parse. Each
     step opens the container a row still carries; the container's own row is put out beside its
     first child, so a finished node just rides along through the remaining steps. Every document
-    is opened fully: one nested deeper than ``max_depth`` raises an error naming the setting.
+    is opened fully: those with more than ``levels`` levels, told by the brackets of their text,
+    go through as many passes as they need, written to the shared folder in between.
     """
     names = ", ".join(f"`{k}`" for k in keys)
     spark = docs.sparkSession
-    nodes = spark.sql(
-        f"""select {names}, '' as path, 1 as depth, kind,
-            case when kind in ('object', 'array') then v end as v
-        from (select {names}, v, {kind_sql('v')} as kind from {{docs}})""",
-        docs=docs,
-    )
-    for first in range(1, max_depth, _LEVELS_PER_QUERY):
-        last = min(first + _LEVELS_PER_QUERY, max_depth)
-        nested = "{nodes}"
-        for _ in range(first, last):
-            nested = f"({_open_once(nested, names)})"
-        nodes = spark.sql(f"select * from {nested}", nodes=nodes)
-    return spark.sql(
-        f"""select {names}, path, depth, kind from {{nodes}}
-        where case when v is null or to_json(v) in ('{{{{}}}}', '[]') then true else cast(raise_error(
-            'a document is nested deeper than max_depth={max_depth}') as boolean) end""",
-        nodes=nodes,
-    )
+
+    def opened(nodes: DataFrame) -> DataFrame:
+        for first in range(1, levels, _LEVELS_PER_QUERY):
+            nested = "{nodes}"
+            for _ in range(first, min(first + _LEVELS_PER_QUERY, levels)):
+                nested = f"({_open_once(nested, names)})"
+            nodes = spark.sql(f"select * from {nested}", nodes=nodes)
+        return nodes
+
+    def roots(docs: DataFrame) -> DataFrame:
+        return spark.sql(
+            f"""select {names}, '' as path, 1 as depth, kind,
+                case when kind in ('object', 'array') then v end as v
+            from (select {names}, v, {kind_sql('v')} as kind from {{docs}})""",
+            docs=docs,
+        )
+
+    shallow, deep = split_by_depth(docs, levels, "json")
+    nodes = opened(roots(shallow)).drop("v")
+    if deep is None:
+        return nodes
+    unfinished = "v is not null and to_json(v) not in ('{}', '[]')"
+    return nodes.unionByName(walk_down(roots(deep), opened, unfinished).drop("v"))
+
+
+def split_by_depth(
+    docs: DataFrame, levels: int, text: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """Documents of at most ``levels`` levels, and the deeper ones (None: there are none).
+
+    Where the column ``text``, of which ``v`` is parsed, has few opening brackets, nothing needs
+    to be parsed to tell. For the others brackets alone are kept of the document, and pairs that
+    hold nothing are taken away until ``levels`` nested ones would be left. A document that ends
+    in an empty container may pass for one level deeper than it is, which does no harm.
+    """
+    if levels < 2:
+        raise ValueError("a pass opens two levels or more")
+
+    def openings(value: Column) -> Column:
+        return F.length(value) - F.length(F.translate(value, "[{", ""))
+
+    written = F.to_json("v")
+    left = F.regexp_replace(written, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++', "")
+    for _ in range(levels - 1):
+        left = F.regexp_replace(left, r"\[\]|\{\}", "")
+    many = openings(F.col(text)) >= levels if text in docs.columns else F.lit(True)
+    is_deep = F.coalesce(F.when(many, F.when(openings(written) >= levels, left != "")), F.lit(False))
+    found = docs.filter(many & is_deep)
+    if not found.agg(F.count(F.lit(1))).first()[0]:
+        return docs, None
+    return docs.filter(~is_deep), cut(found)
+
+
+def walk_down(
+    nodes: DataFrame, opened: Callable[[DataFrame], DataFrame], unfinished: str
+) -> DataFrame:
+    """Passes of ``opened`` over the nodes that are still ``unfinished``, until none is."""
+    done = None
+    while True:
+        nodes = cut(opened(nodes))
+        finished = nodes.filter(f"not coalesce({unfinished}, false)")
+        done = finished if done is None else done.unionByName(finished)
+        nodes = nodes.filter(unfinished)
+        if nodes.isEmpty():
+            return done
 
 
 def _open_once(level: str, names: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.functions.paths import ancestors_of, parent_of
 from shapeloom.operators.repair import (
-    DEFAULT_MAX_DEPTH,
+    DEFAULT_LEVELS,
     accepted_files,
     repair_schema_text,
     schema_tree,
@@ -22,7 +22,7 @@ TYPE_SHARE = 0.75
 def schema_nodes(
     schemas: DataFrame,
     mode: str = "reference",
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
     with_root: bool = False,
 ) -> DataFrame:
     """``dataset, file, text`` to one row per counted property: path, votes, required flag.
@@ -30,9 +30,9 @@ def schema_nodes(
     ``with_root`` adds the root of each file, path ''.
     """
     keys = ["dataset", "file"]
-    accepted = accepted_files(repair_schema_text(schemas), keys, mode, max_depth)
+    accepted = accepted_files(repair_schema_text(schemas), keys, mode, levels)
     return (
-        schema_tree(accepted, keys, mode, max_depth)
+        schema_tree(accepted, keys, mode, levels)
         .filter("voted" if with_root else "voted and depth > 1")
         .select(*keys, "path", "types", "type_form", "is_required")
     )
@@ -157,7 +157,7 @@ def merged_paths(nodes: DataFrame) -> DataFrame:
 
 
 def merge_schemas(
-    schemas: DataFrame, mode: str = "reference", max_depth: int = DEFAULT_MAX_DEPTH
+    schemas: DataFrame, mode: str = "reference", levels: int = DEFAULT_LEVELS
 ) -> DataFrame:
     """``dataset, file, text`` of proposals to the master schema's path table."""
-    return merged_paths(schema_nodes(schemas, mode, max_depth, with_root=True))
+    return merged_paths(schema_nodes(schemas, mode, levels, with_root=True))

@@ -11,8 +11,7 @@ from shapeloom.functions.paths import base_name
 from shapeloom.operators import compare, infer, manifest, profile, sampling, vote
 from shapeloom.operators import propose as proposing
 from shapeloom.operators.render import render_master, render_schema
-from shapeloom.operators.repair import DEFAULT_MAX_DEPTH as REPAIR_MAX_DEPTH
-from shapeloom.operators.shred import DEFAULT_MAX_DEPTH, shred_documents
+from shapeloom.operators.shred import DEFAULT_LEVELS, shred_documents
 from shapeloom.session import configure, cut, small_side
 from shapeloom.sources import tables, texts
 
@@ -66,11 +65,11 @@ def _named_documents(spark: SparkSession, documents: str) -> DataFrame:
 
 
 def profile_documents(
-    spark: SparkSession, documents: str, out: str, max_depth: int = DEFAULT_MAX_DEPTH
+    spark: SparkSession, documents: str, out: str, levels: int = DEFAULT_LEVELS
 ) -> None:
     """Write the manifest of prepared documents."""
     configure(spark)
-    tables.write_manifest(profile.build_manifest(_named_documents(spark, documents), max_depth), out)
+    tables.write_manifest(profile.build_manifest(_named_documents(spark, documents), levels), out)
 
 
 def propose_for_pending(
@@ -120,14 +119,14 @@ def traditional_schemas(
     manifest_path: str,
     documents: str,
     out: str,
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """Write a schema per dataset inferred from its approved documents; returns the path table."""
     configure(spark)
     approved = manifest.approved_texts(
         tables.scan_manifest(spark, manifest_path), _named_documents(spark, documents)
     )
-    paths = cut(infer.infer_schema(approved, max_depth=max_depth))
+    paths = cut(infer.infer_schema(approved, levels=levels))
     tables.write_schemas(render_schema(paths, ["dataset"]), out)
     return paths
 
@@ -137,11 +136,11 @@ def master_schemas(
     proposals: DataFrame,
     out: str,
     mode: str = "reference",
-    max_depth: int = REPAIR_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """Write the voted schema per dataset of ``dataset, file, text``; returns the path table."""
     configure(spark)
-    paths = cut(vote.merge_schemas(proposals, mode, max_depth))
+    paths = cut(vote.merge_schemas(proposals, mode, levels))
     tables.write_schemas(render_master(paths, ["dataset"]), out)
     return paths
 
@@ -150,7 +149,7 @@ def raw_file_schemas(
     spark: SparkSession,
     path: str,
     out: str,
-    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int = DEFAULT_LEVELS,
     existing: DataFrame | None = None,
 ) -> DataFrame:
     """Write a schema per raw JSON file; returns ``json_path, outcome, schema_path`` of each file.
@@ -162,7 +161,7 @@ def raw_file_schemas(
     configure(spark)
     keys = ["dataset", "file"]
     values, outcomes = infer.file_documents(spark, path, existing=existing, glob="*.json")
-    paths = cut(infer.infer_paths(shred_documents(values, keys, max_depth), keys))
+    paths = cut(infer.infer_paths(shred_documents(values, keys, levels), keys))
     schemas = render_schema(paths, keys).select(_schema_name(path).alias("schema"), "schema_json")
     tables.write_file_schemas(schemas, out)
     written = F.concat(F.lit(out.rstrip("/") + "/schema="), F.replace(_schema_name(path), F.lit("/"), F.lit("%2F")))

@@ -2,9 +2,7 @@
 
 import json
 
-import pytest
 from helpers import documents
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import brace_slice, parse_strict
@@ -90,11 +88,27 @@ def test_kinds(spark):
     }
 
 
-def test_too_deep_documents_fail_loudly(spark):
-    docs = documents(spark, {"d": ["[" * 6 + "]" * 6]})
-    assert shred_documents(parse_documents(docs), ["dataset"], 6).count() == 6
-    with pytest.raises(PySparkException, match="max_depth=5"):
-        shred_documents(parse_documents(docs), ["dataset"], 5).count()
+def test_documents_of_any_depth_are_opened_fully(spark):
+    """Passes of four levels give the nodes that a direct walk gives, strings with brackets too."""
+    deep = {"x": 1.0, "big": 10**20}
+    for k in range(40):
+        deep = {"a": [deep, "[{"], "b": {}} if k % 2 else [deep, [], 1]
+    texts = [json.dumps(deep), "[" * 6 + "]" * 6, '{"a":[{"b":[]}]}', '{"k":"[[[[[[[["}', '[[1,2],[[3]],"\\"[{"]', "7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, json string")
+    parsed = parse_documents(docs)
+    for some in (parsed, parsed.select("doc_id", "v")):
+        nodes = shred_documents(some, ["doc_id"], 4).groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"), F.count_if(F.col("kind") == "number").alias("floats")
+        )
+        got = {r.doc_id: (r.n, r.deepest, r.floats) for r in nodes.collect()}
+        assert got == {k: _measured(json.loads(t)) for k, t in enumerate(texts)}
+
+
+def _measured(value, depth=1):
+    """Nodes, deepest level, floats."""
+    inside = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
+    below = [_measured(v, depth + 1) for v in inside]
+    return 1 + sum(b[0] for b in below), max([depth, *(b[1] for b in below)]), isinstance(value, float) + sum(b[2] for b in below)
 
 
 def _walk(value, depth=1):
@@ -124,7 +138,7 @@ def test_complexity_matches_brute_force(spark):
     got = {
         r.doc_id: r
         for r in profile.classify_complexity(
-            profile.document_complexity(docs, ["doc_id"], max_depth=DEPTH)
+            profile.document_complexity(docs, ["doc_id"], levels=DEPTH)
         ).collect()
     }
     assert len(got) == len(COMPLEX)

@@ -50,7 +50,7 @@ def test_from_files_to_schemas(spark, tmp_path):
     again = {r.file.split("/")[1]: r.schema_generated for r in tables.scan_manifest(spark, manifest).collect()}
     assert again["shop"] == "true"
 
-    left = jobs.master_schemas(spark, spark.read.parquet(answers), fresh_dir(spark, "masters"), max_depth=6)
+    left = jobs.master_schemas(spark, spark.read.parquet(answers), fresh_dir(spark, "masters"), levels=6)
     right = jobs.traditional_schemas(spark, manifest, documents, fresh_dir(spark, "traditional"), 6)
     row = jobs.similarity(left, right).first()
     assert (row.dataset, row.paths, row.shared_paths, row.same_type, row.same_required) == ("shop", 7, 2, 2, 1)

@@ -42,7 +42,7 @@ VOTES = {
 
 
 def masters(spark, cases, **options):
-    merged = vote.merge_schemas(schemas(spark, cases), max_depth=DEPTH, **options)
+    merged = vote.merge_schemas(schemas(spark, cases), levels=DEPTH, **options)
     return {
         r.dataset: json.loads(r.schema_json) for r in render_master(merged, ["dataset"]).collect()
     }
@@ -126,7 +126,7 @@ def test_report_counts_files_and_rejects_whole_ones(spark):
         "mixed": [good, json.dumps({"properties": {"p": {"type": "string"}}, "required": [["p"]]})],
         "deep": [with_p({"type": "object", "properties": 3, "required": "no"}), good],
     }
-    report = {r.dataset: r for r in repair.repair_report(schemas(spark, cases), max_depth=DEPTH).collect()}
+    report = {r.dataset: r for r in repair.repair_report(schemas(spark, cases), levels=DEPTH).collect()}
     assert [report["t"][c] for c in ("files", "ok", "sliced", "failed", "rejected", "accepted")] == [9, 2, 2, 5, 1, 3]
     assert (report["bad"].rejected, report["bad"].has_schema) == (2, False)
     assert (report["mixed"].rejected, report["mixed"].accepted) == (1, 1)
@@ -248,10 +248,22 @@ def test_random_schemas_match_a_direct_computation(spark):
     rng = random.Random(7)
     files = {f"d{i}": [random_node(rng) for _ in range(rng.choice([1, 3, 12]))] for i in range(60)}
     merged = vote.merge_schemas(
-        schemas(spark, {d: [json.dumps(s) for s in nodes] for d, nodes in files.items()}), max_depth=DEPTH
+        schemas(spark, {d: [json.dumps(s) for s in nodes] for d, nodes in files.items()}), levels=DEPTH
     )
     got = {}
     for r in merged.filter(F.col("path") != "").collect():
         got.setdefault(r.dataset, {})[r.path] = (r.types, r.required)
     want = {d: expected(nodes) for d, nodes in files.items()}
     assert got == {d: paths for d, paths in want.items() if paths}
+
+
+def test_schemas_of_any_depth_are_walked_fully(spark):
+    """Passes of three levels count every property; a bad node far down rejects its file."""
+    good, bad = {"type": "string"}, {"type": "object", "properties": 3}
+    for _ in range(20):
+        good, bad = ({"type": "object", "required": ["k"], "properties": {"k": inner}} for inner in (good, bad))
+    cases = schemas(spark, {"deep": [json.dumps(good), json.dumps(bad)], "flat": [json.dumps(INNER)]})
+    nodes = vote.schema_nodes(cases, levels=3)
+    got = sorted((r.dataset, r.path, r.is_required, tuple(r.types)) for r in nodes.collect())
+    deep = [("deep", ".k" * k, True, ("object" if k < 20 else "string",)) for k in range(1, 21)]
+    assert got == sorted([*deep, ("flat", ".c", False, ("string",))])

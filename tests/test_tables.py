@@ -180,7 +180,7 @@ def test_files_by_line_or_whole(spark, tmp_path):
     }
     assert sorted(r.dataset for r in values.select("dataset").collect()) == ["lines", "lines", "whole"]
     done = spark.createDataFrame([(str(tmp_path / "lines.json"),)], "file string")
-    paths = infer.infer_file_schemas(spark, str(tmp_path), existing=done, whole_bytes=200, max_depth=4)
+    paths = infer.infer_file_schemas(spark, str(tmp_path), existing=done, whole_bytes=200, levels=4)
     assert {(r.dataset, r.path) for r in paths.collect()} == {("whole", ""), ("whole", ".a"), ("whole", ".a[]")}
 
 
