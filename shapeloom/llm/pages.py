@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block of text; whole elements that never hold article text
-go with it. A line's weight is its length without link text. Weights are summed over sliding
-windows of lines: where the sum surges above a threshold the article starts, where it dives to
-nothing it ends, and the text between is kept. If the page marks its article, lines outside have
-no weight and any text inside is a surge.
+go with it. A line's weight is its length without link text, nothing if most of it is link text,
+multiplied in a container the page marks (article, main, a named division). Weights are summed
+over sliding windows of the lines of one container: where the sum surges above a threshold the
+article starts, where it dives to nothing it ends, and the text between is kept. If surges lie in
+containers of several ranks, those of the rank with the heaviest surge are kept. A page without
+a surge keeps the lines of its highest rank.
 
 Defined cases: a null or empty page, and one without text, give an empty text. Repeated rows
 each get a result, null page_id and url are carried. Markup that is never closed is read as far
@@ -23,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WINDOW = 3
-# Characters a window holds at a surge, on pages that mark no article.
+# Weight a window holds at a surge.
 SURGE = 80
+# What a character weighs by the rank of its container: none, named division, main, article.
+FACTORS = (1, 2, 2, 4)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes")}
@@ -43,14 +47,16 @@ MARKED = set("article content entry post story".split())
 
 
 class _Reader:
-    """Turns one page into lines: (text, link characters, rank of the marked container)."""
+    """Turns one page into lines: (text, link characters, rank of the marked container, which of
+    that rank)."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.links = 0
         self.in_link = 0
         self.inside = {"article": 0, "main": 0, "marked": 0}
+        self.begun = {"article": 0, "main": 0, "marked": 0}
         self.marked_tag: str | None = None
         self.skipped: str | None = None
         self.depth = 0
@@ -59,8 +65,8 @@ class _Reader:
     def flush(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            rank = 3 if self.inside["article"] else 2 if self.inside["main"] else 1 if self.inside["marked"] else 0
-            self.lines.append((line, self.links, rank))
+            rank, of = next(((rank, self.begun[kind]) for rank, kind in ((3, "article"), (2, "main"), (1, "marked")) if self.inside[kind]), (0, 0))
+            self.lines.append((line, self.links, rank, of))
         self.text, self.links = [], 0
 
     def words(self, raw: str) -> None:
@@ -70,6 +76,10 @@ class _Reader:
             if self.in_link:
                 self.links += len("".join(said.split()))
 
+    def enter(self, kind: str) -> None:
+        self.begun[kind] += not self.inside[kind]
+        self.inside[kind] += 1
+
     def opened(self, name: str, rest: str) -> None:
         if self.skipped is not None:
             if name == self.skipped and name not in ("p", "li"):
@@ -94,14 +104,15 @@ class _Reader:
         elif name == "a":
             self.in_link += 1
         elif name in ("article", "main"):
-            self.inside[name] += 1
+            self.enter(name)
         elif "main" in marks and "role" in rest.lower():
-            self.inside["main"] += 1
+            self.enter("main")
         if name in ("div", "section"):
             if self.marked_tag is None and marks & MARKED:
-                self.marked_tag, self.inside["marked"] = name, 1
+                self.marked_tag = name
+                self.enter("marked")
             elif name == self.marked_tag:
-                self.inside["marked"] += 1
+                self.enter("marked")
 
     def closed(self, name: str) -> None:
         if self.skipped is not None:
@@ -124,7 +135,7 @@ class _Reader:
             if self.inside["marked"] <= 0:
                 self.marked_tag = None
 
-    def read(self, page: str) -> list[tuple[str, int, int]]:
+    def read(self, page: str) -> list[tuple[str, int, int, int]]:
         at, scan = 0, _TOKEN.match
         while at < len(page):
             token = scan(page, at)
@@ -169,16 +180,32 @@ def main_text(page: str | None) -> str:
     lines = _Reader().read(page or "")
     if not lines:
         return ""
-    rank = max(line[2] for line in lines)
-    lengths = np.array([len(text) for text, _, _ in lines], float)
-    if rank:
-        weights = np.where([line[2] == rank for line in lines], lengths, 0)
-        kept = surges(weights, 1)
+    weights = [0 if links * 2 > len(text) else (len(text) - links) * FACTORS[rank] for text, links, rank, _ in lines]
+    containers: dict[tuple[int, int], list[int]] = {}
+    for k, (_, _, rank, of) in enumerate(lines):
+        own = containers.setdefault((rank, of), [])
+        if own:
+            own.extend([-1] * min(k - own[-1] - 1, WINDOW))  # lines of others in between weigh nothing
+        own.append(k)
+    heaviest: dict[int, float] = {}
+    kept: dict[int, list[int]] = {}
+    for (rank, _), own in containers.items():
+        found = np.array([weights[k] if k >= 0 else 0 for k in own], float)
+        before = 0
+        for start, stop in surges(found, SURGE):
+            if rank:  # short lines before a surge, such as a title, belong to it
+                while start > before and found[max(before, start - WINDOW) : start].any():
+                    start -= 1
+            held = np.flatnonzero(found[start:stop]) + start
+            kept.setdefault(rank, []).extend(k for k in own[held[0] : held[-1] + 1] if k >= 0)
+            heaviest[rank] = max(heaviest.get(rank, 0), found[start:stop].sum())
+            before = stop
+    if heaviest:
+        chosen = sorted(kept[max(heaviest, key=lambda rank: (heaviest[rank], rank))])
     else:
-        linked = np.array([links for _, links, _ in lines], float)
-        weights = np.where(linked * 2 > lengths, 0, lengths - linked)
-        kept = surges(weights, SURGE) or [(0, len(lines))]
-    return "\n".join(lines[k][0] for start, stop in kept for k in range(start, stop) if weights[k] > 0)
+        top = max(rank for _, _, rank, _ in lines)
+        chosen = [k for k, (_, _, rank, _) in enumerate(lines) if rank == top and (top or weights[k])]
+    return "\n".join(lines[k][0] for k in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:

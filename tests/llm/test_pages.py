@@ -57,3 +57,17 @@ def test_given_pages_keep_their_articles(spark):
         inside = re.search(r"<article>(.*)</article>", row.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<br>|</?b>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
         assert found[row.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_the_surge_decides_between_containers():
+    story = "".join(f"<p>{k} {LONG}</p>" for k in range(8))
+    cards = "".join(f'<article><h3><a href="/{k}">Another story {k}</a></h3><p>A teaser of some words, no more than two lines of the page.</p></article>' for k in range(12))
+    wanted = "\n".join(f"{k} {LONG}" for k in range(8))
+    for page in (f"<main>{story}</main>{cards}", f"{cards}<main>{story}</main>", f"<main>{story}<section>{cards}</section></main>", f"<div>{story}</div>{cards}"):
+        assert main_text(page) == wanted
+    assert main_text(f"<main><p>Some words of the site.</p><article><h1>T</h1><p>by</p><p>x</p>{story}</article></main>") == "T\nby\nx\n" + wanted
+
+
+def test_the_dive_ends_a_marked_article():
+    links = "<ul>" + "<li><a href=x>a link</a></li>" * 9 + "</ul>"
+    assert main_text(f"<article><p>{LONG}</p><p><a href=x>one source</a></p><p>{LONG}</p>{links}</article>") == f"{LONG}\none source\n{LONG}"
