@@ -32,18 +32,42 @@ FACTORS = (1, 2, 2, 4)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes")}
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_PARTS = re.compile(r"[a-z]+|[0-9]+")
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
+_NUMBERED = re.compile(r"(ad|advert|banner|comment|sidebar|widget|article|entry|post|story)-?[0-9]+")
 
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-# Elements without article text, and words in class, id and role that mark such.
+# Elements without article text, and names in class, id and role that mark such: whole names, "_" read as "-".
 DROPPED = set("nav header footer aside form button select menu dialog object audio video canvas map search datalist fieldset label option output progress meter".split())
 DROPPED_MARKS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
-MARKED = set("article content entry post story".split())
+# Names of more than one word count if they are listed.
+DROPPED_MARKS |= set(
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper breadcrumb-nav breadcrumb-trail comment-form comment-list comment-section comments-area comments-list comments-section consent-banner cookie-banner cookie-bar cookie-consent cookie-notice cookie-popup gdpr-banner left-sidebar login-form main-menu main-nav main-navigation modal-dialog nav-bar nav-links nav-menu newsletter-box newsletter-form newsletter-signup page-footer page-navigation post-comments post-navigation post-tags promo-box related-articles related-content related-links related-posts related-stories right-sidebar search-box search-form share-bar share-buttons share-links side-bar sidebar-left sidebar-right sign-up site-footer site-header site-nav site-navigation skip-link skip-links skip-to-content social-buttons social-icons social-links social-media social-share sponsored-content subscribe-box subscribe-form tag-cloud tag-list top-nav".split()
+)
+MARKED = set("article article-body article-content articlebody content entry entry-content main-content page-content post post-body post-content post-entry story story-body story-content".split())
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """The attributes of a tag by name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        if value[:1] in ('"', "'"):
+            value = value[1:-1]
+        found.setdefault(name.lower(), html.unescape(value).lower())
+    return found
+
+
+def is_hidden(found: dict[str, str]) -> bool:
+    hidden = "hidden" in found and found["hidden"].strip() not in ("false", "until-found")
+    return hidden or found.get("aria-hidden", "").strip() == "true" or bool(_NO_DISPLAY.search(found.get("style", "")))
+
+
+def marks_of(found: dict[str, str]) -> set[str]:
+    names = " ".join(found.get(name, "") for name in ("class", "id", "role")).replace("_", "-").split()
+    return {numbered[1] if (numbered := _NUMBERED.fullmatch(name)) else name for name in names}
 
 
 class _Reader:
@@ -90,13 +114,12 @@ class _Reader:
                 return
         if name in BLOCKS:
             self.flush()
-        marks = set()
-        if rest and "=" in rest:
-            for found in _MARKS.findall(rest):
-                marks.update(_PARTS.findall(found.lower()))
-        if name not in VOID and name not in ("html", "body", "main") and (name in DROPPED or marks & DROPPED_MARKS or (rest and _HIDDEN.search(rest))):
-            if not (name == "article" and not marks & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sponsored"}):
-                self.flush()
+        found = attributes(rest) if rest and not rest.isspace() else {}
+        marks = marks_of(found)
+        if name not in VOID and name not in ("html", "body", "main") and (name in DROPPED or marks & DROPPED_MARKS or is_hidden(found)):
+            if not (name == "article" and not {mark.split("-")[0] for mark in marks & DROPPED_MARKS} & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sponsored"}):
+                if name in DROPPED:
+                    self.flush()
                 self.skipped, self.depth = name, 1
                 return
         if name == "br":
@@ -105,10 +128,8 @@ class _Reader:
             self.in_link += 1
         elif name in ("article", "main"):
             self.enter(name)
-        elif "main" in marks and "role" in rest.lower():
-            self.enter("main")
         if name in ("div", "section"):
-            if self.marked_tag is None and marks & MARKED:
+            if self.marked_tag is None and (marks & MARKED or "main" in found.get("role", "").split()):
                 self.marked_tag = name
                 self.enter("marked")
             elif name == self.marked_tag:

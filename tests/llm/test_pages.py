@@ -71,3 +71,17 @@ def test_the_surge_decides_between_containers():
 def test_the_dive_ends_a_marked_article():
     links = "<ul>" + "<li><a href=x>a link</a></li>" * 9 + "</ul>"
     assert main_text(f"<article><p>{LONG}</p><p><a href=x>one source</a></p><p>{LONG}</p>{links}</article>") == f"{LONG}\none source\n{LONG}"
+
+
+def test_only_real_marks_drop_text():
+    assert main_text(f'<article><div class="overflow-hidden" title="The hidden valley" data-note="display:none"><p>{LONG}</p></div></article>') == LONG
+    assert main_text(f'<article><p>See <a href="/hidden-gems?id=ads-2024&class=ad" data-id="share" title="class=promo">these gems</a> and {LONG}</p></article>') == f"See these gems and {LONG}"
+    for attribute in ('class="layout no-sidebar"', 'class="has-header"', 'id="social-policy"', 'id=disclaimer-case', "data-class='ad'", 'aria-hidden="false"', "style='color:red; --display:none-such'"):
+        assert main_text(f"<div {attribute}><p>{LONG}</p><section {attribute}><p>{LONG}</p></section></div>") == f"{LONG}\n{LONG}"
+        assert main_text(f"<article><p>one <span {attribute}>two</span> three</p></article>") == "one two three"
+
+
+def test_marked_and_hidden_text_goes():
+    for attribute in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', 'style="color:red;display: none"', 'class="box ad"', "id=ad-3", 'class="site_header"', "role=navigation", 'class="x cookie-notice"'):
+        assert main_text(f"<article><p>one <span {attribute}>two</span>three</p><div {attribute}><p>{LONG}</p></div></article>") == "one three"
+    assert main_text(f'<div role="main"><p>{LONG}</p></div><p>Legal matters, told in one line.</p>') == LONG
