@@ -51,6 +51,59 @@ def parse_strict(text: Column) -> Column:
     )
 
 
+# Fixed value: characters from which on a text that did not parse is looked at once more.
+_LONG_TEXT = 1_000_000
+# Stand for a pair of backslashes and an escaped quote while strings are told apart.
+_PAIR, _QUOTE = "\ufdd0", "\ufdd1"
+
+
+def _strings_shortened(text: Column) -> Column:
+    """The text with its long strings cut down, names of members excepted.
+
+    The engine's parser refuses strings of more than 20,000,000 characters. What a string says
+    does not matter to the structure. One that is not valid becomes one that is not, either.
+    NULL if the text holds the marks used here.
+    """
+    marked = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_PAIR)), F.lit('\\"'), F.lit(_QUOTE))
+    parts = F.split(marked, '"')
+    is_name = lambda i: F.regexp_like(F.coalesce(F.get(parts, i + 1), F.lit("")), F.lit(r"^\s*:"))
+    faulty = lambda s: F.regexp_like(s, F.lit(r"[\x00-\x1f]|\\(?![/bfnrt]|u[0-9a-fA-F]{4})"))
+    short = F.transform(
+        parts,
+        lambda s, i: F.when((i % 2 == 0) | (F.length(s) <= 64) | is_name(i), s)
+        .when(faulty(s), F.lit("\\x"))
+        .otherwise(F.lit("s")),
+    )
+    joined = F.replace(F.replace(F.array_join(short, '"'), F.lit(_QUOTE), F.lit('\\"')), F.lit(_PAIR), F.lit("\\\\"))
+    return F.when(~F.contains(text, F.lit(_PAIR)) & ~F.contains(text, F.lit(_QUOTE)), joined)
+
+
+def parse_structure(text: Column) -> Column:
+    """As ``parse_strict``; in a text that only parses that way, long strings are cut down."""
+    long = F.length(text) >= _LONG_TEXT
+    return F.coalesce(parse_strict(text), F.when(long, parse_strict(_strings_shortened(text))))
+
+
+def _is_one_value(text: Column) -> Column:
+    # The streaming reader has no limit on the size of what it only counts.
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2, F.lit(False))
+
+
+def reject_reason(text: Column, v: Column) -> Column:
+    """Why ``v``, of ``parse_structure``, is NULL: ``too_large`` for the engine, or ``invalid``.
+
+    NULL if there is a value.
+    """
+    large = (F.length(text) >= _LONG_TEXT) & _is_one_value(F.coalesce(_strings_shortened(text), text))
+    return F.when(v.isNull(), F.when(large, "too_large").otherwise("invalid"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether the text is exactly one JSON value, of any size."""
+    large = (F.length(text) >= _LONG_TEXT) & _is_one_value(F.coalesce(_strings_shortened(text), text))
+    return F.when(parse_strict(text).isNotNull(), True).otherwise(F.coalesce(large, F.lit(False)))
+
+
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that filters may refer to without computing it a second time.
 

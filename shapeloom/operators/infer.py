@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import parse_strict, strip_bom, with_computed
+from shapeloom.functions.json_text import parse_structure, reject_reason, strip_bom, with_computed
 from shapeloom.functions.paths import is_item, is_member, parent_of
 from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
 from shapeloom.session import cut, small_side
-from shapeloom.sources.texts import not_blank, text_lines, whole_files
+from shapeloom.sources.texts import not_blank, scan_json_array, text_lines, whole_files
 
 # The JSON Schema type names.
 KINDS = ["array", "boolean", "integer", "null", "number", "object", "string"]
@@ -147,53 +149,109 @@ def infer_schema(
     return infer_paths(shred_documents(parsed, ["dataset"], levels), ["dataset"])
 
 
-# Fixed value: files above this size are not parsed as one value.
-WHOLE_FILE_BYTES = 500 * 1024 * 1024
-
-
 def file_documents(
     spark: SparkSession,
     path: str,
     collection: str = "file",
     existing: DataFrame | None = None,
-    whole_bytes: int = WHOLE_FILE_BYTES,
+    whole_bytes: int | None = None,
     glob: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The JSON values of every raw file, and what became of each file.
 
-    A file whose lines all parse gives a value per line; any other gives one value, if it
-    parses as a whole and is not too large. Values come as ``dataset, file, v``; outcomes as
-    ``dataset, file, outcome``. Files in ``existing`` (``file``) are left out.
+    A file whose lines are all JSON gives a value per line. Of any other, one that opens as an
+    array is read split by split and gives a value per element, whatever its size, or the array
+    itself if it is empty; the rest give one value, if they parse as a whole and have at most
+    ``whole_bytes`` bytes, if such a bound is wanted. Values come as ``dataset, file, in_array,
+    v``. Outcomes are ``dataset, file, outcome, rejected``: ``rejected`` counts valid lines or
+    elements beyond the engine's value limit, which give no value and do not reject their file;
+    a file that is one such value is ``too_large``. Files in ``existing`` (``file``) are left out.
     """
     lines = text_lines(spark, path, collection, glob=glob).filter(not_blank(F.col("text")))
     if existing is not None:
         lines = lines.join(existing.select("file").distinct(), "file", "left_anti")
-    parsed = with_computed(lines, "v", parse_strict(F.col("text")))
+    parsed = with_computed(lines, "v", parse_structure(F.col("text")))
+    reason = reject_reason(F.col("text"), F.col("v"))
+    opening = F.regexp_extract("text", r"^[\s\ufeff]*(\S)", 1)
+    brackets = F.length("text") - F.length(F.translate("text", "[]", ""))
     tried = cut(
-        parsed.groupBy("dataset", "file").agg(
-            F.count(F.lit(1)).alias("lines"), F.count_if(F.col("v").isNull()).alias("broken")
+        with_computed(parsed, "reason", reason).groupBy("dataset", "file").agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.count_if(F.col("reason") == "invalid").alias("broken"),
+            F.count_if(F.col("reason") == "too_large").alias("rejected"),
+            F.min_by(opening, F.struct("block", "pos")).alias("opening"),
+            F.max_by(F.regexp_extract(F.substring("text", -100, 100), r"(\S)\s*$", 1), F.struct("block", "pos")).alias("closing"),
+            (F.every(F.regexp_like("text", F.lit(r"^[\s\ufeff\[\]]*$"))) & (F.sum(brackets) == 2)).alias("bare"),
         )
     )
-    by_line = parsed.join(small_side(tried.filter("broken = 0").select("file")), "file", "left_semi")
-    second = tried.filter("broken > 0").select("file")
-    small = whole_files(spark, path, collection, glob).filter(F.col("size_bytes") <= whole_bytes)
-    as_one = with_computed(
-        small.join(small_side(second), "file", "left_semi"), "v", parse_strict(F.col("text"))
+    # A line of its own that is too large may be an array, too.
+    by_lines = "broken = 0 and not (lines = 1 and rejected = 1)"
+    by_line = parsed.join(small_side(tried.filter(by_lines).select("file")), "file", "left_semi")
+    second = tried.filter(f"not ({by_lines})")
+    arrays = small_side(second.filter("opening = '['").select("file"))
+    single = small_side(second.filter("opening <> '['").select("file"))
+
+    elements = scan_json_array(spark, path, collection, wanted=arrays)
+    elements = with_computed(elements, "v", parse_structure(F.col("json")))
+    in_arrays = cut(
+        elements.groupBy("file").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("v").isNull()).alias("large"))
     )
-    values = by_line.select("dataset", "file", "v").unionByName(
-        as_one.filter(F.col("v").isNotNull()).select("dataset", "file", "v")
+    # Told from the counts: its reader has no element to give.
+    is_empty = F.col("bare") & (F.col("opening") == "[") & (F.col("closing") == "]")
+    empty = second.filter(is_empty).select("dataset", "file", F.parse_json(F.lit("[]")).alias("v"))
+
+    whole = whole_files(spark, path, collection, glob)
+    if whole_bytes is not None:
+        whole = whole.filter(F.col("size_bytes") <= whole_bytes)
+    as_one = with_computed(whole.join(single, "file", "left_semi"), "v", parse_structure(F.col("text")))
+    outside = by_line.select("dataset", "file", "v").unionByName(as_one.select("dataset", "file", "v")).unionByName(empty)
+    values = outside.withColumn("in_array", F.lit(False)).unionByName(
+        elements.select("dataset", "file", "v", F.lit(True).alias("in_array"))
     )
-    parses = as_one.select("file", F.col("v").isNotNull().alias("parses"))
+    parses = as_one.select("file", reject_reason(F.col("text"), F.col("v")).alias("why"), F.lit(True).alias("tried"))
     outcome = (
-        F.when(F.col("broken") == 0, "lines")
-        .when(F.col("parses").isNull(), "too_large")
-        .when(F.col("parses"), "whole")
-        .otherwise("unparsable")
+        F.when(F.expr(by_lines), "lines")
+        .when((F.col("elements") > 0) | is_empty, "whole")
+        .when(F.col("tried") & F.col("why").isNull(), "whole")
+        .when(F.col("tried"), F.when(F.col("why") == "invalid", "unparsable").otherwise("too_large"))
+        .when(F.col("opening") == "[", "unparsable")
+        .otherwise("too_large")
     )
-    outcomes = tried.join(parses, "file", "left").select(
-        "dataset", "file", outcome.alias("outcome")
+    rejected = F.coalesce("large", F.when(F.expr(by_lines), F.col("rejected")), F.lit(0))
+    outcomes = (
+        tried.join(in_arrays, "file", "left")
+        .join(parses, "file", "left")
+        .select("dataset", "file", outcome.alias("outcome"), rejected.alias("rejected"))
     )
-    return values, outcomes
+    return values.filter(F.col("v").isNotNull()), outcomes
+
+
+def file_nodes(values: DataFrame, levels: int = DEFAULT_LEVELS) -> DataFrame:
+    """The node table of ``file_documents``, elements at their place in their file's array."""
+    keys = ["dataset", "file"]
+    outside = shred_documents(values.filter(~F.col("in_array")), keys, levels)
+    elements = values.filter("in_array")
+    inside = shred_documents(elements, keys, levels).select(
+        *keys, F.concat(F.lit("[]"), "path").alias("path"), (F.col("depth") + 1).alias("depth"), "kind"
+    )
+    roots = elements.select(*keys).distinct().select(
+        *keys, F.lit("").alias("path"), F.lit(1).alias("depth"), F.lit("array").alias("kind")
+    )
+    return outside.unionByName(inside).unionByName(roots)
+
+
+def file_schemas(
+    spark: SparkSession,
+    path: str,
+    collection: str = "file",
+    existing: DataFrame | None = None,
+    whole_bytes: int | None = None,
+    levels: int = DEFAULT_LEVELS,
+    glob: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Path table per raw file, and the outcome of every file."""
+    values, outcomes = file_documents(spark, path, collection, existing, whole_bytes, glob)
+    return infer_paths(file_nodes(values, levels), ["dataset", "file"]), outcomes
 
 
 def infer_file_schemas(
@@ -201,9 +259,15 @@ def infer_file_schemas(
     path: str,
     collection: str = "file",
     existing: DataFrame | None = None,
-    whole_bytes: int = WHOLE_FILE_BYTES,
+    whole_bytes: int | None = None,
     levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
-    """Path table per raw file."""
-    values, _ = file_documents(spark, path, collection, existing, whole_bytes)
-    return infer_paths(shred_documents(values, ["dataset", "file"], levels), ["dataset", "file"])
+    """Path table per raw file; warns of files that are not in it, or not with all their values.
+
+    ``file_schemas`` returns the outcomes themselves.
+    """
+    paths, outcomes = file_schemas(spark, path, collection, existing, whole_bytes, levels)
+    left_out = outcomes.filter("outcome not in ('lines', 'whole') or rejected > 0")
+    for row in left_out.groupBy("outcome").agg(F.count(F.lit(1)).alias("files"), F.sum("rejected").alias("rejected")).collect():
+        warnings.warn(f"{row.files} files with outcome {row.outcome}, {row.rejected} values beyond the engine's limit", stacklevel=2)
+    return paths

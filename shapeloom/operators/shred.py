@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import kind_sql, parse_strict, with_computed
+from shapeloom.functions.json_text import kind_sql, parse_structure, reject_reason, with_computed
 from shapeloom.functions.paths import STEP_SQL
 from shapeloom.session import cut
 
@@ -18,9 +18,21 @@ _LEVELS_PER_QUERY = 5
 
 
 def parse_documents(docs: DataFrame, text: Column | None = None) -> DataFrame:
-    """Add the variant column ``v``; rows that are not exactly one JSON value are dropped."""
+    """Add the variant column ``v``; rows of ``rejected_documents`` are left out.
+
+    ``v`` is for its structure: where the engine refuses a string for its length, long strings
+    are cut down.
+    """
+    text = F.col("json") if text is None else text
+    return with_computed(docs, "v", parse_structure(text)).filter(F.col("v").isNotNull())
+
+
+def rejected_documents(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """Rows without a value, with the ``reason``: ``invalid`` if they are not exactly one JSON
+    value, ``too_large`` if they are one beyond the engine's limit."""
     text = F.col("json") if text is None else text
-    return with_computed(docs, "v", parse_strict(text)).filter(F.col("v").isNotNull())
+    tried = with_computed(docs, "v", parse_structure(text)).filter(F.col("v").isNull())
+    return tried.withColumn("reason", reject_reason(text, F.col("v"))).drop("v")
 
 
 def shred_documents(

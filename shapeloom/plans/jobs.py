@@ -11,7 +11,7 @@ from shapeloom.functions.paths import base_name
 from shapeloom.operators import compare, infer, manifest, profile, sampling, vote
 from shapeloom.operators import propose as proposing
 from shapeloom.operators.render import render_master, render_schema
-from shapeloom.operators.shred import DEFAULT_LEVELS, shred_documents
+from shapeloom.operators.shred import DEFAULT_LEVELS
 from shapeloom.session import configure, cut, small_side
 from shapeloom.sources import tables, texts
 
@@ -160,8 +160,8 @@ def raw_file_schemas(
     """
     configure(spark)
     keys = ["dataset", "file"]
-    values, outcomes = infer.file_documents(spark, path, existing=existing, glob="*.json")
-    paths = cut(infer.infer_paths(shred_documents(values, keys, levels), keys))
+    paths, outcomes = infer.file_schemas(spark, path, existing=existing, levels=levels, glob="*.json")
+    paths = cut(paths)
     schemas = render_schema(paths, keys).select(_schema_name(path).alias("schema"), "schema_json")
     tables.write_file_schemas(schemas, out)
     written = F.concat(F.lit(out.rstrip("/") + "/schema="), F.replace(_schema_name(path), F.lit("/"), F.lit("%2F")))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import parse_strict, with_computed
+from shapeloom.functions.json_text import is_json, with_computed
 from shapeloom.session import cut, small_side
 
 def _file_path() -> Column:
@@ -81,14 +81,15 @@ def scan_json_lines(
 ) -> DataFrame:
     """``dataset, file, block, pos, json``: a row per line that is not blank.
 
-    One line that is not JSON rejects its whole ``file``, or its whole ``dataset``.
+    One line that is not JSON rejects its whole ``file``, or its whole ``dataset``. A line too
+    large for the engine to parse does not.
     """
     return valid_lines(text_lines(spark, path, collection), reject).withColumnRenamed("text", "json")
 
 
 def valid_lines(lines: DataFrame, reject: str = "file") -> DataFrame:
     lines = lines.filter(not_blank(F.col("text")))
-    broken = lines.filter(parse_strict(F.col("text")).isNull()).select(reject).distinct()
+    broken = lines.filter(~is_json(F.col("text"))).select(reject).distinct()
     return lines.join(small_side(broken), reject, "left_anti")
 
 
@@ -130,7 +131,7 @@ def scan_documents(
     files = whole_files(spark, path, "directory", glob).withColumnRenamed("text", "json")
     if exclude is not None:
         files = files.filter(~F.contains("file", F.lit(f"/{exclude.strip('/')}/")))
-    return files.filter(parse_strict(F.col("json")).isNotNull())
+    return files.filter(is_json(F.col("json")))
 
 
 def without_scheme(root: str) -> str:
@@ -165,7 +166,7 @@ def scan_json_array(
         pieces = pieces.join(wanted, "file", "left_semi")
     elements = array_elements(pieces)
     # Written once: whether a file is sound is known only when all its elements are.
-    elements = cut(elements.withColumn("valid", parse_strict(F.col("json")).isNotNull()))
+    elements = cut(elements.withColumn("valid", is_json(F.col("json"))))
     sound = F.every("valid") & F.bool_or("last")
     arrays = elements.groupBy("file").agg(sound.alias("sound")).filter("sound").select("file")
     return elements.join(small_side(arrays), "file", "left_semi").drop("last", "valid")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shapeloom.operators import compare, infer, manifest, propose, sampling
+from shapeloom.operators import compare, infer, manifest, propose, sampling, shred
 from shapeloom.session import fresh_dir
 from shapeloom.sources import tables, texts
 
@@ -268,3 +268,40 @@ def test_comparison_counts_paths_types_and_flags(spark):
     row = compare.schema_similarity(diff, ["dataset"]).first()
     assert (row.paths, row.shared_paths, row.same_type, row.same_required) == (5, 3, 2, 2)
     assert row.path_overlap == 3 / 5 and row.required_agreement == 2 / 3
+
+
+def test_values_beyond_the_parser_are_not_lost(spark, tmp_path):
+    long = "x" * 20_000_001
+    (tmp_path / "lines.json").write_text('{"a":1}\n{"b":"%s","c":["\\"%s"]}\n' % (long, "\\n\\\\" * 1_000_000))
+    (tmp_path / "array.json").write_text('[\n{"a":1},\n{"b":"%s"}\n]' % long)
+    (tmp_path / "line.json").write_text('[{"a":1},{"b":"%s"}]' % long)
+    (tmp_path / "object.json").write_text('{\n"b":"%s"}' % long)
+    (tmp_path / "fault.json").write_text('{"b":"%s\t"}\n' % long)
+    (tmp_path / "none.json").write_text("[\n]\n")
+    (tmp_path / "half.json").write_text("[\n[\n")
+    values, outcomes = infer.file_documents(spark, str(tmp_path))
+    assert {r.dataset: (r.outcome, r.rejected) for r in outcomes.collect()} == {
+        **{n: ("whole", 0) for n in ("array", "object", "none")}, "lines": ("lines", 0), "line": ("lines", 0),
+        "fault": ("unparsable", 0), "half": ("unparsable", 0),
+    }
+    paths = {(r.dataset, r.path): (r.nodes, "|".join(r.types), r.required) for r in infer.infer_paths(infer.file_nodes(values), ["dataset"]).collect()}
+    for name in ("array", "line"):
+        assert {p: f for (d, p), f in paths.items() if d == name} == {
+            "": (1, "array", False), "[]": (2, "object", False), "[].a": (1, "integer", False), "[].b": (1, "string", False),
+        }
+    assert paths["object", ".b"] == (1, "string", True) and paths["none", ""] == (1, "array", False)
+    assert {p for d, p in paths if d == "lines"} == {"", ".a", ".b", ".c", ".c[]"}
+    kept = texts.scan_json_lines(spark, str(tmp_path)).groupBy("dataset").count().collect()
+    assert {r.dataset: r["count"] for r in kept} == {"lines": 2, "line": 1}
+    elements = texts.scan_json_array(spark, str(tmp_path)).groupBy("dataset").count().collect()
+    assert {r.dataset: r["count"] for r in elements} == {"array": 2, "line": 2}
+
+
+def test_documents_without_a_value_are_reject_rows(spark):
+    docs = spark.createDataFrame([("ok", "[1]"), ("bad", "{"), ("none", None)], "id string, json string").unionByName(
+        spark.range(1).selectExpr("'large' as id", "concat('[', repeat('1e-300,', 18000000), '1]') as json")
+    )
+    assert {r.id: r.reason for r in shred.rejected_documents(docs).select("id", "reason").collect()} == {
+        "bad": "invalid", "none": "invalid", "large": "too_large",
+    }
+    assert [r.id for r in shred.parse_documents(docs).select("id").collect()] == ["ok"]
