@@ -19,6 +19,7 @@ without rows gives none.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,10 +60,11 @@ class Encoder:
     Such a vocabulary never joins a blank that precedes a word to what stands before it, so a
     text may be cut before each such blank, and a word that a batch repeats is encoded once.
     Where ids follow the order of the merges, words are merged by rank; otherwise the
-    vocabulary's own library encodes whole texts.
+    vocabulary's own library encodes whole texts. ``with_added`` gives the tokens added to the
+    vocabulary their own ids, as the library does by default; otherwise they are text.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, with_added: bool = False):
         model = json.loads(spec)
         vocab, merges = model["model"]["vocab"], model["model"].get("merges", [])
         joined = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
@@ -80,14 +82,17 @@ class Encoder:
             self.width = np.zeros(max(ranks.values()) + 1, np.int64)
             for word, i in ranks.items():
                 self.width[i] = len(word)
-        else:
+        # Texts that may hold tokens added to the vocabulary go to its own library.
+        added = [re.escape(t["content"]) for t in model.get("added_tokens", []) if with_added]
+        self.added = re.compile("|".join(added)) if added else None
+        if self.ranked is None or added:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_str(spec)
-            self.whole.encode_special_tokens = True
+            self.whole.encode_special_tokens = not with_added
 
     def _one(self, text: str) -> np.ndarray:
-        if self.whole is not None:
+        if self.ranked is None or (self.added and self.added.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.ranked.encode_ordinary(text), np.uint32)
 
@@ -95,6 +100,8 @@ class Encoder:
         """The ids of each text; no text may be null."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         odd = pc.match_substring_regex(texts, _BLANK_RUNS).to_numpy(zero_copy_only=False) if self.ranked else np.ones(len(texts), bool)
+        if self.ranked and self.added:
+            odd = odd | pc.match_substring_regex(texts, self.added.pattern).to_numpy(zero_copy_only=False)
         for k in np.flatnonzero(odd):
             out[k] = self._one(texts[k].as_py())
         plain = np.flatnonzero(~odd)
@@ -131,7 +138,7 @@ def encoder(spec: str) -> Encoder:
     """One per worker process and vocabulary."""
     key = zlib.crc32(spec.encode())
     if key not in _encoders:
-        _encoders[key] = Encoder(spec)
+        _encoders[key] = Encoder(spec, with_added=True)
     return _encoders[key]
 
 

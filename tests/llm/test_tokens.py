@@ -124,3 +124,10 @@ def test_long_words_and_best_paths():
 def test_empty(spark):
     none = cases.documents(spark).limit(0)
     assert packing.pack_documents(none, BPE).count() == pieces.round_trips(none, MODEL).count() == 0
+
+
+def test_added_tokens_are_the_librarys():
+    made = ["a <|endoftext|> y", "<|endoftext|>", "plain words here", "a  b<|endoftext|><|endoftext|>\n c", "<|endoftext", ""]
+    known = Tokenizer.from_file(BPE)
+    found = [i.tolist() for i in packing.encoder(open(BPE).read()).batch(pa.array(made))]
+    assert found == [known.encode(t, add_special_tokens=False).ids for t in made] and found[0] == [64, 220, 50256, 331]
