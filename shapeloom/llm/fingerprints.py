@@ -2,7 +2,7 @@
 
 A text's prefix arrays hold, for two primes, the polynomial hash of every prefix. From them the
 hash of any span follows in one step, so spans are compared at once and the longest common
-extension of two places is found by binary search. A fingerprint is the hash of the whole text
+extension of two places is found by binary search; the query uses neither. A fingerprint is the hash of the whole text
 and, for the set of its spans of ``SPAN`` code points, one least hash per slot; the share of
 equal slots estimates how many spans two texts have in common.
 
