@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, fingerprints, language, nearness, packing, pages, pieces, quality, secrets, toxicity
+from . import exact, fingerprints, language, merges, nearness, negatives, packing, pages, pieces, quality, repairs, secrets, toxicity
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
@@ -54,8 +55,34 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    return merges.round_trips(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sentencepiece, op2_html_extraction, op3_language_id, op4_packing, op5_exact_dedup, op6_near_dedup, op7_quality, op8_secret_scan, op9_toxicity, op10_fingerprints)
+    own = (
+        op1_sentencepiece,
+        op2_html_extraction,
+        op3_language_id,
+        op4_packing,
+        op5_exact_dedup,
+        op6_near_dedup,
+        op7_quality,
+        op8_secret_scan,
+        op9_toxicity,
+        op10_fingerprints,
+        op11_conversation_repair,
+        op12_byte_bpe,
+        op13_hard_negatives,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -125,4 +152,4 @@ FROM d LEFT JOIN told USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_SQL, "op6_near_dedup": NEAR_SQL, "op8_secret_scan": secret_sql()}
+    return {"op5_exact_dedup": EXACT_SQL, "op6_near_dedup": NEAR_SQL, "op8_secret_scan": secret_sql(), "op11_conversation_repair": repairs.SQL, "op13_hard_negatives": negatives.SQL}
