@@ -169,20 +169,69 @@ def quote_json_list(texts: Column) -> Column:
     return F.to_json(texts)
 
 
-@F.pandas_udf(T.LongType())
-def serialized_length(text: pd.Series) -> pd.Series:
-    """Characters of the value written by Python's ``json`` with default separators.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+# Floats of at most 15 digits from 0.0001 on: written anew they lose zeros at the end, no more.
+_PLAIN_FLOAT = r"^-?(?=[0-9.]{3,16}$)(?:0\.(?:0+$|0{0,3}[1-9][0-9]*$)|[1-9][0-9]*\.[0-9]+$)"
 
-    How a float is spelt decides the length, so Python itself does the spelling.
-    """
 
-    def measure(value: str | None) -> int | None:
-        try:
+@F.pandas_udf(T.LongType())
+def _spelt_by_python(floats: pd.Series, text: pd.Series) -> pd.Series:
+    """Characters that ``floats`` take when written anew less those they have, and those of a
+    whole value ``text`` where one is given."""
+
+    def measure(tokens, value: str | None) -> int:
+        if value is not None:
             return len(json.dumps(json.loads(value), ensure_ascii=False))
-        except (TypeError, ValueError, RecursionError):
-            return None
+        return sum(len(json.dumps(float(t))) - len(t) for t in tokens) if tokens is not None else 0
 
-    return text.map(measure).astype("Int64")
+    return pd.Series([measure(t, v) for t, v in zip(floats, text, strict=True)], dtype="int64")
+
+
+def _count(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, sign, ""))
+
+
+def with_serialized_length(df: DataFrame, name: str, text: Column, v: Column) -> DataFrame:
+    """Add the characters of the value written by Python's ``json`` with default separators,
+    non-ASCII kept. ``text`` must be the one JSON value that ``v`` was parsed of.
+
+    Summed up over the text's tokens without parsing it: strings by how their escapes would be
+    written, one blank behind every comma and colon, none elsewhere. How a float is spelt is up
+    to Python, which gets the unusual ones only; short floats just lose zeros at their end. A text
+    that repeats a member's name, told by its number of colons, is left to Python as a whole.
+    """
+    # Escaped backslashes first, as two characters, so that every other one begins an escape.
+    plain = F.replace(text, F.lit("\\\\"), F.lit(2 * _PAIR))
+    for escape, written in (
+        (r"\\/", "x"),
+        (r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "x"),
+        (r"\\u00(?:0[89aAcCdD]|22|5[cC])", "xx"),
+        (r"\\u00[01][0-9a-fA-F]", "xxxxxx"),
+        (r"\\u[0-9a-fA-F]{4}", "x"),
+    ):
+        plain = F.regexp_replace(plain, escape, written)
+    spelt = F.when(F.contains(text, F.lit("\\")), plain).otherwise(text)
+    is_float = lambda t: F.regexp_like(t, F.lit("[.eE]"))
+    is_plain = lambda t: F.regexp_like(t, F.lit(_PLAIN_FLOAT))
+    zeros = lambda t: F.length(F.regexp_extract(t, r"(0*)$", 1))
+    lost = lambda t: F.when(F.regexp_like(t, F.lit(r"\.0+$")), zeros(t) - 1).otherwise(zeros(t))
+    # Computed once each, one after the other.
+    work = with_computed(df, "__spelt", spelt)
+    work = with_computed(work, "__outside", F.regexp_replace("__spelt", _STRING, ""))
+    numbers = F.regexp_extract_all("__outside", F.lit(_NUMBER), F.lit(0))
+    work = with_computed(work, "__numbers", F.when(F.regexp_like("__outside", F.lit(r"[.eE]|-0")), numbers))
+    spelt, outside, numbers = (F.col(c) for c in ("__spelt", "__outside", "__numbers"))
+    colons = _count(F.regexp_replace(F.to_json(v), _STRING, ""), ":")
+    floats = F.filter(numbers, is_float)
+    repeated = _count(outside, ":") != colons
+    saved = F.aggregate(F.filter(floats, is_plain), F.lit(0), lambda n, t: n + lost(t)) + F.size(F.filter(numbers, lambda t: t == "-0"))
+    odd = F.filter(floats, lambda t: ~is_plain(t))
+    by_python = _spelt_by_python(F.when(F.size(odd) > 0, odd), F.when(repeated, text))
+    strings = F.length(spelt) - F.length(outside)
+    signs = F.length(F.translate(outside, " \t\n\r", "")) + _count(outside, ",") + _count(outside, ":")
+    size = F.when(repeated, by_python).otherwise(strings + signs - F.coalesce(saved, F.lit(0)) + by_python)
+    return work.withColumn(name, size.cast("long")).drop("__spelt", "__outside", "__numbers")
 
 
 @F.pandas_udf(T.StringType())

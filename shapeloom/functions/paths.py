@@ -16,9 +16,12 @@ def encode_key(key: Column) -> Column:
     return F.replace(out, F.lit("["), F.lit("~2"))
 
 
+def member_step_sql(key: str) -> str:
+    return f"concat('.', replace(replace(replace({key}, '~', '~0'), '.', '~1'), '[', '~2'))"
+
+
 # The step a row of ``variant_explode`` stands for: array elements have no key.
-STEP_SQL = """case when key is null then '[]' else
-    concat('.', replace(replace(replace(key, '~', '~0'), '.', '~1'), '[', '~2')) end"""
+STEP_SQL = f"case when key is null then '[]' else {member_step_sql('key')} end"
 
 
 def decode_key(key: Column) -> Column:

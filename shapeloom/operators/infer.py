@@ -48,7 +48,12 @@ def infer_paths(nodes: DataFrame, keys: list[str]) -> DataFrame:
     when one parent has very many members. The table is cut off from the scan first, so that
     the documents are read once.
     """
-    counts = cut(path_counts(nodes, keys))
+    return paths_of_counts(path_counts(nodes, keys), keys)
+
+
+def paths_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The path table of counts per path and kind."""
+    counts = cut(counts)
     parents = counts.filter(F.col("n_object") > 0).select(
         *keys, F.col("path").alias("parent"), F.col("n_object").alias("parent_objects")
     )

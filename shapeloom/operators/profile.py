@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import serialized_length
+from shapeloom.functions.json_text import with_serialized_length
 from shapeloom.functions.paths import is_item, parent_name
 from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
 
@@ -41,7 +41,7 @@ def document_complexity(
     """
     parsed = parse_documents(docs)
     if with_size:
-        parsed = parsed.withColumn("size_bytes", serialized_length(F.col("json")))
+        parsed = with_serialized_length(parsed, "size_bytes", F.col("json"), F.col("v"))
         nodes = shred_documents(parsed, [*keys, "size_bytes"], levels)
         size = [F.max("size_bytes").alias("size_bytes")]
     else:

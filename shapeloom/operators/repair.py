@@ -13,11 +13,13 @@ from shapeloom.functions.json_text import (
     strip_bom,
     with_computed,
 )
-from shapeloom.functions.paths import STEP_SQL
-from shapeloom.operators.shred import DEFAULT_LEVELS, split_by_depth, walk_down
+from shapeloom.functions.paths import STEP_SQL, member_step_sql
 from shapeloom.session import small_side
 
-_LEVELS_PER_QUERY = 2
+# Levels of properties opened row by row. What lies deeper is walked inside its row.
+DEFAULT_LEVELS = 4
+# No schema is deeper than what the engine's parser reads.
+_DEEPEST = 1_000
 
 # Members that mark a node as a schema although it has no object type.
 MARKER_KEYWORDS = [
@@ -84,27 +86,35 @@ def _movable(key: str, value: str, mode: str) -> str:
     return f"({key} not in ({names}) and {_is_schema_like(value)})"
 
 
-def _forced(mode: str) -> str:
+def _forced(mode: str, v: str = "v", type_: str = "type") -> str:
     """The node ``v`` holds properties directly and is to be made an object around them.
 
     Only asked of nodes without ``properties`` that have an object among their members.
     """
     markers = ", ".join(f"'{name}'" for name in MARKER_KEYWORDS)
-    return f"""exists(array(try_variant_get(v, '$', 'map<string,variant>')), m ->
+    return f"""exists(array(try_variant_get({v}, '$', 'map<string,variant>')), m ->
         exists(map_keys(m), k -> {_movable('k', 'm[k]', mode)})
-        and (coalesce(try_variant_get(type, '$', 'string') = 'object', false)
+        and (coalesce(try_variant_get({type_}, '$', 'string') = 'object', false)
              or exists(array({markers}), k -> map_contains_key(m, k)
                        and not {_movable('k', 'm[k]', mode)})))"""
 
 
-_NAMES_OBJECT = """coalesce(try_variant_get(type, '$', 'string') = 'object', false)
-    or coalesce(array_contains(try_variant_get(type, '$', 'array<string>'), 'object'), false)"""
+def _names_object(type_: str = "type") -> str:
+    return f"""(coalesce(try_variant_get({type_}, '$', 'string') = 'object', false)
+        or coalesce(array_contains(try_variant_get({type_}, '$', 'array<string>'), 'object'), false))"""
 
-_HAS_CONTAINER = f"""case
-    when required is null or schema_of_variant(required) in
-        ('ARRAY<STRING>', 'ARRAY<VOID>', 'BOOLEAN', 'STRING', 'VOID') then false
-    else coalesce(exists(try_variant_get(required, '$', 'array<variant>'),
-        r -> {kind_sql('r')} in ('object', 'array')), false) end"""
+
+def _has_container(required: str = "required") -> str:
+    return f"""case
+        when {required} is null or schema_of_variant({required}) in
+            ('ARRAY<STRING>', 'ARRAY<VOID>', 'BOOLEAN', 'STRING', 'VOID') then false
+        else coalesce(exists(try_variant_get({required}, '$', 'array<variant>'),
+            r -> {kind_sql('r')} in ('object', 'array')), false) end"""
+
+
+def _required_names(required: str = "required") -> str:
+    return f"""transform(filter(try_variant_get({required}, '$', 'array<variant>'),
+        r -> schema_of_variant(r) = 'STRING'), r -> cast(r as string))"""
 
 
 def _settle(source: str, names: str, mode: str) -> str:
@@ -119,16 +129,15 @@ def _settle(source: str, names: str, mode: str) -> str:
         case when v is null then bad else visited and (
             (depth = 1 and not {is_object_sql('v')})
             or (not has_properties and not forced and properties is not null)
-            or {_HAS_CONTAINER}) end as bad,
+            or {_has_container()}) end as bad,
         case when v is null then null when has_properties then properties
              when forced then v end as inside,
         case when v is null or not (has_properties or forced) then null else
-            transform(filter(try_variant_get(required, '$', 'array<variant>'),
-                r -> schema_of_variant(r) = 'STRING'), r -> cast(r as string)) end as required_names
+            {_required_names()} end as required_names
     from (
         select *, case when v is null or not voted then false when depth = 1 then true
             when forced then not {_is_schema_like('type')}
-            else properties is not null and ({_NAMES_OBJECT}) end as visited
+            else properties is not null and {_names_object()} end as visited
         from (
             select *, case when v is null then done_forced when has_properties then false
                 when not contains(schema_of_variant(v), ': OBJECT<') then false
@@ -171,6 +180,56 @@ def _step_down(level: str, names: str, mode: str) -> str:
     return _settle(children, names, mode)
 
 
+_OUT = ["path", "depth", "is_required", "voted", "type", "required", "forced", "bad"]
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _settled(path: str, depth: str, is_required: str, voted: str, v: str, mode: str) -> str:
+    """A node below the first, settled as in ``_settle``, as a struct."""
+    own = f"""struct(try_variant_get({v}, '$.type') as type, try_variant_get({v}, '$.required') as required,
+        try_variant_get({v}, '$.properties') as properties)"""
+    has = is_object_sql("a.properties")
+    forced = f"""case when h then false when not contains(schema_of_variant({v}), ': OBJECT<') then false
+        else {_forced(mode, v, 'a.type')} end"""
+    visited = f"""case when not {voted} then false when f then not {_is_schema_like('a.type')}
+        else a.properties is not null and {_names_object('a.type')} end"""
+    node = f"""struct({path} as path, {depth} as depth, {is_required} as is_required, {voted} as voted,
+        a.type as type, a.required as required, f as forced, w as visited, h as has_properties,
+        w and ((not h and not f and a.properties is not null) or {_has_container('a.required')}) as bad,
+        case when h then a.properties when f then {v} end as inside,
+        case when h or f then {_required_names('a.required')} end as required_names)"""
+    return _let("a", own, _let("h", f"({has})", _let("f", f"({forced})", _let("w", f"({visited})", node))))
+
+
+def _all_below(mode: str) -> str:
+    """SQL for the settled nodes below the row's node, one level after the other."""
+    properties = f"""filter(map_entries(try_variant_get(n.inside, '$', 'map<string,variant>')),
+        e -> {is_object_sql('e.value')} and (n.has_properties or {_movable('e.key', 'e.value', mode)}))"""
+    child = _settled(
+        f"concat(n.path, {member_step_sql('e.key')})",
+        "n.depth + 1",
+        "coalesce(array_contains(n.required_names, e.key), false)",
+        "n.visited",
+        "e.value",
+        mode,
+    )
+    row = "struct(path, depth, is_required, voted, type, required, forced, visited, has_properties, bad, inside, required_names)"
+    out = "struct({})".format(", ".join(f"n.{c} as {c}" for c in _OUT))
+    blank = "struct({})".format(", ".join(_OUT))
+    return f"""aggregate(
+        sequence(1, least({_DEEPEST}, length(to_json(inside)) - length(translate(to_json(inside), '{{', '')))),
+        struct(array({row}) as front, filter(array({blank}), n -> false) as done),
+        (s, i) -> case when size(s.front) = 0 then s else
+            {_let('level', f"flatten(transform(s.front, n -> transform({properties}, e -> {child})))", f"""struct(
+                filter(level, n -> n.inside is not null) as front,
+                concat(s.done, transform(level, n -> {out})) as done)""")} end,
+        s -> s.done)"""
+
+
 # The votes a node casts; none when its ``type`` has no usable form.
 _VOTES = f"""case
     when forced and {_is_schema_like('type')} then array('null')
@@ -206,28 +265,19 @@ def schema_tree(
     root = f"""(select {names}, '' as path, 1 as depth, false as is_required, true as voted,
         {nothing} as type, {nothing} as required, cast(null as boolean) as done_forced,
         cast(null as boolean) as bad, v from {{parsed}} where v is not null)"""
-
-    def roots(parsed: DataFrame) -> DataFrame:
-        return spark.sql(_settle(root, names, mode), parsed=parsed)
-
-    def opened(nodes: DataFrame) -> DataFrame:
-        for first in range(1, levels, _LEVELS_PER_QUERY):
-            nested = "{nodes}"
-            for _ in range(first, min(first + _LEVELS_PER_QUERY, levels)):
-                nested = f"({_step_down(nested, names, mode)})"
-            nodes = spark.sql(f"select * from {nested}", nodes=nodes)
-        return nodes
-
-    # A step down the walk opens one level of the text or two.
-    shallow, deep = split_by_depth(parsed, levels, "text")
-    nodes = opened(roots(shallow))
-    if deep is not None:
-        unfinished = "inside is not null and to_json(inside) <> '{}'"
-        nodes = nodes.unionByName(walk_down(roots(deep), opened, unfinished))
+    nodes = spark.sql(_settle(root, names, mode), parsed=parsed)
+    # A statement for each level: the analyser takes longer over nested ones.
+    for _ in range(1, levels):
+        nodes = spark.sql(_step_down("{nodes}", names, mode), nodes=nodes)
+    own = "array(struct({}))".format(", ".join(_OUT))
+    # Doubled braces: the text is a template for the table's name.
+    below = _all_below(mode).replace("{", "{{").replace("}", "}}")
     return spark.sql(
         f"""select {names}, path, depth, is_required, voted, forced, bad, type_form,
             coalesce({kind_sql('required')}, 'absent') as required_form, {_VOTES} as types
-        from (select *, coalesce({kind_sql('type')}, 'absent') as type_form from {{nodes}})""",
+        from (select *, coalesce({kind_sql('type')}, 'absent') as type_form
+            from (select {names}, inline(case when inside is null or to_json(inside) = '{{{{}}}}' then {own}
+                else concat({own}, {below}) end) from {{nodes}}))""",
         nodes=nodes,
     )
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import kind_sql, parse_structure, reject_reason, with_computed
-from shapeloom.functions.paths import STEP_SQL
-from shapeloom.session import cut
+from shapeloom.functions.paths import STEP_SQL, member_step_sql
 
-# Levels opened in one pass; deeper documents are taken further in passes of their own.
-DEFAULT_LEVELS = 16
-# Levels written into one query text; more would only make it slower to analyse.
-_LEVELS_PER_QUERY = 5
+# Levels opened row by row. What lies deeper is opened inside its row, whatever its depth.
+DEFAULT_LEVELS = 5
+# The engine's parser refuses text nested deeper than this.
+_DEEPEST = 1_000
 
 
 def parse_documents(docs: DataFrame, text: Column | None = None) -> DataFrame:
@@ -42,77 +39,54 @@ def shred_documents(
 
     The tree is opened level by level in one narrow pass: no shuffle, one scan, one parse. Each
     step opens the container a row still carries; the container's own row is put out beside its
-    first child, so a finished node just rides along through the remaining steps. Every document
-    is opened fully: those with more than ``levels`` levels, told by the brackets of their text,
-    go through as many passes as they need, written to the shared folder in between.
-    """
-    names = ", ".join(f"`{k}`" for k in keys)
-    spark = docs.sparkSession
-
-    def opened(nodes: DataFrame) -> DataFrame:
-        for first in range(1, levels, _LEVELS_PER_QUERY):
-            nested = "{nodes}"
-            for _ in range(first, min(first + _LEVELS_PER_QUERY, levels)):
-                nested = f"({_open_once(nested, names)})"
-            nodes = spark.sql(f"select * from {nested}", nodes=nodes)
-        return nodes
-
-    def roots(docs: DataFrame) -> DataFrame:
-        return spark.sql(
-            f"""select {names}, '' as path, 1 as depth, kind,
-                case when kind in ('object', 'array') then v end as v
-            from (select {names}, v, {kind_sql('v')} as kind from {{docs}})""",
-            docs=docs,
-        )
-
-    shallow, deep = split_by_depth(docs, levels, "json")
-    nodes = opened(roots(shallow)).drop("v")
-    if deep is None:
-        return nodes
-    unfinished = "v is not null and to_json(v) not in ('{}', '[]')"
-    return nodes.unionByName(walk_down(roots(deep), opened, unfinished).drop("v"))
-
-
-def split_by_depth(
-    docs: DataFrame, levels: int, text: str
-) -> tuple[DataFrame, DataFrame | None]:
-    """Documents of at most ``levels`` levels, and the deeper ones (None: there are none).
-
-    Where the column ``text``, of which ``v`` is parsed, has few opening brackets, nothing needs
-    to be parsed to tell. For the others brackets alone are kept of the document, and pairs that
-    hold nothing are taken away until ``levels`` nested ones would be left. A document that ends
-    in an empty container may pass for one level deeper than it is, which does no harm.
+    first child, so a finished node just rides along through the remaining steps. A container
+    that a row still carries after ``levels`` levels is opened all the way down inside that row.
+    The result does not depend on ``levels``, and building it runs no job.
     """
     if levels < 2:
-        raise ValueError("a pass opens two levels or more")
+        raise ValueError("two levels or more are opened row by row")
+    names = ", ".join(f"`{k}`" for k in keys)
+    nested = f"""(select {names}, '' as path, 1 as depth, kind,
+        case when kind in ('object', 'array') then v end as v
+        from (select {names}, v, {kind_sql('v')} as kind from {{docs}}))"""
+    for _ in range(1, levels):
+        nested = f"({_open_once(nested, names)})"
+    rest = f"""select {names}, inline(case when v is null or to_json(v) in ('{{{{}}}}', '[]')
+        then array(struct(path, depth, kind))
+        else concat(array(struct(path, depth, kind)), {_all_below("struct(path, depth, kind, v)")}) end)
+        from {nested}"""
+    return docs.sparkSession.sql(rest, docs=docs)
 
-    def openings(value: Column) -> Column:
-        return F.length(value) - F.length(F.translate(value, "[{", ""))
 
-    written = F.to_json("v")
-    left = F.regexp_replace(written, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++', "")
-    for _ in range(levels - 1):
-        left = F.regexp_replace(left, r"\[\]|\{\}", "")
-    many = openings(F.col(text)) >= levels if text in docs.columns else F.lit(True)
-    is_deep = F.coalesce(F.when(many, F.when(openings(written) >= levels, left != "")), F.lit(False))
-    found = docs.filter(many & is_deep)
-    if not found.agg(F.count(F.lit(1))).first()[0]:
-        return docs, None
-    return docs.filter(~is_deep), cut(found)
+def _node(path: str, depth: str, v: str) -> str:
+    """A node with its container, if it is one."""
+    return f"""transform(array({kind_sql(v)}), k -> struct({path} as path, {depth} as depth, k as kind,
+        case when k in ('object', 'array') then {v} end as v))[0]"""
 
 
-def walk_down(
-    nodes: DataFrame, opened: Callable[[DataFrame], DataFrame], unfinished: str
-) -> DataFrame:
-    """Passes of ``opened`` over the nodes that are still ``unfinished``, until none is."""
-    done = None
-    while True:
-        nodes = cut(opened(nodes))
-        finished = nodes.filter(f"not coalesce({unfinished}, false)")
-        done = finished if done is None else done.unionByName(finished)
-        nodes = nodes.filter(unfinished)
-        if nodes.isEmpty():
-            return done
+_CHILDREN = f"""case
+    when n.kind = 'object' then transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')),
+        e -> {_node(f"concat(n.path, {member_step_sql('e.key')})", 'n.depth + 1', 'e.value')})
+    when n.kind = 'array' then transform(try_variant_get(n.v, '$', 'array<variant>'),
+        x -> {_node("concat(n.path, '[]')", 'n.depth + 1', 'x')}) end"""
+
+
+def _all_below(root: str) -> str:
+    """SQL for ``array<struct<path, depth, kind>>`` of all nodes below a node with its container.
+
+    One level after the other: containers of the last level in front, finished nodes behind. There
+    are no more levels than opening brackets; once nothing is in front, nothing happens any more.
+    """
+    containers = "filter(level, n -> n.v is not null)"
+    return f"""aggregate(
+        sequence(1, least({_DEEPEST}, length(to_json(v)) - length(translate(to_json(v), '[{{{{', '')))),
+        struct(array({root}) as front, filter(array(struct(path, depth, kind)), n -> false) as done),
+        (s, i) -> case when size(s.front) = 0 then s else
+            transform(array(flatten(transform(s.front, n -> {_CHILDREN}))), level -> struct(
+                {containers} as front,
+                concat(s.done, transform(level, n -> struct(n.path as path, n.depth as depth, n.kind as kind))) as done))[0]
+            end,
+        s -> s.done)"""
 
 
 def _open_once(level: str, names: str) -> str:

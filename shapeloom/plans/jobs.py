@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapeloom.functions.paths import base_name
-from shapeloom.operators import compare, infer, manifest, profile, sampling, vote
+from shapeloom.operators import compare, fuse, infer, manifest, profile, sampling, vote
 from shapeloom.operators import propose as proposing
 from shapeloom.operators.render import render_master, render_schema
 from shapeloom.operators.shred import DEFAULT_LEVELS
@@ -171,6 +171,23 @@ def raw_file_schemas(
     )
 
 
+def fused_schemas(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """The path table per dataset of all schema files ``<path>/<dataset>/**.json``, fused.
+
+    Writes a schema per dataset to ``out``, if given. Files that are no JSON are left out.
+    """
+    configure(spark)
+    paths = cut(fuse.read_paths(texts.scan_schema_corpus(spark, path), ["dataset"], "text"))
+    if out is not None:
+        tables.write_schemas(render_schema(paths, ["dataset"]), out)
+    return paths
+
+
+def schema_file_similarity(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """How far two folders of schema files agree, per dataset; files of a dataset are fused."""
+    return similarity(fused_schemas(spark, left), fused_schemas(spark, right))
+
+
 def _schema_name(root: str) -> Column:
     """Path of a file below the root, with the extension of a schema."""
     place = F.regexp_replace("file", r"^\Q" + texts.without_scheme(root) + r"\E/*", "")

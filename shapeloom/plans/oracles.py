@@ -410,6 +410,8 @@ def oracle_sql() -> dict[str, str]:
                 and e.chunk = f.chunk"""
         ),
         "infer_document_schemas": _paths(_MIXED, "dataset, doc_id"),
+        "fuse_inferred_schemas": f"select dataset, path, types, required from ({_paths(_MIXED)})",
+        "infer_incremental": _paths(_EVENTS_PROPS),
         "render_schema": _rendered(
             f"with p as ({_paths(_NULLABLE)})", '{"$schema": "' + SCHEMA_URI + '", '
         ),

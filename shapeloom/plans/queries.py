@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.functions.paths import is_member, parent_name
-from shapeloom.operators import compare, infer, profile, propose, repair, sampling, vote
+from shapeloom.operators import compare, fuse, incremental, infer, profile, propose, repair, sampling, vote
 from shapeloom.operators import manifest as manifests
 from shapeloom.operators.render import render_master, render_schema
 from shapeloom.operators.shred import parse_documents, shred_documents
@@ -331,6 +331,29 @@ def render_schema_(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["render_schema"] = _QUERIES.pop("render_schema_")
 
 
+@_query
+def fuse_inferred_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas of the subsets of a collection, as text, read back and fused to the whole's."""
+    docs = corpora.mixed(spark, sf_dir).withColumn("block", _block())
+    subsets = sampling.size_subsets(docs, SUBSET_BYTES, ["block"], ["doc_id"])
+    keys = ["dataset", "subset"]
+    schemas = render_schema(infer.infer_paths(_nodes(subsets, keys), keys), keys)
+    return fuse.read_paths(schemas, ["dataset"]).select("dataset", "path", _types(), "required")
+
+
+@_query
+def infer_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole collection in four batches, one of them sent twice, folded on the way."""
+    state = fresh_dir(spark, "inference-state")
+    docs = corpora.events_props(spark, sf_dir)
+    for number in (0, 1, 1, 2, 3):
+        batch = docs.filter(F.pmod("doc_id", F.lit(4)) == number)
+        incremental.add_batch(batch, state, f"events/{number}")
+        if number == 2:
+            incremental.fold_state(spark, state)
+    return incremental.infer_incremental(spark, state).select("dataset", "path", "nodes", _types(), "required")
+
+
 # --- proposals ------------------------------------------------------------------------------
 
 

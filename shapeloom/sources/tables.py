@@ -18,7 +18,7 @@ def _texts(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _csv_options() -> dict[str, object]:
+def csv_options() -> dict[str, object]:
     # Quotes inside a value are doubled and blanks kept, unlike in Spark's own default.
     return {
         "header": True,
@@ -33,7 +33,7 @@ def scan_manifest(
     spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False
 ) -> DataFrame:
     """A manifest CSV with a header, all columns as text; an empty field is an empty text."""
-    reader = spark.read.options(**_csv_options()).schema(_texts(columns or MANIFEST_COLUMNS))
+    reader = spark.read.options(**csv_options()).schema(_texts(columns or MANIFEST_COLUMNS))
     return reader.option("multiLine", multi_line).csv(path).fillna("")
 
 
@@ -54,7 +54,7 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     """
     spark = manifest.sparkSession
     staged, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    manifest.write.mode("overwrite").options(**_csv_options()).csv(staged)
+    manifest.write.mode("overwrite").options(**csv_options()).csv(staged)
     path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     target = path_class(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -84,7 +84,7 @@ def log_rows(outcomes: DataFrame) -> DataFrame:
 
 
 def append_run_log(outcomes: DataFrame, path: str) -> None:
-    log_rows(outcomes).write.mode("append").options(**_csv_options()).csv(path)
+    log_rows(outcomes).write.mode("append").options(**csv_options()).csv(path)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Parsing, the node table, complexity and inference, on hand-worked documents."""
 
 import json
+import random
 
 from helpers import documents
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import brace_slice, parse_strict
+from shapeloom.functions.json_text import brace_slice, parse_strict, with_serialized_length
 from shapeloom.functions.paths import ancestors_of, decode_key, encode_key, part, stem, steps_of
 from shapeloom.operators import infer, profile
 from shapeloom.operators.render import render_schema
@@ -104,6 +105,41 @@ def test_documents_of_any_depth_are_opened_fully(spark):
         assert got == {k: _measured(json.loads(t)) for k, t in enumerate(texts)}
 
 
+def test_levels_do_not_change_the_nodes(spark):
+    docs = spark.createDataFrame([(1, '{"a":[{"b.c":{"d":[[1,2.0,null],{"~":[]}]}},7],"e":{}}')], "doc_id int, json string")
+    parsed = parse_documents(docs)
+    found = [sorted(map(str, shred_documents(parsed, ["doc_id"], levels).collect())) for levels in (2, 3, 5, 9)]
+    assert all(f == found[0] for f in found) and len(found[0]) == 13
+
+
+_SIGNS = ["", "a", "é", "🙂", 'q"x', "b\\s", "n\nl", "\t", "\x01", "\x1f/", "\\u0041", "\u2028", "\x7f", '\\\\"', "😀\\n", " : , "]
+_WRITTEN = ['"\\u000a\\u0022\\u005C\\u001F\\u0041\\ud83d\\ude00"', '"\\u00e9\\\\u0041"', '"\\b\\f\\r\\/"']
+_NUMBERS = "0 -0 1 12345678901234567890123 1.0 1.50 -0.0 0.000 0.0001 0.00012300 0.00001 1e5 1E-7 1.0e10 123456789012345.5 0.1234567890123456789 3.14159 100.00 -12.500 1e400 99999999999999999.0 1234567890123456.0 0.30000000000000004 5e-324 12345678901234.10 999999999999999.9".split()
+
+
+def _text(rng, depth):
+    """Random JSON text with odd blanks, escapes, numbers and now and then a repeated name."""
+    if depth == 0 or rng.random() < 0.35:
+        sign = json.dumps(rng.choice(_SIGNS), ensure_ascii=rng.random() < 0.5)
+        return rng.choice([rng.choice(_NUMBERS), rng.choice(_NUMBERS), "true", "null", sign, sign.replace("/", "\\/"), rng.choice(_WRITTEN)])
+
+    def blank():
+        return rng.choice(["", "", " ", "\n ", "\t"])
+
+    inside = [_text(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+    if rng.random() < 0.5:
+        return "[" + blank() + f"{blank()},{blank()}".join(inside) + blank() + "]"
+    return "{" + blank() + ",".join(f'{blank()}"{rng.choice(["a", "b", "c:", "d,", "e}}", "f"])}"{blank()}:{blank()}{v}' for v in inside) + blank() + "}"
+
+
+def test_serialized_length_is_what_python_writes(spark):
+    rng = random.Random(5)
+    texts = [_text(rng, rng.choice([0, 1, 2, 4])) for _ in range(1500)]
+    docs = parse_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, json string"))
+    got = {r.doc_id: r.n for r in with_serialized_length(docs, "n", F.col("json"), F.col("v")).collect()}
+    assert got == {k: len(json.dumps(json.loads(t), ensure_ascii=False)) for k, t in enumerate(texts)}
+
+
 def _measured(value, depth=1):
     """Nodes, deepest level, floats."""
     inside = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
