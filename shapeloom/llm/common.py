@@ -29,18 +29,58 @@ def fold(doc_id: str, folds: int) -> Column:
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
+# Folders of work tables by session, oldest first.
+_folders: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     What follows starts from the written rows, so a lost executor costs no earlier work and
-    values such as row numbers never change. The folder goes when the application ends.
+    values such as row numbers never change. The folder goes when it is released, or when the
+    application ends.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_folder = path
+    return out
+
+
+def work_mark(spark: SparkSession) -> int:
+    """A place in the list of work folders: those written later lie behind it."""
+    return len(_folders.get(spark.sparkContext.applicationId, []))
+
+
+def _deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the folders of tables of ``stored`` or ``lookup`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "work_folder", None)
+        if path is not None:
+            _deleted(table.sparkSession, [path])
+            own = _folders.get(table.sparkSession.sparkContext.applicationId, [])
+            if path in own:
+                own[own.index(path)] = ""
+
+
+def release_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete the work folders written since a mark, but for those of ``kept``."""
+    own = _folders.get(spark.sparkContext.applicationId, [])
+    keep = {getattr(t, "work_folder", None) for t in kept}
+    gone = [k for k in range(mark, len(own)) if own[k] and own[k] not in keep]
+    _deleted(spark, [own[k] for k in gone])
+    for k in gone:
+        own[k] = ""
 
 
 def lookup(df: DataFrame, label: str) -> DataFrame:
@@ -62,7 +102,11 @@ def lookup(df: DataFrame, label: str) -> DataFrame:
     seen = Observation()
     df = stored(df.observe(seen, *measures), label)
     found = seen.get or df.agg(*measures).first().asDict()
-    return F.broadcast(df) if found["rows"] <= SMALL_SIDE_ROWS and found["bytes"] <= SMALL_SIDE_BYTES // 4 else df
+    if found["rows"] > SMALL_SIDE_ROWS or found["bytes"] > SMALL_SIDE_BYTES // 4:
+        return df
+    small = F.broadcast(df)
+    small.work_folder = df.work_folder
+    return small
 
 
 def free_name(df: DataFrame, name: str) -> str:

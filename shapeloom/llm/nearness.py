@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, lookup, numbered, released, stored
+from .common import bounded_batches, lookup, numbered, release, release_since, released, stored, work_mark
 from .components import components
 
 WORDS = 5
@@ -155,7 +155,12 @@ def _possible(one: str, two: str) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with whether their full sets are similar enough: a, b, linked."""
+    """The pairs with whether their full sets are similar enough: a, b, linked.
+
+    Only sets that a pair names are moved.
+    """
+    named = lookup(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared-nodes")
+    sets = sets.join(named, "node", "left_semi")
     one = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     both = pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ha", "hb")
@@ -185,7 +190,8 @@ def _relabelled(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
     known = lookup(labels, "labels")
     ends = fresh.alias("e").join(known.alias("x"), F.col("e.a") == F.col("x.node"), "left").join(known.alias("y"), F.col("e.b") == F.col("y.node"), "left")
     x, y = F.coalesce(F.col("x.component"), F.col("e.a")), F.coalesce(F.col("y.component"), F.col("e.b"))
-    joined = components(stored(ends.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct(), "new-links"))
+    links = stored(ends.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct(), "new-links")
+    joined = components(links)
     moved = labels.alias("l").join(lookup(joined, "moved").alias("j"), F.col("l.component") == F.col("j.node"), "left").select("l.node", F.coalesce("j.component", "l.component").alias("component"))
     return stored(moved.unionByName(joined.join(labels, "node", "left_anti")), "labels")
 
@@ -197,23 +203,27 @@ def node_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     nodes = stored(nodes.select("set_id", F.col("of.rid").alias("node"), F.col("of.doc_id").alias("doc_id"), F.col("of.text_hash").alias("text_hash"), "copies", "bands"), "set-nodes")
     each = nodes.select("node", F.explode("bands").alias("key"))
     buckets = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "band-buckets")
-    members = stored(each.join(buckets, "key"), "band-members")
+    members = banded = stored(each.join(buckets, "key"), "band-members")
     met = members.select("node").distinct()
     sets = stored(_sets(docs, nodes.join(met, "node", "left_semi").select("node", "doc_id", "text_hash")).dropDuplicates(["node"]), "candidate-sets")
     # A shingle that no other candidate has is in no intersection.
     own = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     sizes = sets.select("node", F.size("hashes").cast("long").alias("n"), "marks").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), *[F.col("marks")[k].alias(f"m{k}") for k in range(MARKS)])
     sizes = sizes.where(F.lit(100) * F.col("shared") >= F.lit(PERCENT) * F.col("n"))
-    members = members.join(lookup(sizes, "set-sizes"), "node")
+    sizes = lookup(sizes, "set-sizes")
     facts = ["n", "shared", *[f"m{k}" for k in range(MARKS)]]
-    members = members.select("key", "node", *facts)
-    labels, rejected, few = None, None, 0
+    begun = work_mark(docs.sparkSession)
+    members = stored(members.join(sizes.select("node"), "node", "left_semi"), "open-members")
+    labels = rejected = None
+    few = 0
     while True:
-        labelled = members.withColumn("component", F.col("node")) if labels is None else members.join(lookup(labels, "labels"), "node", "left")
-        labelled = stored(labelled.select("key", "node", *facts, F.coalesce("component", "node").alias("label")), "labelled-members")
+        mark = work_mark(docs.sparkSession)
+        # Rounds write keys, nodes and labels; a set's facts are joined to where they are asked for.
+        labelled = members.withColumn("label", F.col("node")) if labels is None else members.join(lookup(labels, "labels"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        labelled = stored(labelled, "labelled-members")
         open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "low")
-        open_ = lookup(open_, "open-buckets")
-        spread = stored(labelled.join(open_, "key"), "open-members")
+        spread = stored(labelled.join(lookup(open_, "open-buckets"), "key"), "spread-members")
+        release(labelled)
         if spread.isEmpty():
             break
         if not few:  # first the smallest member of each bucket
@@ -224,27 +234,35 @@ def node_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
             waiting = spread.where("label <> low").groupBy("key").agg(F.count(F.lit(1)).alias("waiting"))
             turn = spread.where("label <> low").join(lookup(waiting, "waiting"), "key")
             turn = turn.where((F.col("waiting") <= few) | (F.pmod(F.xxhash64("key", "node", F.lit(few)), F.col("waiting")) < few))
+        turn = turn.select("key", "node", "label").join(sizes, "node")
         turn = lookup(turn.select("key", F.col("node").alias("center"), F.col("label").alias("center_label"), *[F.col(c).alias(f"center_{c}") for c in facts]), "turns")
-        pairs = spread.join(turn, (spread["key"] == turn["key"]) & (F.col("label") != F.col("center_label")) & _possible("", "center_"))
+        wide = spread.select("key", "node", "label").join(sizes, "node")
+        pairs = wide.join(turn, (wide["key"] == turn["key"]) & (F.col("label") != F.col("center_label")) & _possible("", "center_"))
         pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
         if rejected is not None:
             pairs = pairs.join(rejected, ["a", "b"], "left_anti")
         checked = stored(_confirmed(stored(pairs, "pairs"), sets), "compared")
         no, fresh = checked.where("not linked").select("a", "b"), checked.where("linked").select("a", "b")
-        rejected = no if rejected is None else rejected.unionByName(no)
+        rejected = stored(no if rejected is None else rejected.unionByName(no), "rejected")
         if not fresh.isEmpty():
-            labels = _relabelled(labels, fresh)
-        members = spread.select("key", "node", *facts).join(turn.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
+            labels = stored(_relabelled(labels, fresh), "components")
+        left = spread.select("key", "node").join(turn.select("key", F.col("center").alias("node")), ["key", "node"], "left_anti")
+        members = stored(left, "open-members")
+        release_since(docs.sparkSession, mark, members, rejected, labels)
         few = max(4, 4 * few)
-    if labels is None:
-        return nodes.select("set_id", "node", "copies", F.col("node").alias("component"))
-    return nodes.join(lookup(labels, "labels"), "node", "left").select("set_id", "node", "copies", F.coalesce("component", "node").alias("component"))
+    found = nodes.select("set_id", "node", "copies", F.col("node").alias("component"))
+    if labels is not None:
+        found = nodes.join(lookup(labels, "labels"), "node", "left").select("set_id", "node", "copies", F.coalesce("component", "node").alias("component"))
+    found = stored(found, "set-components")
+    release_since(docs.sparkSession, begun, found)
+    release(sizes, sets, members, buckets, banded, nodes)
+    return found
 
 
 def near_groups(docs: DataFrame, rid: str) -> DataFrame:
     """A row per row of ``docs``: rid, doc_id, n_shingles, component_id, kept."""
     sketched = stored(sketches(docs, rid), "sketches")
-    found = stored(node_components(docs, sketched), "set-components")
+    found = node_components(docs, sketched)
     shared = found.groupBy("component").agg(F.sum("copies").alias("rows")).where("rows > 1").select("component")
     shared = found.select("set_id", "component").join(lookup(shared, "shared-components"), "component")
     rows = stored(sketched.select("rid", "doc_id", "n_shingles", "set_id").join(lookup(shared, "shared-sets"), "set_id", "left"), "rows-by-component")
