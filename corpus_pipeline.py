@@ -22,41 +22,41 @@ from shapeloom.llm.common import release, release_since, stored, table, work_mar
 _begun: dict[str, int] = {}
 
 
-def _anew(spark: SparkSession) -> None:
+def _anew(spark: SparkSession, docs: DataFrame) -> None:
     """A stage begins: the one before it needs its work tables no more."""
     application = spark.sparkContext.applicationId
     if application in _begun:
-        release_since(spark, _begun[application])
+        release_since(spark, _begun[application], docs)
     _begun[application] = work_mark(spark)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    _anew(spark)
+    _anew(spark, docs)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays."""
-    _anew(spark)
+    _anew(spark, docs)
     return exact.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    _anew(spark)
+    _anew(spark, docs)
     return nearness.drop_near_copies(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; what looks like a secret is masked in its text."""
-    _anew(spark)
+    _anew(spark, docs)
     return secrets.mask_secrets(docs, length="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts as pieces of sequences."""
-    _anew(spark)
+    _anew(spark, docs)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
