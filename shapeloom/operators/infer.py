@@ -11,7 +11,8 @@ from shapeloom.functions.json_text import parse_structure, reject_reason, strip_
 from shapeloom.functions.paths import is_item, is_member, parent_of
 from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
 from shapeloom.session import cut, small_side
-from shapeloom.sources.texts import not_blank, scan_json_array, text_lines, whole_files
+from shapeloom.sources.structure import counted, structure_counts
+from shapeloom.sources.texts import not_blank, text_lines
 
 # The JSON Schema type names.
 KINDS = ["array", "boolean", "integer", "null", "number", "object", "string"]
@@ -154,109 +155,65 @@ def infer_schema(
     return infer_paths(shred_documents(parsed, ["dataset"], levels), ["dataset"])
 
 
-def file_documents(
+# A line that is all of its file, from this many characters on, is scanned split by split.
+_LONG_LINE = 16_000_000
+
+
+def file_schemas(
     spark: SparkSession,
     path: str,
     collection: str = "file",
     existing: DataFrame | None = None,
     whole_bytes: int | None = None,
+    levels: int = DEFAULT_LEVELS,
     glob: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The JSON values of every raw file, and what became of each file.
-
-    A file whose lines are all JSON gives a value per line. Of any other, one that opens as an
-    array is read split by split and gives a value per element, whatever its size, or the array
-    itself if it is empty; the rest give one value, if they parse as a whole and have at most
-    ``whole_bytes`` bytes, if such a bound is wanted. Values come as ``dataset, file, in_array,
-    v``. Outcomes are ``dataset, file, outcome, rejected``: ``rejected`` counts valid lines or
-    elements beyond the engine's value limit, which give no value and do not reject their file;
-    a file that is one such value is ``too_large``. Files in ``existing`` (``file``) are left out.
+    """Path table per raw file, and ``dataset, file, outcome, rejected`` of every file.
+
+    A file whose lines are all JSON counts by its lines: outcome ``lines``. Any other is scanned as
+    one value, split by split, whatever its size, and counts if it is exactly that: ``whole``, else
+    ``unparsable``. Files of more than ``whole_bytes`` bytes that do not open as an array are not
+    tried, if such a bound is wanted: ``too_large``. ``rejected`` counts valid lines beyond the
+    engine's value limit, which give nothing and do not reject their file. Files in ``existing``
+    (``file``) are left out, and so are empty ones.
     """
+    keys = ["dataset", "file"]
     lines = text_lines(spark, path, collection, glob=glob).filter(not_blank(F.col("text")))
     if existing is not None:
         lines = lines.join(existing.select("file").distinct(), "file", "left_anti")
-    parsed = with_computed(lines, "v", parse_structure(F.col("text")))
-    reason = reject_reason(F.col("text"), F.col("v"))
+    alone = (F.length("text") >= _LONG_LINE) & (F.octet_length("text") >= F.col("size") - 2)
+    parsed = with_computed(lines, "v", F.when(~alone, parse_structure(F.col("text"))))
+    reason = F.when(alone, "one_value").otherwise(reject_reason(F.col("text"), F.col("v")))
     opening = F.regexp_extract("text", r"^[\s\ufeff]*(\S)", 1)
-    brackets = F.length("text") - F.length(F.translate("text", "[]", ""))
     tried = cut(
-        with_computed(parsed, "reason", reason).groupBy("dataset", "file").agg(
+        with_computed(parsed, "reason", reason).groupBy(*keys).agg(
             F.count(F.lit(1)).alias("lines"),
-            F.count_if(F.col("reason") == "invalid").alias("broken"),
+            F.max("size").alias("size"),
+            F.count_if(F.col("reason").isin("invalid", "one_value")).alias("broken"),
             F.count_if(F.col("reason") == "too_large").alias("rejected"),
             F.min_by(opening, F.struct("block", "pos")).alias("opening"),
-            F.max_by(F.regexp_extract(F.substring("text", -100, 100), r"(\S)\s*$", 1), F.struct("block", "pos")).alias("closing"),
-            (F.every(F.regexp_like("text", F.lit(r"^[\s\ufeff\[\]]*$"))) & (F.sum(brackets) == 2)).alias("bare"),
         )
     )
-    # A line of its own that is too large may be an array, too.
+    # A line of its own that is too large is scanned, too.
     by_lines = "broken = 0 and not (lines = 1 and rejected = 1)"
     by_line = parsed.join(small_side(tried.filter(by_lines).select("file")), "file", "left_semi")
-    second = tried.filter(f"not ({by_lines})")
-    arrays = small_side(second.filter("opening = '['").select("file"))
-    single = small_side(second.filter("opening <> '['").select("file"))
+    counts = path_counts(shred_documents(by_line.filter(F.col("v").isNotNull()), keys, levels), keys)
 
-    elements = scan_json_array(spark, path, collection, wanted=arrays)
-    elements = with_computed(elements, "v", parse_structure(F.col("json")))
-    in_arrays = cut(
-        elements.groupBy("file").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("v").isNull()).alias("large"))
-    )
-    # Told from the counts: its reader has no element to give.
-    is_empty = F.col("bare") & (F.col("opening") == "[") & (F.col("closing") == "]")
-    empty = second.filter(is_empty).select("dataset", "file", F.parse_json(F.lit("[]")).alias("v"))
-
-    whole = whole_files(spark, path, collection, glob)
-    if whole_bytes is not None:
-        whole = whole.filter(F.col("size_bytes") <= whole_bytes)
-    as_one = with_computed(whole.join(single, "file", "left_semi"), "v", parse_structure(F.col("text")))
-    outside = by_line.select("dataset", "file", "v").unionByName(as_one.select("dataset", "file", "v")).unionByName(empty)
-    values = outside.withColumn("in_array", F.lit(False)).unionByName(
-        elements.select("dataset", "file", "v", F.lit(True).alias("in_array"))
-    )
-    parses = as_one.select("file", reject_reason(F.col("text"), F.col("v")).alias("why"), F.lit(True).alias("tried"))
+    second = tried.filter(f"not ({by_lines})")
+    large = F.lit(False) if whole_bytes is None else (F.col("opening") != "[") & (F.col("size") > whole_bytes)
+    wanted = small_side(second.filter(~large).select("file"))
+    pieces = text_lines(spark, path, collection, separator=",", glob=glob).join(wanted, "file", "left_semi")
+    nodes, files = structure_counts(pieces)
+    found = counts.unionByName(counted(nodes, keys, KINDS))
     outcome = (
         F.when(F.expr(by_lines), "lines")
-        .when((F.col("elements") > 0) | is_empty, "whole")
-        .when(F.col("tried") & F.col("why").isNull(), "whole")
-        .when(F.col("tried"), F.when(F.col("why") == "invalid", "unparsable").otherwise("too_large"))
-        .when(F.col("opening") == "[", "unparsable")
-        .otherwise("too_large")
-    )
-    rejected = F.coalesce("large", F.when(F.expr(by_lines), F.col("rejected")), F.lit(0))
-    outcomes = (
-        tried.join(in_arrays, "file", "left")
-        .join(parses, "file", "left")
-        .select("dataset", "file", outcome.alias("outcome"), rejected.alias("rejected"))
-    )
-    return values.filter(F.col("v").isNotNull()), outcomes
-
-
-def file_nodes(values: DataFrame, levels: int = DEFAULT_LEVELS) -> DataFrame:
-    """The node table of ``file_documents``, elements at their place in their file's array."""
-    keys = ["dataset", "file"]
-    outside = shred_documents(values.filter(~F.col("in_array")), keys, levels)
-    elements = values.filter("in_array")
-    inside = shred_documents(elements, keys, levels).select(
-        *keys, F.concat(F.lit("[]"), "path").alias("path"), (F.col("depth") + 1).alias("depth"), "kind"
-    )
-    roots = elements.select(*keys).distinct().select(
-        *keys, F.lit("").alias("path"), F.lit(1).alias("depth"), F.lit("array").alias("kind")
+        .when(F.col("fits"), "whole")
+        .when(F.col("fits").isNull(), "too_large")
+        .otherwise("unparsable")
     )
-    return outside.unionByName(inside).unionByName(roots)
-
-
-def file_schemas(
-    spark: SparkSession,
-    path: str,
-    collection: str = "file",
-    existing: DataFrame | None = None,
-    whole_bytes: int | None = None,
-    levels: int = DEFAULT_LEVELS,
-    glob: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Path table per raw file, and the outcome of every file."""
-    values, outcomes = file_documents(spark, path, collection, existing, whole_bytes, glob)
-    return infer_paths(file_nodes(values, levels), ["dataset", "file"]), outcomes
+    rejected = F.when(F.expr(by_lines), F.col("rejected")).otherwise(F.lit(0))
+    outcomes = tried.join(files.drop("dataset"), "file", "left").select(*keys, outcome.alias("outcome"), rejected.alias("rejected"))
+    return paths_of_counts(found, keys), outcomes
 
 
 def infer_file_schemas(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator
+from multiprocessing.connection import Connection
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,8 +32,94 @@ def prompts(docs: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:
     return docs.withColumn("prompt", F.concat(F.lit(f"{instruction}\n\n"), indented(F.col("json"))))
 
 
+def _serve(make_generator: Callable[[], Generator], line: Connection, parents_end: Connection) -> None:
+    """The child process: answers lists of prompts until its parent closes the line, or is gone."""
+    parents_end.close()
+    try:
+        generate = make_generator()
+        line.send(None)
+    except Exception as problem:
+        line.send(problem if _travels(problem) else RuntimeError(str(problem)))
+        return
+    while True:
+        try:
+            some = line.recv()
+        except EOFError:
+            return
+        try:
+            answers: list | Exception = list(generate(some))
+        except Exception as problem:
+            answers = problem
+        try:
+            line.send([_sent(a) for a in answers] if isinstance(answers, list) else _sent(answers))
+        except OSError:
+            return
+
+
+def _travels(problem: BaseException) -> bool:
+    return type(problem).__module__ == "builtins"
+
+
+def _sent(answer: str | BaseException) -> str | BaseException:
+    """An answer that can be sent on: exceptions keep their text, and whether they tell of time."""
+    if not isinstance(answer, BaseException):
+        return answer
+    return TimeoutError(str(answer)) if isinstance(answer, TimeoutError) else RuntimeError(str(answer))
+
+
+class _Answering:
+    """A generator in a child process, killed and started anew when an answer takes too long."""
+
+    def __init__(self, make_generator: Callable[[], Generator], deadline: float, load_deadline: float | None):
+        self.make_generator, self.deadline, self.load_deadline = make_generator, deadline, load_deadline
+        self.child = self.line = None
+
+    def _start(self) -> None:
+        context = multiprocessing.get_context("fork")
+        self.line, other = context.Pipe()
+        self.child = context.Process(target=_serve, args=(self.make_generator, other, self.line), daemon=True)
+        self.child.start()
+        other.close()
+        problem = self._received(self.load_deadline, "generator not ready")
+        if isinstance(problem, Exception):
+            self.close()
+            raise problem
+
+    def _received(self, seconds: float | None, what: str):
+        try:
+            if not self.line.poll(seconds):
+                self.close()
+                raise TimeoutError(f"{what} within {seconds:g} s")
+            return self.line.recv()
+        except (EOFError, ConnectionError):
+            code = self.child.exitcode
+            self.close()
+            raise RuntimeError(f"the generator died (exit code {code})") from None
+
+    def __call__(self, some: list[str]) -> list[str | BaseException]:
+        if self.child is None or not self.child.is_alive():
+            self.close()
+            self._start()
+        self.line.send(some)
+        answers = self._received(self.deadline, "no answer")
+        if isinstance(answers, BaseException):
+            raise answers
+        return answers
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.line.close()
+            self.child.kill()
+            self.child.join()
+            self.child = None
+
+
 def propose_schemas(
-    prompted: DataFrame, make_generator: Callable[[], Generator], batch_rows: int = 64
+    prompted: DataFrame,
+    make_generator: Callable[[], Generator],
+    batch_rows: int = 64,
+    deadline: float | None = None,
+    load_deadline: float | None = None,
 ) -> DataFrame:
     """Ask the generator for every ``file, prompt``; gives ``file, response, error``.
 
@@ -39,7 +127,14 @@ def propose_schemas(
     generator answers up to ``batch_rows`` prompts with a text or an exception each; an
     exception, raised or returned, becomes a row and never fails the job. A batch that raises is
     asked again prompt by prompt, so a document fails alone. A null prompt never reaches the
-    generator. Limits of time belong to the generator: it signals them with ``TimeoutError``.
+    generator.
+
+    With a ``deadline`` (seconds) the generator runs in a child process of the task. When a batch
+    is not answered in time the process is killed and started anew, and the batch is asked again
+    prompt by prompt: a document that alone takes longer than the deadline becomes a row whose
+    error begins with ``Timeout``. A process that dies is an error of the document it died on.
+    ``load_deadline`` bounds ``make_generator`` in the same way. Without a deadline limits of time
+    are the generator's own, told by ``TimeoutError``.
     """
 
     def describe(problem: BaseException) -> str:
@@ -55,7 +150,14 @@ def propose_schemas(
             return [problem] if len(some) == 1 else [a for one in some for a in ask(generate, [one])]
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generate = None
+        generate = None if deadline is None else _Answering(make_generator, deadline, load_deadline)
+        try:
+            yield from answered(generate, batches)
+        finally:
+            if deadline is not None:
+                generate.close()
+
+    def answered(generate: Generator | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers: list[str | BaseException] = [ValueError(UNREADABLE)] * len(batch)
             readable = [k for k, p in enumerate(batch["prompt"]) if isinstance(p, str)]

@@ -2,9 +2,13 @@
 
 A schema is written as ordered pieces of text. Every path contributes a handful of them, each
 with a sort key that starts with the keys of its ancestors, so sorting the pieces puts the
-text in order and joining them gives the document. No path needs to see another one: commas
-between members are written before each member, and the one after an opening bracket is taken
-out at the end with the help of a control character JSON text can never contain.
+text in order and joining them gives the document. No path needs to see another one.
+
+``render_pieces`` gives the pieces themselves, for schemas of any size: each is final, its path
+having been told by its parent whether it is the first member. ``render_schema`` joins them to one
+cell per schema: there commas are written before each member, and the one after an opening bracket
+is taken out at the end with the help of a control character JSON text can never contain. A schema
+that is proven to be too long for a cell fails there and not in the middle of the job.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from shapeloom.session import cut
 SCHEMA_URI = "http://json-schema.org/schema#"
 
 _FIRST = "\x1e"
+# Characters that one cell is trusted with.
+CELL_CHARACTERS = 500_000_000
 
 # Order of the pieces of one node.
 _OPEN, _ITEMS, _AFTER_ITEMS, _MEMBERS, _AFTER_MEMBERS, _REQUIRED, _CLOSE = "0123456"
@@ -62,24 +68,42 @@ def _with_facts(paths: DataFrame, keys: list[str]) -> DataFrame:
     return facts.fillna(False, ["has_members", "has_items", "has_required"])
 
 
-def _assemble(pieces: DataFrame, keys: list[str]) -> DataFrame:
+def _with_firsts(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether a path is its parent's first member, and the first of its required members."""
+    member = ~is_item(F.col("path"))
+    firsts = (
+        table.filter((F.col("path") != "") & member)
+        .groupBy(*keys, parent_of(F.col("path")).alias("parent"))
+        .agg(F.min(last_key(F.col("path"))).alias("one"), F.min(F.when(F.col("required"), last_key(F.col("path")))).alias("one_required"))
+    )
+    told = table.withColumn("parent", F.when(F.col("path") != "", parent_of(F.col("path")))).join(firsts, [*keys, "parent"], "left")
+    first = lambda c: F.coalesce(last_key(F.col("path")) == F.col(c), F.lit(False))
+    return told.withColumn("is_first", first("one")).withColumn("is_first_required", first("one_required")).drop("parent", "one", "one_required")
+
+
+def _assemble(pieces: DataFrame, keys: list[str], measured: bool = True) -> DataFrame:
+    if measured:
+        pieces = cut(pieces)
+        size = pieces.groupBy(*keys).agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
+        if size > CELL_CHARACTERS:
+            raise ValueError(f"a schema of {size} characters is too long for one cell; see render_pieces")
     ordered = F.sort_array(F.collect_list(F.struct("order", "text")))
     text = F.array_join(F.transform(ordered, lambda p: p["text"]), "")
     text = F.replace(text, F.lit(_FIRST + ", "), F.lit(""))
     return pieces.groupBy(*keys).agg(F.replace(text, F.lit(_FIRST), F.lit("")).alias("schema_json"))
 
 
-def _member_head(uri: str | None) -> Column:
+def _member_head(uri: str | None, comma: Column) -> Column:
     path = F.col("path")
     root = "{" + (f'"$schema": "{uri}", ' if uri else "")
     return (
         F.when(path == "", F.lit(root))
         .when(is_item(path), F.lit("{"))
-        .otherwise(F.concat(F.lit(", "), quote_json(last_key(path)), F.lit(": {")))
+        .otherwise(F.concat(comma, quote_json(last_key(path)), F.lit(": {")))
     )
 
 
-def _required_piece(place: Column) -> Column:
+def _required_piece(place: Column, comma: Column) -> Column:
     """A required member is listed under its parent: same key, other section."""
     path = F.col("path")
     key = last_key(path)
@@ -88,18 +112,41 @@ def _required_piece(place: Column) -> Column:
         F.col("required"),
         _piece(
             F.concat(parent_place, F.array(F.lit(_REQUIRED), key)),
-            F.concat(F.lit(", "), quote_json(key)),
+            F.concat(comma, quote_json(key)),
         ),
     )
 
 
+def _commas(final: bool) -> tuple[Column, Column, str]:
+    """What stands before a member and a required name, and what marks an opening bracket."""
+    if not final:
+        return F.lit(", "), F.lit(", "), _FIRST
+    return F.when(F.col("is_first"), "").otherwise(", "), F.when(F.col("is_first_required"), "").otherwise(", "), ""
+
+
+def render_pieces(paths: DataFrame, keys: list[str], uri: str | None = SCHEMA_URI) -> DataFrame:
+    """``keys, order, text``: the text of ``render_schema`` in pieces, to be read in order."""
+    return _inferred_pieces(_with_firsts(_with_facts(paths, keys), keys), keys, uri, True)
+
+
+def master_pieces(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, order, text``: the text of ``render_master`` in pieces, to be read in order."""
+    return _master_pieces(_with_firsts(_with_facts(paths, keys), keys), keys, True)
+
+
 def render_schema(paths: DataFrame, keys: list[str], uri: str | None = SCHEMA_URI) -> DataFrame:
     """Inferred path table (``path, types, required``) to schema text per key.
 
     Plain types come as one name or a sorted list. An object with members or an array with
     items that stands beside other types becomes a branch of ``anyOf``.
     """
-    table = _with_facts(paths, keys)
+    # A schema per document, its facts known, is no longer than a multiple of the document.
+    measured = "has_members" not in paths.columns
+    return _assemble(_inferred_pieces(_with_facts(paths, keys), keys, uri, False), keys, measured)
+
+
+def _inferred_pieces(table: DataFrame, keys: list[str], uri: str | None, final: bool) -> DataFrame:
+    comma, required_comma, first = _commas(final)
     bare = F.filter(
         "types",
         lambda t: ~(((t == "object") & F.col("has_members")) | ((t == "array") & F.col("has_items"))),
@@ -117,17 +164,17 @@ def render_schema(paths: DataFrame, keys: list[str], uri: str | None = SCHEMA_UR
         F.replace(F.to_json("bare"), F.lit(","), F.lit(", "))
     )
     opening = F.concat(
-        _member_head(uri),
+        _member_head(uri, comma),
         F.when(branches > 1, '"anyOf": [{').otherwise(""),
         F.when(has_bare, F.concat(F.lit('"type": '), bare_text)).otherwise(""),
         F.when(has_bare & (branches > 1), "}, {").otherwise(""),
         F.when(items, '"type": "array", "items": ').otherwise(""),
     )
     before_members = F.concat(
-        F.when(items, "}, {").otherwise(""), F.lit('"type": "object", "properties": {' + _FIRST)
+        F.when(items, "}, {").otherwise(""), F.lit('"type": "object", "properties": {' + first)
     )
     after_members = F.concat(
-        F.lit("}"), F.when(required, ', "required": [' + _FIRST).otherwise("")
+        F.lit("}"), F.when(required, ', "required": [' + first).otherwise("")
     )
     closing = F.concat(
         F.when(required, "]").otherwise(""), F.when(branches > 1, "}]").otherwise(""), F.lit("}")
@@ -137,16 +184,21 @@ def render_schema(paths: DataFrame, keys: list[str], uri: str | None = SCHEMA_UR
             _piece(at(_OPEN), opening),
             F.when(members, _piece(at(_MEMBERS), before_members)),
             F.when(members, _piece(at(_AFTER_MEMBERS), after_members)),
-            _required_piece(place),
+            _required_piece(place, required_comma),
             _piece(at(_CLOSE), closing),
         )
     )
-    return _assemble(table.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*"), keys)
+    return table.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*")
 
 
 def render_master(paths: DataFrame, keys: list[str]) -> DataFrame:
     """Merged path table (``path, types, required``, root row included) to schema text per key."""
-    table = _with_facts(paths, keys).withColumn("place", _place(F.col("path")))
+    return _assemble(_master_pieces(_with_facts(paths, keys), keys, False), keys)
+
+
+def _master_pieces(table: DataFrame, keys: list[str], final: bool) -> DataFrame:
+    comma, required_comma, first = _commas(final)
+    table = table.withColumn("place", _place(F.col("path")))
     place = F.col("place")
 
     def at(section: str) -> Column:
@@ -158,20 +210,20 @@ def render_master(paths: DataFrame, keys: list[str]) -> DataFrame:
         F.replace(F.to_json("types"), F.lit('","'), F.lit('", "'))
     )
     opening = F.concat(
-        _member_head(None),
+        _member_head(None, comma),
         F.lit('"type": '),
         type_text,
-        F.when(open_object, ', "properties": {' + _FIRST).otherwise(""),
+        F.when(open_object, ', "properties": {' + first).otherwise(""),
     )
     after_members = F.concat(
-        F.lit("}"), F.when(required, ', "required": [' + _FIRST).otherwise("")
+        F.lit("}"), F.when(required, ', "required": [' + first).otherwise("")
     )
     pieces = F.array_compact(
         F.array(
             _piece(at(_OPEN), opening),
             F.when(open_object, _piece(at(_AFTER_MEMBERS), after_members)),
-            _required_piece(place),
+            _required_piece(place, required_comma),
             _piece(at(_CLOSE), F.concat(F.when(required, "]").otherwise(""), F.lit("}"))),
         )
     )
-    return _assemble(table.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*"), keys)
+    return table.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import json_kind, parse_strict, with_computed
-from shapeloom.session import small_side
+from shapeloom.session import earlier_totals, small_side
 
 # Fixed value: size a collection is sampled down to.
 SIZE_TARGET_BYTES = 80 * 1024 * 1024
@@ -39,14 +39,11 @@ def collection_sizes(docs: DataFrame, text: str = "json", per_row: int = 1) -> D
 def _block_offsets(docs: DataFrame, block: list[str], measure: Column, by: str) -> DataFrame:
     """What all earlier blocks of a dataset (or file) add up to, for each block.
 
-    Only the block totals are ordered per dataset; they are smaller than the data by the number
-    of rows in a block.
+    Block totals are smaller than the data by the number of rows in a block; however many they
+    are, no window holds all of them.
     """
     totals = docs.groupBy(by, *block).agg(F.sum(measure).alias("total"))
-    before = Window.partitionBy(by).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        by, *block, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")
-    )
+    return earlier_totals(totals, by, block, {"total": "offset"}).drop("total")
 
 
 def running_total(
@@ -113,16 +110,9 @@ def sample_lines(lines: DataFrame, plan: DataFrame, by: str = "dataset") -> Data
     splits = lines.groupBy("dataset", "file", "block").agg(
         F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("total")
     )
-    before = (
-        Window.partitionBy(by)
-        .orderBy("file", "block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = splits.join(plan.select(by, "k"), by).select(
-        "file",
-        "block",
-        "k",
-        (F.coalesce(F.sum("total").over(before), F.lit(0)) - F.col("first_pos")).alias("shift"),
+    splits = splits.join(plan.select(by, "k"), by)
+    offsets = earlier_totals(splits, by, ["file", "block"], {"total": "before"}).select(
+        "file", "block", "k", (F.col("before") - F.col("first_pos")).alias("shift")
     )
     missing = F.raise_error(F.lit("the splits of a file changed between two reads"))
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shapeloom.functions.paths import base_name
 from shapeloom.operators import compare, fuse, infer, manifest, profile, sampling, vote
 from shapeloom.operators import propose as proposing
-from shapeloom.operators.render import render_master, render_schema
+from shapeloom.operators.render import master_pieces, render_pieces
 from shapeloom.operators.shred import DEFAULT_LEVELS
 from shapeloom.session import configure, cut, small_side
 from shapeloom.sources import tables, texts
@@ -127,7 +127,7 @@ def traditional_schemas(
         tables.scan_manifest(spark, manifest_path), _named_documents(spark, documents)
     )
     paths = cut(infer.infer_schema(approved, levels=levels))
-    tables.write_schemas(render_schema(paths, ["dataset"]), out)
+    tables.write_schemas(render_pieces(paths, ["dataset"]), out)
     return paths
 
 
@@ -141,7 +141,7 @@ def master_schemas(
     """Write the voted schema per dataset of ``dataset, file, text``; returns the path table."""
     configure(spark)
     paths = cut(vote.merge_schemas(proposals, mode, levels))
-    tables.write_schemas(render_master(paths, ["dataset"]), out)
+    tables.write_schemas(master_pieces(paths, ["dataset"]), out)
     return paths
 
 
@@ -162,7 +162,7 @@ def raw_file_schemas(
     keys = ["dataset", "file"]
     paths, outcomes = infer.file_schemas(spark, path, existing=existing, levels=levels, glob="*.json")
     paths = cut(paths)
-    schemas = render_schema(paths, keys).select(_schema_name(path).alias("schema"), "schema_json")
+    schemas = render_pieces(paths, keys).select(_schema_name(path).alias("schema"), "order", "text")
     tables.write_file_schemas(schemas, out)
     written = F.concat(F.lit(out.rstrip("/") + "/schema="), F.replace(_schema_name(path), F.lit("/"), F.lit("%2F")))
     made = paths.select("file").distinct().withColumn("schema_path", written)
@@ -179,7 +179,7 @@ def fused_schemas(spark: SparkSession, path: str, out: str | None = None) -> Dat
     configure(spark)
     paths = cut(fuse.read_paths(texts.scan_schema_corpus(spark, path), ["dataset"], "text"))
     if out is not None:
-        tables.write_schemas(render_schema(paths, ["dataset"]), out)
+        tables.write_schemas(render_pieces(paths, ["dataset"]), out)
     return paths
 
 

@@ -305,6 +305,50 @@ def _rendered(with_paths: str, head: str) -> str:
         || '}}' as schema_json from agg1"""
 
 
+def _prints(side: str) -> str:
+    return f"""select t.dataset, t.path, string_agg(substr(b.path, length(t.path) + 1) || '=' || b.types
+            || case when b.path = t.path then '' else b.required::varchar end, ';' order by b.path) as print
+        from {side} t join {side} b on b.dataset = t.dataset
+            and (b.path = t.path or starts_with(b.path, t.path || '.') or starts_with(b.path, t.path || '['))
+        where t.path <> '' group by t.dataset, t.path"""
+
+
+def _alone(outcome: str, prints: str) -> str:
+    return f"""select d.dataset, d.path, p.print, regexp_extract(d.path, '(\\.[^.\\[]*)$', 1) as own,
+        regexp_replace(d.path, '\\.[^.\\[]*$', '') as parent
+        from diff d join ({prints}) p using (dataset, path) where d.outcome = '{outcome}'"""
+
+
+def _met(by: str) -> str:
+    """Paths on one side each that are the only ones with their print and ``by``."""
+    one = "(select dataset, {0}, print, min(path) as path from {1} group by all having count(*) = 1)"
+    return f"""select g.dataset, g.path, n.path as to_path from {one.format(by, '%s')} g
+        join {one.format(by, '%s')} n using (dataset, {by}, print)"""
+
+
+_CHANGES = f"""with l as (select dataset, path, types, required from ({_paths(_SPARSE)})),
+    r as (select dataset, case when path = '.n_chars' then '.size.n_chars'
+            else regexp_replace(path, '^\\.labels(\\.|$)', '.marks\\1') end as path, types, required from l
+        union all select dataset, '.size', 'object', true from l where path = ''),
+    diff as (select dataset, path, case when r.types is null then 'only_left' when l.types is null then 'only_right'
+            when l.types <> r.types and l.required <> r.required then 'type_and_required_differ'
+            when l.types <> r.types then 'type_differs' when l.required <> r.required then 'required_differs'
+            else 'equal' end as outcome
+        from l full join r using (dataset, path) where path <> '' and not ends_with(path, '[]')),
+    gone as ({_alone('only_left', _prints('l'))}), new as ({_alone('only_right', _prints('r'))}),
+    renamed as ({_met('parent') % ('gone', 'new')}),
+    gone2 as (select * from gone g where not exists (select 1 from renamed m where m.dataset = g.dataset and m.path = g.path)),
+    new2 as (select * from new n where not exists (select 1 from renamed m where m.dataset = n.dataset and m.to_path = n.path)),
+    found as (select *, 'renamed' as how from renamed union all select *, 'moved' as how from ({_met('own') % ('gone2', 'new2')})),
+    tops as (select g.dataset, g.path, f.to_path || substr(g.path, length(f.path) + 1) as to_path, f.how,
+            row_number() over (partition by g.dataset, g.path order by length(f.path)) as nth
+        from gone g join found f on f.dataset = g.dataset and (g.path = f.path or starts_with(g.path, f.path || '.'))),
+    taken as (select t.dataset, t.path, t.to_path, t.how from tops t join new n on n.dataset = t.dataset and n.path = t.to_path where nth = 1)
+    select dataset, path, to_path, how as outcome from taken union all
+    select dataset, path, '', outcome from diff d where not exists (select 1 from taken t
+        where t.dataset = d.dataset and (t.path = d.path or t.to_path = d.path))"""
+
+
 def oracle_sql() -> dict[str, str]:
     profile = f"""select dataset, doc_id,
         count(*) filter (parent is not null and right(fullkey, 1) <> ']') as keys,
@@ -415,10 +459,11 @@ def oracle_sql() -> dict[str, str]:
         "render_schema": _rendered(
             f"with p as ({_paths(_NULLABLE)})", '{"$schema": "' + SCHEMA_URI + '", '
         ),
-        "propose_schemas": f"""select {corpora.FILE_SQL} as file,
-            case when (props->>'$.k')::int = 0 then ''
-                 else '{{"type": "object", "required": ["k"]}}' end as response,
-            case when (props->>'$.k')::int = 0 then 'Timeout: too slow' else '' end as error
+        "render_pieces": _rendered(
+            f"with p as ({_paths(_NULLABLE)})", '{"$schema": "' + SCHEMA_URI + '", '
+        ),
+        "propose_schemas": f"""select {corpora.FILE_SQL} as file, case when json_type(props::json, '$.k')
+                in ('UBIGINT', 'BIGINT') and len(json_keys(props::json)) = 1 then '{_K_SCHEMA}' end as response
             from events""",
         "extract_json_block": f"""select dataset, file, {_BLOCK} <> '' and json_valid({_BLOCK}) as valid,
             case when {_BLOCK} <> '' and json_valid({_BLOCK}) then {_BLOCK} else trim(text) end
@@ -476,4 +521,5 @@ def oracle_sql() -> dict[str, str]:
                 case when shared_paths > 0 then same_type / shared_paths::double end as type_agreement,
                 case when shared_paths > 0 then same_required / shared_paths::double end
                     as required_agreement from sums""",
+        "schema_changes": _CHANGES,
     }

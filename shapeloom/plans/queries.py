@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from shapeloom.functions.paths import is_member, parent_name
 from shapeloom.operators import compare, fuse, incremental, infer, profile, propose, repair, sampling, vote
 from shapeloom.operators import manifest as manifests
-from shapeloom.operators.render import render_master, render_schema
+from shapeloom.operators.render import render_master, render_pieces, render_schema
 from shapeloom.operators.shred import parse_documents, shred_documents
 from shapeloom.plans import corpora
 from shapeloom.session import configure, cut, fresh_dir
@@ -109,7 +108,7 @@ def write_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "schemas")
     nodes = _nodes(corpora.events_props(spark, sf_dir, spread=True), ["dataset"])
     paths = infer.infer_paths(nodes, ["dataset"])
-    tables.write_schemas(render_schema(paths, ["dataset"]), path)
+    tables.write_schemas(render_pieces(paths, ["dataset"]), path)
     return tables.read_schemas(spark, path)
 
 
@@ -354,31 +353,26 @@ def infer_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.infer_incremental(spark, state).select("dataset", "path", "nodes", _types(), "required")
 
 
-# --- proposals ------------------------------------------------------------------------------
+@_query
+def render_pieces_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema per document collection as numbered pieces, through files in many parts."""
+    paths = infer.infer_paths(_nodes(corpora.docs_nullable(spark, sf_dir), ["dataset"]), ["dataset"])
+    path = fresh_dir(spark, "schema-parts")
+    tables.write_schemas(render_pieces(paths, ["dataset"]), path, part_bytes=200)
+    return tables.read_schemas(spark, path)
 
 
-def _member_names() -> propose.Generator:
-    """A stand-in for a model: reads the document in the prompt and names its members."""
+_QUERIES["render_pieces"] = _QUERIES.pop("render_pieces_")
 
-    def generate(prompts: list[str]) -> list[str | BaseException]:
-        answers: list[str | BaseException] = []
-        for prompt in prompts:
-            document = json.loads(prompt.split("\n\n", 1)[1])
-            if not isinstance(document, dict):
-                answers.append(ValueError("not an object"))
-            elif document.get("k") == 0:
-                answers.append(TimeoutError("too slow"))
-            else:
-                answers.append(json.dumps({"type": "object", "required": sorted(document)}))
-        return answers
 
-    return generate
+# --- proposals ------------------------------------------------------------------------------
 
 
 @_query
 def propose_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpora.manifest_documents(spark, sf_dir)
-    return propose.propose_schemas(propose.prompts(docs), _member_names).fillna("")
+    """A proposal for every document by the generator that needs no model."""
+    proposed = propose.propose_offline(corpora.manifest_documents(spark, sf_dir), ["file"])
+    return proposed.select("file", "response")
 
 
 @_query
@@ -511,3 +505,18 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def schema_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.schema_similarity(_both_ways(spark, sf_dir), ["dataset"])
+
+
+def _changed(paths: DataFrame) -> DataFrame:
+    """The path table with one member renamed and another one moved into a new object."""
+    path = F.col("path")
+    renamed = F.regexp_replace(path, r"^\.labels(?=\.|$)", ".marks")
+    moved = F.when(path == ".n_chars", ".size.n_chars").otherwise(renamed)
+    new = paths.filter(path == "").select("dataset", F.lit(".size").alias("path"), F.array(F.lit("object")).alias("types"), F.lit(True).alias("required"))
+    return paths.select("dataset", moved.alias("path"), "types", "required").unionByName(new)
+
+
+@_query
+def schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = cut(infer.infer_schema(corpora.docs_sparse(spark, sf_dir)).drop("nodes"))
+    return compare.schema_changes(paths, _changed(paths), ["dataset"]).withColumn("to_path", F.coalesce("to_path", F.lit("")))

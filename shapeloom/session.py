@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,37 @@ def small_side(df: DataFrame) -> DataFrame:
     if rows <= SMALL_SIDE_ROWS and size <= SMALL_SIDE_BYTES:
         return F.broadcast(df)
     return df
+
+
+# Rows that a running total takes in one window at most.
+WINDOW_ROWS = 100_000
+
+
+def earlier_totals(
+    totals: DataFrame, by: str, order: list[str], columns: dict[str, str], most: int | None = None
+) -> DataFrame:
+    """Add, for each of ``columns``, what all earlier rows of the same ``by`` add up to.
+
+    One window if there are ``most`` rows at most (counted). Beyond that rows are dealt out in
+    order, summed in each task, the tasks' totals carried on in the same way, and added to those
+    inside of a task: a tree of sums in which no window holds more rows than a task got.
+    """
+    most = WINDOW_ROWS if most is None else most
+    totals = cut(totals)
+    rows = totals.count()
+    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def sums(window) -> list:
+        return [F.coalesce(F.sum(c).over(window), F.lit(0)).alias(name) for c, name in columns.items()]
+
+    if rows <= most:
+        return totals.select("*", *sums(before))
+    tasks, task = -(-rows // max(2, most // 4)), f"{order[-1]}__task"
+    dealt = cut(totals.repartitionByRange(tasks, by, *order).withColumn(task, F.spark_partition_id()))
+    inside = Window.partitionBy(by, task).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = dealt.groupBy(by, task).agg(*(F.sum(c).alias(c) for c in columns))
+    carried = earlier_totals(groups, by, [task], {c: f"{name}__earlier" for c, name in columns.items()}, most)
+    summed = dealt.select("*", *sums(inside)).join(small_side(carried.drop(*columns)), [by, task])
+    for name in columns.values():
+        summed = summed.withColumn(name, F.col(name) + F.col(f"{name}__earlier")).drop(f"{name}__earlier")
+    return summed.drop(task)

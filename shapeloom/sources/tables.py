@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shapeloom.operators.profile import MANIFEST_COLUMNS
+from shapeloom.session import cut
 
 LOG_COLUMNS = ["timestamp", "original_file", "model", "status", "message"]
 PAIR_COLUMNS = ["json_path", "schema_path"]
@@ -115,31 +116,38 @@ def numbered_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.concat(F.lit("document_"), F.col("doc_no").cast("string")))
 
 
-def write_schemas(schemas: DataFrame, path: str) -> None:
-    """``dataset, schema_json``, a file per dataset."""
-    (
-        schemas.select("dataset", "schema_json")
-        .repartition("dataset")
-        .write.mode("overwrite")
-        .partitionBy("dataset")
-        .text(path)
-    )
+# Bytes of schema text that one task writes.
+PART_BYTES = 64 * 1024 * 1024
 
 
-def write_file_schemas(schemas: DataFrame, path: str) -> None:
-    """``schema, schema_json``, a file per schema; schemas written before stay unless written anew."""
-    (
-        schemas.select("schema", "schema_json")
-        .repartition("schema")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("schema")
-        .text(path)
-    )
+def _in_parts(pieces: DataFrame, by: str, part_bytes: int) -> DataFrame:
+    pieces = cut(pieces.select(by, "order", "text"))
+    size = pieces.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    return pieces.repartitionByRange(parts, by, "order").sortWithinPartitions(by, "order").select(by, "text")
+
+
+def write_schemas(pieces: DataFrame, path: str, part_bytes: int = PART_BYTES) -> None:
+    """``dataset, order, text`` of ``render_pieces``: a folder per dataset.
+
+    Pieces are dealt out by ranges of their order, as many as their measured size asks for. The
+    parts of a folder, by name, are the schema's text, each piece on a line of its own; a schema
+    of usual size is one file. No schema is ever put together in one place.
+    """
+    _in_parts(pieces, "dataset", part_bytes).write.mode("overwrite").partitionBy("dataset").text(path)
+
+
+def write_file_schemas(pieces: DataFrame, path: str, part_bytes: int = PART_BYTES) -> None:
+    """``schema, order, text``: a folder per schema, as ``write_schemas``; schemas written before
+    stay unless written anew."""
+    parts = _in_parts(pieces, "schema", part_bytes)
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("schema").text(path)
 
 
 def read_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """``dataset, schema_json`` of ``write_schemas``: for schemas that fit a cell."""
     layout = "value string, dataset string"
-    read = spark.read.schema(layout).option("wholetext", True).text(path)
-    return read.select("dataset", F.regexp_replace("value", r"\n$", "").alias("schema_json"))
-
+    read = spark.read.schema(layout).text(path, wholetext=True)
+    named = read.select("dataset", F.col("_metadata.file_name").alias("part"), F.replace("value", F.lit("\n"), F.lit("")).alias("text"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
+    return named.groupBy("dataset").agg(F.array_join(parts, "").alias("schema_json"))

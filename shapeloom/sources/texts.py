@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.functions.json_text import is_json, with_computed
-from shapeloom.session import cut, small_side
+from shapeloom.functions.json_text import is_json
+from shapeloom.session import cut, earlier_totals, small_side
+from shapeloom.sources.structure import array_parts, split_starts, with_start
+
 
 def _file_path() -> Column:
     """Path of the file a row comes from, scheme dropped and escapes undone."""
@@ -38,7 +40,7 @@ def text_lines(
     separator: str | None = None,
     glob: str | None = None,
 ) -> DataFrame:
-    """``dataset, file, block, pos, text``: every line with its place in the file.
+    """``dataset, file, block, pos, size, text``: every line with its place in the file.
 
     Files are read in splits. ``block`` is where a split starts; within one, ``pos`` grows by
     one per line.
@@ -52,6 +54,7 @@ def text_lines(
         _file_path().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("text"),
     )
     return lines.withColumn("dataset", _collection(collection))
@@ -158,114 +161,37 @@ def scan_json_array(
     Of the files in ``wanted`` (``file``) only, if given: no others are shuffled.
 
     The text of the elements is kept as it is. Files are cut at their commas, split by split, so
-    an array may be larger than any task could hold. Files that are no array, or no JSON, are
-    left out whole.
+    an array may be larger than any task could hold. Which commas separate elements follows from
+    the quotes and brackets before; a split's pieces are put together in the task that reads them,
+    and only the element that a split began or left open is moved. Files that are no array, or no
+    JSON, are left out whole.
     """
     pieces = text_lines(spark, path, collection, separator=",")
     if wanted is not None:
         pieces = pieces.join(wanted, "file", "left_semi")
-    elements = array_elements(pieces)
-    # Written once: whether a file is sound is known only when all its elements are.
-    elements = cut(elements.withColumn("valid", is_json(F.col("json"))))
-    sound = F.every("valid") & F.bool_or("last")
-    arrays = elements.groupBy("file").agg(sound.alias("sound")).filter("sound").select("file")
-    return elements.join(small_side(arrays), "file", "left_semi").drop("last", "valid")
-
-
-def _net_depth(parts: str, every_other_from: int) -> Column:
-    """Brackets opened less brackets closed in every other part of a piece."""
-    kept = F.filter(parts, lambda _, i: i % 2 == every_other_from)
-    text = F.array_join(kept, " ")
-    return F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))
-
-
-def array_elements(pieces: DataFrame) -> DataFrame:
-    """Comma-separated pieces of array files, put together to elements.
-
-    Whether a comma separates elements depends on all text before it: is it in a string, how
-    deep is it nested. Both are running totals: of quotes, and of brackets. They are summed per
-    split first, then carried from split to split, then followed inside each split.
-    """
-    # Between its quotes a piece is by turns outside and inside of strings.
-    unescaped = F.when(
-        F.contains("text", F.lit("\\")), F.regexp_replace("text", r"(?s)\\.", "")
-    ).otherwise(F.col("text"))
-    pieces = with_computed(pieces, "parts", F.split(unescaped, '"'))
-    pieces = pieces.select(
-        "dataset",
-        "file",
-        "block",
-        "pos",
-        "text",
-        (F.size("parts") - 1).alias("quotes"),
-        _net_depth("parts", 0).alias("plain"),
-        _net_depth("parts", 1).alias("quoted"),
-    )
-    split_by = ["file", "block"]
-    inside = Window.partitionBy(*split_by).orderBy("pos")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    carried = (
-        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-
-    def before(column: str, window) -> Column:
-        return F.coalesce(F.sum(column).over(window), F.lit(0))
-
-    # Net depth of a piece, were its split to start outside (0) or inside (1) of a string.
-    plain, quoted = F.col("plain"), F.col("quoted")
-    marked = (
-        pieces.withColumn("flipped", before("quotes", earlier) % 2 == 1)
-        .withColumn("net0", F.when(F.col("flipped"), quoted).otherwise(plain))
-        .withColumn("net1", F.when(F.col("flipped"), plain).otherwise(quoted))
-        .drop("plain", "quoted", "flipped")
-    )
-    splits = cut(
-        marked.groupBy(*split_by).agg(
-            F.sum("quotes").alias("quotes"), F.sum("net0").alias("net0"), F.sum("net1").alias("net1")
-        )
-    )
-    starts = (
-        splits.withColumn("starts_in_string", before("quotes", carried) % 2 == 1)
-        .withColumn("net", F.when(F.col("starts_in_string"), F.col("net1")).otherwise(F.col("net0")))
-        .withColumn("start_depth", before("net", carried))
-        .select(*split_by, "starts_in_string", "start_depth")
-    )
-    placed = (
-        _meet(marked, starts, "start_depth")
-        .withColumn("net", F.when(F.col("starts_in_string"), F.col("net1")).otherwise(F.col("net0")))
-        .withColumn("depth", F.col("start_depth") + F.sum("net").over(so_far))
-        .withColumn(
-            "ends_in_string",
-            (F.sum("quotes").over(so_far) + F.col("starts_in_string").cast("int")) % 2 == 1,
-        )
-        # The comma behind this piece ends an element.
-        .withColumn("ends", (~F.col("ends_in_string") & (F.col("depth") == 1)).cast("long"))
-        .select("dataset", *split_by, "pos", "text", "ends")
-    )
-    ended = cut(placed.groupBy(*split_by).agg(F.sum("ends").alias("ends"))).select(
-        *split_by, before("ends", carried).alias("ended")
-    )
-    elements = (
-        _meet(placed, ended, "ended")
-        .withColumn("element", F.col("ended") + before("ends", earlier))
-        .groupBy("dataset", "file", "element")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("block", "pos", "text"))).alias("pieces"),
-            F.max("ends").alias("ends"),
-        )
+    parts = array_parts(with_start(pieces, split_starts(pieces)))
+    # Written once; parts that are whole elements are checked on the way.
+    plain = F.col("ends") & F.col("begins") & ~((F.col("block") == 0) & (F.col("place") == 0))
+    parts = cut(parts.withColumn("valid", F.when(plain, is_json(F.col("text")))))
+    ended = parts.groupBy("file", "block").agg(F.count_if("ends").alias("ends"))
+    ended = earlier_totals(ended, "file", ["block"], {"ends": "ended"}).drop("ends")
+    numbered = parts.join(small_side(ended), ["file", "block"]).withColumn("element", F.col("ended") + F.col("place"))
+    whole = numbered.filter("valid is not null").select("file", "element", F.col("text").alias("json"), F.lit(False).alias("last"), "valid")
+    # Only the open ends of splits are moved.
+    pieced = (
+        numbered.filter("valid is null")
+        .groupBy("file", "element")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("pieces"), F.bool_or("ends").alias("ends"))
         .withColumn("json", F.array_join(F.transform("pieces", lambda p: p["text"]), ","))
     )
-    return _without_brackets(elements)
-
-
-def _meet(pieces: DataFrame, splits: DataFrame, fact: str) -> DataFrame:
-    """Bring a split's facts to its pieces. Splits are cut the same way each time files are read
-    (``configure`` pins what decides it); should they not meet, no row may get lost silently.
-    """
-    missing = F.raise_error(F.lit("the splits of a file changed between two reads"))
-    return pieces.join(small_side(splits), ["file", "block"], "left").withColumn(
-        fact, F.coalesce(fact, missing.cast("long"))
+    edges = cut(_without_brackets(pieced).withColumn("valid", is_json(F.col("json"))))
+    bounds = F.bool_or(F.col("element") == 0).alias("first"), F.bool_or("last").alias("last"), F.every("valid").alias("valid")
+    sound = edges.groupBy("file").agg(*bounds).join(
+        whole.groupBy("file").agg(F.every("valid").alias("all_valid")), "file", "left"
+    ).filter("valid and last and coalesce(all_valid, true)")
+    elements = edges.unionByName(whole).select("file", (F.col("element") + 1).alias("doc_no"), F.regexp_replace("json", r"^\s+|\s+$", "").alias("json"))
+    return elements.join(small_side(sound.select("file")), "file", "left_semi").select(
+        _collection(collection).alias("dataset"), "file", "doc_no", "json"
     )
 
 
@@ -275,7 +201,7 @@ def _without_brackets(elements: DataFrame) -> DataFrame:
     A text that does not open or close as an array gets NULL for an element, or has no last one
     because the end of the file leaves it open. An empty array has one empty element, no row.
     """
-    first, last = F.col("element") == 0, F.col("ends") == 0
+    first, last = F.col("element") == 0, ~F.col("ends")
     opened = F.when(first, F.regexp_extract("json", r"(?s)^\s*\[(.*)$", 1)).otherwise(F.col("json"))
     opens = ~first | F.regexp_like("json", F.lit(r"^\s*\["))
     closed = F.when(last, F.regexp_extract("opened", r"(?s)^(.*)\]\s*$", 1)).otherwise(F.col("opened"))
@@ -285,7 +211,7 @@ def _without_brackets(elements: DataFrame) -> DataFrame:
         elements.withColumn("opens", opens)
         .withColumn("opened", opened)
         .withColumn("whole", F.col("opens") & closes)
-        .withColumn("json", F.when(F.col("whole"), F.regexp_replace(closed, r"^\s+|\s+$", "")))
+        .withColumn("json", F.when(F.col("whole"), closed))
         .filter(F.coalesce(~empty, F.lit(True)))
-        .select("dataset", "file", (F.col("element") + 1).alias("doc_no"), "json", last.alias("last"))
+        .select("file", "element", "json", last.alias("last"))
     )

@@ -1,17 +1,18 @@
 """Reading schema text, fusing schemas of parts, and inference batch by batch."""
 
 import json
+import pathlib
 import random
 
 import pytest
 from helpers import documents
 
 from shapeloom.operators import compare, fuse, incremental, infer
-from shapeloom.operators.render import render_master, render_schema
+from shapeloom.operators.render import master_pieces, render_master, render_pieces, render_schema
 from shapeloom.operators.shred import parse_documents, shred_documents
 from shapeloom.plans import jobs
 from shapeloom.session import fresh_dir
-from shapeloom.sources import versions
+from shapeloom.sources import tables, versions
 
 
 def table(df):
@@ -138,7 +139,7 @@ def test_schema_files(spark, tmp_path):
     assert (got.paths, got.same_type, got.same_required) == (1, 0, 1)
     out = fresh_dir(spark, "fused")
     assert {r.path: r.types for r in jobs.fused_schemas(spark, str(tmp_path / "left"), out).collect()} == {"": ["object"], ".a": ["integer", "string"]}
-    assert '"a": {"type": ["integer", "string"]}' in spark.read.text(out, wholetext=True).first().value
+    assert json.loads(spark.read.text(out, wholetext=True).first().value)["properties"] == {"a": {"type": ["integer", "string"]}}
 
 
 # --- batches ------------------------------------------------------------------------------
@@ -211,3 +212,74 @@ def test_versions_are_put_once_and_never_overwritten(spark):
     assert pinned.collect() == one.collect()
     assert spark.read.parquet(versions.version_path(spark, root, 2)).count() == 2
     assert not versions.put_if_absent(spark, f"{root}/versions/000000000002", "{}")
+
+
+# --- pieces -------------------------------------------------------------------------------
+
+
+def test_pieces_in_order_are_the_schema(spark):
+    """Through files in many parts, for inferred and for merged schemas."""
+    rng = random.Random(4)
+    rows = [(f"d{i % 3}", i, json.dumps({"top": random_value(rng, 4), "n": 1})) for i in range(120)]
+    nodes = shred_documents(parse_documents(spark.createDataFrame(rows, "dataset string, doc_id int, json string")), ["dataset"])
+    paths = infer.infer_paths(nodes, ["dataset"])
+    whole = table(render_schema(paths, ["dataset"]))
+    for part_bytes in (40, 3_000, tables.PART_BYTES):
+        path = fresh_dir(spark, "parts")
+        tables.write_schemas(render_pieces(paths, ["dataset"]), path, part_bytes)
+        assert table(tables.read_schemas(spark, path)) == whole
+        files = [f for d in pathlib.Path(path).glob("dataset=*") for f in d.glob("part-*")]
+        assert (len(files) == 3) == (part_bytes == tables.PART_BYTES)
+    # The parts of a folder, one behind the other, are JSON as they are.
+    text = "".join(f.read_text() for f in sorted((pathlib.Path(path) / "dataset=d1").glob("part-*")))
+    assert json.loads(text) == json.loads(render_schema(paths, ["dataset"]).where("dataset = 'd1'").first().schema_json)
+    merged = known_paths(spark, SALES, True)
+    path = fresh_dir(spark, "parts")
+    tables.write_schemas(master_pieces(merged, ["dataset"]), path, 100)
+    assert table(tables.read_schemas(spark, path)) == table(render_master(merged, ["dataset"]))
+
+
+def test_a_schema_too_long_for_a_cell_says_so(spark, monkeypatch):
+    from shapeloom.operators import render
+
+    monkeypatch.setattr(render, "CELL_CHARACTERS", 100)
+    with pytest.raises(ValueError, match="too long for one cell"):
+        render_schema(known_paths(spark, SALES, False), ["dataset"])
+
+
+# --- changes ------------------------------------------------------------------------------
+
+
+def paths_of(spark, entries):
+    rows = [("d", path, [kind], required) for path, kind, required in entries]
+    return spark.createDataFrame(rows, "dataset string, path string, types array<string>, required boolean")
+
+
+def test_moved_and_renamed_parts(spark):
+    address = [(".street", "string", True), (".geo", "object", False), (".geo.lat", "number", True)]
+    left = [("", "object", False), (".id", "integer", True), (".home", "object", True), *((".home" + p, k, r) for p, k, r in address), (".note", "string", False), (".x", "integer", True), (".y", "integer", True), (".tags", "array", True), (".tags[]", "string", False)]
+    right = [("", "object", False), (".id", "string", True), (".residence", "object", False), *((".residence" + p, k, r) for p, k, r in address), (".more", "object", True), (".more.note", "string", True), (".a", "integer", True), (".b", "integer", True), (".more.tags", "array", True), (".more.tags[]", "string", False)]
+    changes = compare.schema_changes(paths_of(spark, left), paths_of(spark, right), ["dataset"])
+    got = {r.path: (r.to_path, r.outcome) for r in changes.collect()}
+    assert got == {
+        ".id": (None, "type_differs"),
+        ".home": (".residence", "renamed"), ".home.street": (".residence.street", "renamed"),
+        ".home.geo": (".residence.geo", "renamed"), ".home.geo.lat": (".residence.geo.lat", "renamed"),
+        ".note": (".more.note", "moved"), ".tags": (".more.tags", "moved"),
+        # Two of a kind: no telling which is which.
+        ".x": (None, "only_left"), ".y": (None, "only_left"), ".a": (None, "only_right"), ".b": (None, "only_right"),
+        ".more": (None, "only_right"),
+    }
+    row = compare.change_similarity(changes, ["dataset"]).first()
+    assert (row.paths, row.moved, row.renamed, row.only_left, row.only_right) == (12, 2, 4, 2, 3)
+    assert row.structural_overlap == 7 / 12
+
+
+def test_a_changed_part_is_not_renamed(spark):
+    left = [("", "object", False), (".a", "object", True), (".a.k", "integer", True)]
+    for entry in ((".b.k", "string", True), (".b.k", "integer", False), (".b.j", "integer", True)):
+        right = [("", "object", False), (".b", "object", True), entry]
+        got = {(r.path, r.outcome) for r in compare.schema_changes(paths_of(spark, left), paths_of(spark, right), ["dataset"]).collect()}
+        assert (".a", "only_left") in got and (".b", "only_right") in got
+    same = compare.schema_changes(paths_of(spark, left), paths_of(spark, left), ["dataset"])
+    assert {r.outcome for r in same.collect()} == {"equal"}

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,11 +175,13 @@ def test_files_by_line_or_whole(spark, tmp_path):
     (tmp_path / "broken.json").write_text("{\n}}")
     (tmp_path / "large.json").write_text('{\n "b": "' + "x" * 300 + '"}')
     (tmp_path / "empty.json").write_text("\n")
-    values, outcomes = infer.file_documents(spark, str(tmp_path), whole_bytes=200)
+    (tmp_path / "blanks.json").write_text("[\n]" + " " * 150)
+    paths, outcomes = infer.file_schemas(spark, str(tmp_path), whole_bytes=200)
     assert {r.dataset: r.outcome for r in outcomes.collect()} == {
-        "lines": "lines", "whole": "whole", "broken": "unparsable", "large": "too_large",
+        "lines": "lines", "whole": "whole", "broken": "unparsable", "large": "too_large", "blanks": "whole",
     }
-    assert sorted(r.dataset for r in values.select("dataset").collect()) == ["lines", "lines", "whole"]
+    assert {r.dataset: r.nodes for r in paths.filter("path = ''").collect()} == {"lines": 2, "whole": 1, "blanks": 1}
+    (tmp_path / "blanks.json").unlink()
     done = spark.createDataFrame([(str(tmp_path / "lines.json"),)], "file string")
     paths = infer.infer_file_schemas(spark, str(tmp_path), existing=done, whole_bytes=200, levels=4)
     assert {(r.dataset, r.path) for r in paths.collect()} == {("whole", ""), ("whole", ".a"), ("whole", ".a[]")}
@@ -208,6 +211,49 @@ def test_log_messages_are_flat_and_short(spark):
     assert got[0].message == ('x "q", y\r ' + "z" * 3000)[:2000] and got[2].message == ""
 
 
+def test_a_document_that_takes_too_long_is_a_row(spark, tmp_path):
+    """Generators that hang, die or never load: the others are answered, the job goes on."""
+    starts = str(tmp_path / "starts")
+
+    def make():
+        import os
+        import time
+
+        with open(starts, "a") as file:
+            file.write("x")
+
+        def generate(prompts):
+            if any("hang" in p for p in prompts):
+                time.sleep(600)
+            if any("die" in p for p in prompts):
+                os._exit(3)
+            if any("boom" in p for p in prompts):
+                raise KeyError("no model")
+            return [TimeoutError("own") if "own" in p else p.upper() for p in prompts]
+
+        return generate
+
+    rows = [("a", "one"), ("b", "hang"), ("c", "two"), ("d", "die"), ("e", None), ("f", "boom"), ("g", "own"), ("h", "three")]
+    prompted = spark.createDataFrame(rows, "file string, prompt string").coalesce(1)
+    begun = time.perf_counter()
+    got = {r.file: (r.response, r.error) for r in propose.propose_schemas(prompted, make, batch_rows=3, deadline=3).collect()}
+    assert time.perf_counter() - begun < 60
+    assert got == {
+        "a": ("ONE", None), "b": (None, "Timeout: no answer within 3 s"), "c": ("TWO", None),
+        "d": (None, "the generator died (exit code 3)"), "e": (None, propose.UNREADABLE),
+        "f": (None, "'no model'"), "g": (None, "Timeout: own"), "h": ("THREE", None),
+    }
+    assert len((tmp_path / "starts").read_text()) > 2
+
+    def never():
+        import time
+
+        time.sleep(600)
+
+    got = propose.propose_schemas(prompted.limit(1), never, deadline=1, load_deadline=1).first()
+    assert got.response is None and got.error == "Timeout: generator not ready within 1 s"
+
+
 def test_generator_problems_become_rows(spark):
     def make():
         def generate(prompts):
@@ -279,12 +325,12 @@ def test_values_beyond_the_parser_are_not_lost(spark, tmp_path):
     (tmp_path / "fault.json").write_text('{"b":"%s\t"}\n' % long)
     (tmp_path / "none.json").write_text("[\n]\n")
     (tmp_path / "half.json").write_text("[\n[\n")
-    values, outcomes = infer.file_documents(spark, str(tmp_path))
+    found, outcomes = infer.file_schemas(spark, str(tmp_path))
     assert {r.dataset: (r.outcome, r.rejected) for r in outcomes.collect()} == {
-        **{n: ("whole", 0) for n in ("array", "object", "none")}, "lines": ("lines", 0), "line": ("lines", 0),
+        **{n: ("whole", 0) for n in ("array", "object", "none", "line")}, "lines": ("lines", 0),
         "fault": ("unparsable", 0), "half": ("unparsable", 0),
     }
-    paths = {(r.dataset, r.path): (r.nodes, "|".join(r.types), r.required) for r in infer.infer_paths(infer.file_nodes(values), ["dataset"]).collect()}
+    paths = {(r.dataset, r.path): (r.nodes, "|".join(r.types), r.required) for r in found.collect()}
     for name in ("array", "line"):
         assert {p: f for (d, p), f in paths.items() if d == name} == {
             "": (1, "array", False), "[]": (2, "object", False), "[].a": (1, "integer", False), "[].b": (1, "string", False),
