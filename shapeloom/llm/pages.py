@@ -5,8 +5,13 @@ go with it. A line's weight is its length without link text, nothing if most of
 multiplied in a container the page marks (article, main, a named division). Weights are summed
 over sliding windows of the lines of one container: where the sum surges above a threshold the
 article starts, where it dives to nothing it ends, and the text between is kept. If surges lie in
-containers of several ranks, those of the rank with the heaviest surge are kept. A page without
-a surge keeps the lines of its highest rank.
+containers of several ranks, those of the rank with the heaviest surge are kept. In an article or
+main element that has a surge, lines behind a dive stay, too, unless they are link lines. A page
+without a surge keeps the lines of its highest rank.
+
+Only an ``a`` with ``href`` is a link; it ends with its own end, with the next ``a``, or with the
+block it began in. Pages are read in one pass forward: how long reading takes grows with the page,
+whatever its markup.
 
 Defined cases: a null or empty page, and one without text, give an empty text. Repeated rows
 each get a result, null page_id and url are carried. Markup that is never closed is read as far
@@ -30,12 +35,15 @@ SURGE = 80
 # What a character weighs by the rank of its container: none, named division, main, article.
 FACTORS = (1, 2, 2, 4)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile("[>\"']")
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes")}
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 _NUMBERED = re.compile(r"(ad|advert|banner|comment|sidebar|widget|article|entry|post|story)-?[0-9]+")
 
+# Opening one of these ends an open one of the same name.
+IMPLIED = set("p li dt dd option tr td th".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements without article text, and names in class, id and role that mark such: whole names, "_" read as "-".
@@ -78,7 +86,10 @@ class _Reader:
         self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.links = 0
-        self.in_link = 0
+        self.in_link = False
+        self.link_depth = 0
+        self.blocks: list[str] = []  # open ones, the last one opened at the end
+        self.open_blocks: dict[str, int] = {}
         self.inside = {"article": 0, "main": 0, "marked": 0}
         self.begun = {"article": 0, "main": 0, "marked": 0}
         self.marked_tag: str | None = None
@@ -100,6 +111,22 @@ class _Reader:
             if self.in_link:
                 self.links += len("".join(said.split()))
 
+    def block(self, name: str) -> None:
+        if name in IMPLIED and self.blocks and self.blocks[-1] == name:
+            self.unblock(name)
+        self.blocks.append(name)
+        self.open_blocks[name] = self.open_blocks.get(name, 0) + 1
+
+    def unblock(self, name: str) -> None:
+        """A block ends, and with it what is open inside of it; a link that began there, too."""
+        while self.open_blocks.get(name):
+            last = self.blocks.pop()
+            self.open_blocks[last] -= 1
+            if last == name:
+                break
+        if len(self.blocks) < self.link_depth:
+            self.in_link = False
+
     def enter(self, kind: str) -> None:
         self.begun[kind] += not self.inside[kind]
         self.inside[kind] += 1
@@ -114,18 +141,22 @@ class _Reader:
                 return
         if name in BLOCKS:
             self.flush()
+            if name not in VOID:
+                self.block(name)
         found = attributes(rest) if rest and not rest.isspace() else {}
         marks = marks_of(found)
         if name not in VOID and name not in ("html", "body", "main") and (name in DROPPED or marks & DROPPED_MARKS or is_hidden(found)):
             if not (name == "article" and not {mark.split("-")[0] for mark in marks & DROPPED_MARKS} & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sponsored"}):
                 if name in DROPPED:
                     self.flush()
+                if name in BLOCKS:
+                    self.unblock(name)  # read past as a whole
                 self.skipped, self.depth = name, 1
                 return
         if name == "br":
             self.text.append(" ")
         elif name == "a":
-            self.in_link += 1
+            self.in_link, self.link_depth = "href" in found, len(self.blocks)
         elif name in ("article", "main"):
             self.enter(name)
         if name in ("div", "section"):
@@ -147,8 +178,9 @@ class _Reader:
             self.skipped = None
         if name in BLOCKS:
             self.flush()
+            self.unblock(name)
         if name == "a":
-            self.in_link = max(0, self.in_link - 1)
+            self.in_link = False
         elif name in ("article", "main"):
             self.inside[name] = max(0, self.inside[name] - 1)
         if name == self.marked_tag:
@@ -157,31 +189,82 @@ class _Reader:
                 self.marked_tag = None
 
     def read(self, page: str) -> list[tuple[str, int, int, int]]:
-        at, scan = 0, _TOKEN.match
-        while at < len(page):
-            token = scan(page, at)
-            at = token.end()
-            name = token[2] or token[5]
-            if name is None:
-                if page[token.start()] != "<" or token.end() - token.start() == 1:
-                    self.words(token[0])
+        at, size, tags = 0, len(page), _TagEnds(page)
+        while at < size:
+            start = page.find("<", at)
+            if start != at:
+                start = size if start < 0 else start
+                self.words(page[at:start])
+                at = start
+                continue
+            sign = page[at + 1 : at + 2]
+            if sign == "!" and page.startswith(("<!--", "<![CDATA["), at):
+                close = "-->" if page.startswith("<!--", at) else "]]>"
+                end = page.find(close, at + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if at < tags.last and sign in ("!", "?"):
+                at = page.find(">", at) + 1
+                continue
+            closing = sign == "/"
+            named = _NAME.match(page, at + 1 + closing) if at < tags.last else None
+            if not named:
+                self.words("<")
+                at += 1
                 continue
-            name = name.lower()
-            if token[1] or token[4]:
+            end = tags.of(named.end())
+            name, rest, at = named[0].lower(), page[named.end() : end], end + 1
+            if closing:
                 self.closed(name)
             elif name in _RAW:
-                rest = token[3] if token[2] else token[6]
                 if name in BLOCKS:
                     self.flush()
                 if not rest.rstrip().endswith("/"):
                     close = _RAW[name].search(page, at)
-                    at = close.end() if close else len(page)
+                    at = close.end() if close else size
             else:
-                self.opened(name, token[3] if token[2] else token[6])
+                self.opened(name, rest)
         self.flush()
         return self.lines
 
 
+class _TagEnds:
+    """Where tags end: at the first ``>`` outside of quotes, or at the first one at all if a quote
+    is never closed.
+
+    Quotes from which no end was found are remembered, and so is the next sign that matters, so
+    that no part of a page is searched again from every tag.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.hopeless: set[int] = set()
+        self.known = (0, -1)  # from the first place on, the next special sign is at the second
+
+    def _special(self, at: int) -> int:
+        if not self.known[0] <= at <= self.known[1]:
+            found = _SPECIAL.search(self.page, at)
+            self.known = (at, found.start() if found else len(self.page))
+        return self.known[1]
+
+    def of(self, at: int) -> int:
+        """The end of a tag whose name ends at ``at``; there must be a ``>`` behind it."""
+        page, here, tried = self.page, at, []
+        while (here := self._special(here)) < len(page):
+            sign = page[here]
+            if sign == ">":
+                return here
+            if here in self.hopeless:
+                break
+            tried.append(here)
+            close = page.find(sign, here + 1)
+            if close < 0:
+                break
+            here = close + 1
+        self.hopeless.update(tried)
+        return page.find(">", at)
+
+
 def surges(weights: np.ndarray, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Ranges of lines from a surge (a window's sum reaches ``threshold``) to the dive after it
     (a window without weight)."""
@@ -212,15 +295,19 @@ def main_text(page: str | None) -> str:
     kept: dict[int, list[int]] = {}
     for (rank, _), own in containers.items():
         found = np.array([weights[k] if k >= 0 else 0 for k in own], float)
-        before = 0
+        before, mine = 0, []
         for start, stop in surges(found, SURGE):
             if rank:  # short lines before a surge, such as a title, belong to it
                 while start > before and found[max(before, start - WINDOW) : start].any():
                     start -= 1
             held = np.flatnonzero(found[start:stop]) + start
-            kept.setdefault(rank, []).extend(k for k in own[held[0] : held[-1] + 1] if k >= 0)
+            mine.extend(k for k in own[held[0] : held[-1] + 1] if k >= 0)
             heaviest[rank] = max(heaviest.get(rank, 0), found[start:stop].sum())
             before = stop
+        if rank >= 2 and mine:  # what follows a dive in an article or main
+            taken = set(mine)
+            mine.extend(k for k in own if k > mine[0] and weights[k] and k not in taken)
+        kept.setdefault(rank, []).extend(mine)
     if heaviest:
         chosen = sorted(kept[max(heaviest, key=lambda rank: (heaviest[rank], rank))])
     else:

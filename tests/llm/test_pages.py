@@ -85,3 +85,41 @@ def test_marked_and_hidden_text_goes():
     for attribute in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', 'style="color:red;display: none"', 'class="box ad"', "id=ad-3", 'class="site_header"', "role=navigation", 'class="x cookie-notice"'):
         assert main_text(f"<article><p>one <span {attribute}>two</span>three</p><div {attribute}><p>{LONG}</p></div></article>") == "one three"
     assert main_text(f'<div role="main"><p>{LONG}</p></div><p>Legal matters, told in one line.</p>') == LONG
+
+
+def test_an_anchor_that_is_never_closed_is_no_link():
+    story = "".join(f"<p>{k} {LONG}</p>" for k in range(3))
+    text = "\n".join(f"{k} {LONG}" for k in range(3))
+    assert main_text(f'<body><div><p><a name="top">Intro</p>{story}</div></body>') == f"Intro\n{text}"
+    # A link that is never closed ends with its block, or with the next one.
+    assert main_text(f"<body><div><p>By <a href=x>me</p>{story}</div></body>").endswith(text)
+    assert main_text(f"<body><ul><li><a href=x>one<li><a href=y>two<li><a href=z>three</ul>{story}</body>") == text
+    # Blocks inside a link are the link's.
+    cards = "".join(f"<a href={k}><div>Card {k} with a headline of many words that goes on</div><p>and more</p></a>" for k in range(4))
+    assert main_text(f"<body><div>{story}</div><div>{cards}</div></body>") == text
+
+
+def test_article_goes_on_behind_a_list_of_links():
+    links = "<ul>" + "<li><a href=x>see also</a></li>" * 4 + "</ul>"
+    for tag in ("article", "main"):
+        page = f"<{tag}><p>{LONG}</p>{links}<p>The end of it.</p></{tag}>"
+        assert main_text(page) == f"{LONG}\nThe end of it."
+
+
+def test_tags_and_quotes():
+    assert main_text("<article><p title='a > b'>one</p><p title=\"x' > y\">two</p></article>") == "one\ntwo"
+    assert main_text('<article><p title="never closed>one</p><p>two</p></article>') == "one\ntwo"
+    assert main_text("<article><p>one</p><!-- <p>no</p><p>gone") == "one"
+    assert main_text("<article><![CDATA[<p>no</p>]]><p>one</p><?php x ?><!doctype y></article>") == "one"
+    assert main_text("<article>a < b <1 </ > c</article>") == "a < b <1 </ > c"
+
+
+def test_odd_markup_takes_no_longer_than_its_length():
+    import time
+
+    for piece in ("<a ", '<a href="', "<a <a '", "<", "</", "<!--", "<a<", "<div>", "</p>", "<p><div>", "&", '<a x="\'>', "<script>", "<a href=x>", "<p title='\">", "<li><a href=x>y"):
+        page = piece * ((1_000_000 if piece in ("<a ", '<a href="') else 100_000) // len(piece))
+        for tail in ("", ">", '">', "'>x"):
+            begun = time.perf_counter()
+            main_text(page + tail)
+            assert time.perf_counter() - begun < 8, (piece, tail)
