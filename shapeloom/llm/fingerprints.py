@@ -2,10 +2,15 @@
 
 A text's prefix arrays hold, for two primes, the polynomial hash of every prefix. From them the
 hash of any span follows in one step, so spans are compared at once and the longest common
-extension of two places is found by binary search; the query uses neither. A fingerprint is the hash of the whole text
+extension of two places is found by binary search. A fingerprint is the hash of the whole text
 and, for the set of its spans of ``SPAN`` code points, one least hash per slot; the share of
 equal slots estimates how many spans two texts have in common.
 
+Two texts are as like as the greater of that share and of what their longest common extensions
+cover: forward from both starts and, of the rest, backward from both ends, in code points of the
+longer text. The first tells texts with parts moved about, the second, exact and without sampling,
+texts of which a part was exchanged: a text and its edited form agree forward up to the edit.
+
 Neighbours: documents are dealt by ranges of doc_id, each range sorted in its task and read as a
 stream, with the first document of the next range beside it. Texts move once.
 
@@ -83,15 +88,32 @@ def common_extension(a: PrefixHashes, i: int, b: PrefixHashes, j: int) -> int:
     return low
 
 
+def common_ending(a: PrefixHashes, b: PrefixHashes, most: int) -> int:
+    """How far the texts agree backward from their ends, ``most`` at most."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if span_equal(a, a.n - middle, b, b.n - middle, middle) else (low, middle - 1)
+    return low
+
+
+def covered(a: PrefixHashes, b: PrefixHashes) -> tuple[int, float]:
+    """The common extension from both starts, and the share of the longer text that it and the
+    common ending of the rest cover."""
+    begin = common_extension(a, 0, b, 0)
+    end = common_ending(a, b, min(a.n, b.n) - begin)
+    return begin, (begin + end) / max(a.n, b.n) if a.n or b.n else 1.0
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str) -> str:
+def fingerprint(text: str | PrefixHashes) -> str:
     """16 hex digits for the whole text, then 4 for each slot."""
-    hashes = PrefixHashes(text)
+    hashes = PrefixHashes(text) if isinstance(text, str) else text
     whole = int(_mixed(np.array([hashes.span(0, hashes.n) ^ hashes.n], np.uint64))[0])
     if not hashes.n:
         return f"{whole:016x}"
@@ -108,14 +130,29 @@ def fingerprint(text: str) -> str:
     return f"{whole:016x}" + values.astype(">u2").tobytes().hex()
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1; 1 for equal fingerprints."""
+def slots_alike(a: str, b: str) -> float:
+    """The share of equal slots of two fingerprints; 1 if they are equal."""
     if a == b:
         return 1.0
     x, y = (np.frombuffer(bytes.fromhex(f[16:]), ">u2") for f in (a, b))
     return float((x == y).mean()) if len(x) and len(y) else 0.0
 
 
+class Fingerprinted:
+    """A text with its prefix arrays and its fingerprint."""
+
+    def __init__(self, text: str):
+        self.text, self.hashes = text, PrefixHashes(text)
+        self.print = fingerprint(self.hashes)
+
+    def likeness(self, other: Fingerprinted) -> tuple[int, float]:
+        """The common extension from both starts, and 0 to 1: how like the texts are."""
+        if self.print == other.print:
+            return self.hashes.n, 1.0
+        extension, share = covered(self.hashes, other.hashes)
+        return extension, max(slots_alike(self.print, other.print), share)
+
+
 def edited(text: str, other: str) -> str:
     """The last third, rounded down, replaced by as much of the other text's start."""
     third = len(text) // 3
@@ -152,22 +189,25 @@ def with_neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
+    edited_extension: how many code points from the start a text and its edited form share."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_chars", T.LongType())]
         + [T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
         + [T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")]
+        + [T.StructField("edited_extension", T.LongType())]
     )
     arrow = to_arrow_schema(out)
 
     def compare(row: tuple, after: tuple) -> tuple:
-        doc_id, text, print_ = row
-        changed = edited(text, after[1])
-        other = fingerprint(changed) if changed != text else print_
+        (doc_id, own), (_, next_) = row, after
+        changed = edited(own.text, next_.text)
+        other = Fingerprinted(changed) if changed != own.text else own
         sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), sha, print_, other, likeness(print_, other), likeness(print_, after[2])
+        extension, near = own.likeness(other)
+        return doc_id, len(own.text), sha, own.print, other.print, near, own.likeness(next_)[1], extension
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, done, rows = None, False, []
@@ -177,8 +217,7 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
                 aside = beside[k].as_py()
                 if done or (aside and before is None):
                     continue
-                text = texts[k].as_py()
-                row = (ids[k].as_py(), text, fingerprint(text))
+                row = (ids[k].as_py(), Fingerprinted(texts[k].as_py()))
                 if before is not None:
                     rows.append(compare(before, row))
                 before, done = row, aside
