@@ -5,6 +5,11 @@ blob and rule version already scanned; a run looks only at unseen pairs, once pe
 blob, and joins the findings back to all paths that ever held the blob. Positions count code
 points, ends are exclusive.
 
+The query and the masking keep ledger and findings in the shared folder (``LEDGER`` below the one
+that spark.checkpoint.dir names), or where they are told: a run reads what earlier ones have
+scanned, scans the rest and adds it as a batch. Two runs at the same time may scan a blob twice;
+their findings are equal and count once. A ledger that is gone means that all is scanned again.
+
 Where the matches of a rule lie follows from cutting the text at the matches: a match starts
 behind the text before it and the matches and gaps before those, a running sum.
 
@@ -14,12 +19,19 @@ A null path stays null. Other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shapeloom.session import checkpoint_root
+from shapeloom.sources import versions as kept
+
 from .common import lookup, stored
 
 RULES_VERSION = "1"
+LEDGER = "secret-ledger"
+_LEDGER = "blob string, rules_version string, kind string, kind_at int, start bigint, end bigint"
 
 # Kinds in their order, pattern, the group whose length counts, least length.
 RULES = [
@@ -108,21 +120,57 @@ def digest(places: DataFrame) -> DataFrame:
     )
 
 
-def secret_scan(docs: DataFrame) -> DataFrame:
+def _kept(spark: SparkSession, root: str) -> DataFrame | None:
+    """All rows of the ledger: one per finding, and one without a kind per scanned blob."""
+    places = list(kept.batches(spark, root).values())
+    return spark.read.schema(_LEDGER).parquet(*places) if places else None
+
+
+def scan_with_ledger(versions: DataFrame, root: str | None = None, rules_version: str = RULES_VERSION) -> tuple[DataFrame, int]:
+    """The findings of all blobs the ledger knows after this run, and how many this run scanned."""
+    spark = versions.sparkSession
+    root = root or f"{checkpoint_root(spark).rstrip('/')}/{LEDGER}"
+    old = _kept(spark, root)
+    ledger = findings = None
+    if old is not None:
+        ledger = old.where(F.col("kind").isNull()).select("blob", "rules_version").distinct()
+        findings = old.where(F.col("kind").isNotNull()).distinct()
+    fresh = lookup(unseen_blobs(versions, ledger, rules_version), "unseen-blobs")
+    scanned = fresh.count()
+    if scanned:
+        texts = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+        if ledger is not None:
+            texts = texts.join(fresh.select("blob"), "blob", "left_semi")
+        suspects = stored(texts.where(F.col("text").rlike(SCREEN)).dropDuplicates(["blob"]), "suspect-blobs")
+        new = matches(suspects).withColumn("rules_version", F.lit(rules_version))
+        seen = fresh.select("blob", "rules_version", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("kind_at"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
+        columns = ["blob", "rules_version", "kind", "kind_at", "start", "end"]
+        kept.add_batch(seen.select(*columns).unionByName(new.select(*columns)), root, uuid.uuid4().hex, compression="zstd")
+        findings = _kept(spark, root).where(F.col("kind").isNotNull()).distinct()
+    if findings is None:
+        findings = spark.createDataFrame([], _LEDGER)
+    return findings, scanned
+
+
+def _as_versions(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
+
+
+def secret_scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of ``docs``."""
-    versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
-    _, findings = scan(versions)
+    versions = _as_versions(docs)
+    findings, _ = scan_with_ledger(versions, ledger)
     return digest(path_findings(versions, findings))
 
 
-def mask_secrets(docs: DataFrame, mark: str = "[secret]", length: str | None = None) -> DataFrame:
+def mask_secrets(docs: DataFrame, mark: str = "[secret]", length: str | None = None, ledger: str | None = None) -> DataFrame:
     """The rows with all their columns, every finding in ``text`` replaced by ``mark``.
 
     Spans that overlap are replaced as one. A null text stays null; texts without findings stay
     as they are. The column named by ``length`` is set to the new length of the changed texts.
     """
-    versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
-    _, findings = scan(versions)
+    findings, _ = scan_with_ledger(_as_versions(docs), ledger)
+    findings = findings.where(F.col("rules_version") == RULES_VERSION)
     spans = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans_"))
     taken = F.col("d.text")
     wide = docs.alias("d").join(lookup(spans, "mask-spans").alias("s"), blob_id(taken) == F.col("s.blob"), "left")

@@ -53,6 +53,32 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.unseen_blobs(later, ledger2, "2").count() == 4  # a new rule version sees all again
 
 
+def test_a_second_run_scans_nothing_and_gives_the_same(spark, tmp_path):
+    docs, root = cases.documents(spark, MADE), str(tmp_path / "ledger")
+    versions = secrets._as_versions(docs)
+    blobs = len({t or "" for t in MADE} | {"no id here at all"})
+    findings, scanned = secrets.scan_with_ledger(versions, root)
+    assert scanned == blobs
+    want = sorted(map(tuple, secrets.secret_scan(docs, root).collect()), key=str)
+    again, scanned = secrets.scan_with_ledger(versions, root)
+    assert scanned == 0 and sorted(map(tuple, again.collect())) == sorted(map(tuple, findings.collect()))
+    assert sorted(map(tuple, secrets.secret_scan(docs, root).collect()), key=str) == want
+    # One new text is one scan; another version of the rules sees all again.
+    more = cases.documents(spark, [*MADE, "secret=brandnew1"])
+    found, scanned = secrets.scan_with_ledger(secrets._as_versions(more), root)
+    assert scanned == 1 and found.count() == findings.count() + 1
+    assert secrets.scan_with_ledger(versions, root, "2")[1] == blobs
+    assert sorted(map(tuple, secrets.secret_scan(docs, root).collect()), key=str) == want
+    # Two runs that scanned the same at the same time: findings count once.
+    import shutil
+
+    other = str(tmp_path / "other")
+    secrets.scan_with_ledger(versions, other)
+    for kind in ("batches", "data"):
+        shutil.copytree(f"{other}/{kind}", f"{root}/{kind}", dirs_exist_ok=True)
+    assert sorted(map(tuple, secrets.secret_scan(docs, root).collect()), key=str) == want
+
+
 def test_masks(spark):
     docs = cases.documents(spark, MADE)
     out = secrets.mask_secrets(docs, length="n_chars")
