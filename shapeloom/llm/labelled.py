@@ -3,45 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Labels are few by nature; more distinct ones than this are refused.
-MOST_CLASSES = 512
+from .common import lookup
 
+# Of all values of a 64-bit hash, the share that is below this part of it.
+_WHOLE = float(2**64)
 
-def sample(labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
-    """doc_id, label of at most ``per_class`` rows of each label, those with the least hashes of
-    doc_id; rows without id or label, or outside ``learn``, never."""
-    rows = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
-    classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").limit(MOST_CLASSES + 1).collect()]
-    if len(classes) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} different labels")
-    parts = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in classes]
-    return reduce(DataFrame.unionByName, parts) if parts else rows.limit(0)
 
+def _likely(rows: DataFrame, hash_: Column, most: int) -> DataFrame:
+    """The rows of each ``label`` with a low hash: few more than ``most`` of each.
 
-def featured(docs: DataFrame, chosen: DataFrame, features: Callable[[str], tuple[np.ndarray, ...]]) -> list[tuple[object, tuple[np.ndarray, ...]]]:
-    """(label, arrays) of the chosen documents, whole texts, made into features in tasks.
+    Counted first, a row per label and task being all that is shuffled. Which rows are taken in
+    the end is decided later; this only keeps the rest from being moved.
+    """
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    share = (most + 6 * most**0.5 + 20) / F.col("rows")
+    bounds = lookup(counts.select(F.col("label").alias("of"), F.least(share, F.lit(1.0)).alias("share")), "label-shares")
+    low = (hash_.cast("double") + F.lit(_WHOLE / 2)) / F.lit(_WHOLE) <= F.col("share")
+    return rows.join(bounds, F.col("label") == F.col("of")).where(low).drop("of", "share")
+
+
+def _least(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of each label, those with the least hashes of id and text;
+    every task keeps no more than that of each label before anything is shuffled."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
+
+
+def sample_labelled(docs: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
+    """doc_id, text, label of at most ``per_class`` rows of each value of the column ``label``;
+    rows without id or label, or outside ``learn``, never."""
+    rows = docs.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col(label).alias("label"))
+    # By id and text, so that one id with very many rows is as likely as they are.
+    return _least(_likely(rows, F.xxhash64("doc_id", "text"), per_class), per_class)
+
+
+def sample_joined(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
+    """As ``sample_labelled``, the label coming from a table of its own: ids may be repeated in
+    either one, and the bound holds for the rows that come out."""
+    rows = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label")).distinct()
+    chosen = lookup(_likely(rows, F.xxhash64("doc_id"), per_class), "labelled-ids")
+    return _least(docs.select("doc_id", "text").join(chosen, "doc_id"), per_class)
+
+
+def featured(chosen: DataFrame, features: Callable[[str], tuple[np.ndarray, ...]]) -> list[tuple[object, tuple[np.ndarray, ...]]]:
+    """(label, arrays) of the sampled rows, whole texts, made into features in tasks.
 
-    ``chosen`` is bounded by the sample's parameter, and so is what reaches the driver: a row's
-    features are hashed into a fixed number of buckets.
+    The sample is bounded by its parameter, and so is what reaches the driver: a row's features
+    are hashed into a fixed number of buckets.
     """
     kind = chosen.schema["label"].dataType
-    out = T.StructType([T.StructField("label", kind), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("arrays", T.ArrayType(T.BinaryType()))])
+    out = T.StructType([T.StructField("label", kind), T.StructField("doc_id", chosen.schema["doc_id"].dataType), T.StructField("arrays", T.ArrayType(T.BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [[np.ascontiguousarray(x).tobytes() for x in features(t.as_py() or "")] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.binary()))], names=out.names)
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text")
-    found = rows.mapInArrow(run, out).collect()
+    found = chosen.select("label", "doc_id", "text").mapInArrow(run, out).collect()
     found.sort(key=lambda r: (str(r["doc_id"]), r["arrays"]))  # one order, whatever the tasks' order
     return [(r["label"], tuple(r["arrays"])) for r in found]
 

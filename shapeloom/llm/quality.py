@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fold
-from .labelled import Spans, byte_grams, featured, sample, sigmoid, to_buckets, word_spans
+from .labelled import Spans, byte_grams, featured, sample_joined, sigmoid, to_buckets, word_spans
 
 FOLDS = 5
 HELD_OUT = 0
@@ -94,9 +94,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings = S
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    chosen = sample(labels, "quality", fold("doc_id", FOLDS) != HELD_OUT, settings.per_class)
+    chosen = sample_joined(docs, labels, "quality", fold("doc_id", FOLDS) != HELD_OUT, settings.per_class)
     buckets = settings.buckets
-    rows = featured(docs, chosen, lambda text: features(text, buckets))
+    rows = featured(chosen, lambda text: features(text, buckets))
     return train([(int(label), np.frombuffer(ids, np.int32), np.frombuffer(shares, np.float32)) for label, (ids, shares) in rows if label in (0, 1)], settings)
 
 

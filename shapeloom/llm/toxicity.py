@@ -3,8 +3,12 @@
 Features are the words of a text and the starts of its words, each counted once, hashed into
 buckets. Besides the log-loss, training minimises the squared change of the score when the
 identity terms of a labelled text are swapped for others of their group, so that a mention of a
-group by itself does not move the score; an L1 penalty keeps only words that tell. Training is
-numpy on a bounded, balanced sample of labelled rows.
+group by itself does not move the score; an L1 penalty keeps only words that tell. Groups are
+given for four languages. Where sampled texts hold no identity term, mentions are added by
+template: every ``template_every``-th text, chosen by its hash, is learned once more with a
+neutral sentence about a group, its counterfactual being the same text with the sentence about
+another one. ``penalty_report`` tells how many rows had a counterfactual and what the penalty
+does. Training is numpy on a bounded, balanced sample of labelled rows.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; with labels
 of one class or none, every score is that class's share (0.5 without labels). Other columns,
@@ -14,7 +18,8 @@ whatever their names, are ignored; a table without rows gives none.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,24 +27,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
-from .labelled import Spans, featured, sample, sigmoid, to_buckets, word_spans
+from .labelled import Spans, featured, sample_joined, sigmoid, to_buckets, word_spans
 
 FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.3
 
-# Groups of identity terms; within a group any term may stand for another.
-IDENTITY_GROUPS = (
-    ("women", "men", "girls", "boys"),
-    ("woman", "man", "girl", "boy"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "arab", "african", "european"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrants", "natives", "refugees", "foreigners"),
-    ("old", "young", "disabled", "deaf", "blind"),
-    ("mexican", "american", "chinese", "indian", "german", "french", "spanish"),
-)
+# Groups of identity terms by language; within a group any term may stand for another.
+IDENTITY_GROUPS = {
+    "en": (
+        ("women", "men", "girls", "boys"),
+        ("woman", "man", "girl", "boy"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("black", "white", "asian", "latino", "arab", "african", "european"),
+        ("gay", "straight", "lesbian", "bisexual", "transgender"),
+        ("immigrants", "natives", "refugees", "foreigners"),
+        ("old", "young", "disabled", "deaf", "blind"),
+        ("mexican", "american", "chinese", "indian", "german", "french", "spanish"),
+    ),
+    "de": (
+        ("frauen", "männer", "mädchen", "jungen"),
+        ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+        ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+        ("einwanderer", "einheimische", "flüchtlinge", "ausländer"),
+        ("türken", "polen", "deutsche", "franzosen", "spanier", "chinesen"),
+        ("alte", "junge", "behinderte", "gehörlose", "blinde"),
+    ),
+    "fr": (
+        ("femmes", "hommes", "filles", "garçons"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+        ("immigrés", "autochtones", "réfugiés", "étrangers"),
+        ("arabes", "africains", "européens", "asiatiques", "américains"),
+        ("vieux", "jeunes", "handicapés", "sourds", "aveugles"),
+    ),
+    "es": (
+        ("mujeres", "hombres", "niñas", "niños"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+        ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+        ("inmigrantes", "nativos", "refugiados", "extranjeros"),
+        ("árabes", "africanos", "europeos", "asiáticos", "mexicanos"),
+        ("viejos", "jóvenes", "discapacitados", "sordos", "ciegos"),
+    ),
+}
+# Neutral sentences about a group.
+TEMPLATES = {"en": "There are {} here.", "de": "Hier gibt es {}.", "fr": "Il y a des {} ici.", "es": "Aquí hay {}."}
 
 
 @dataclass(frozen=True)
@@ -51,17 +84,36 @@ class Settings:
     sparsity: float = 0.03
     least_rows: int = 5  # features of fewer sampled rows are not learned
     swap_penalty: float = 1.0
+    template_every: int = 4  # of the sampled texts; 0: none
     seed: int = 11
 
 
-_TERM = re.compile(r"\b(" + "|".join(sorted({t for g in IDENTITY_GROUPS for t in g}, key=lambda t: (-len(t), t))) + r")\b", re.I)
-_NEXT = {term: group[(k + 1) % len(group)] for group in IDENTITY_GROUPS for k, term in enumerate(group)}
+_GROUPS = [group for groups in IDENTITY_GROUPS.values() for group in groups]
+_TERM = re.compile(r"\b(" + "|".join(sorted({t for g in _GROUPS for t in g}, key=lambda t: (-len(t), t))) + r")\b", re.I)
+_NEXT: dict[str, str] = {}
+for _group in _GROUPS:
+    for _k, _term in enumerate(_group):
+        _NEXT.setdefault(_term, _group[(_k + 1) % len(_group)])
 _LETTERLESS = bytes(b if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256))
 
 
 def swapped(text: str) -> str:
     """Every identity term replaced by the next one of its group."""
-    return _TERM.sub(lambda m: _NEXT[m[0].lower()], text)
+    return _TERM.sub(lambda m: _NEXT.get(m[0].lower(), m[0]), text)
+
+
+def mentioned(text: str, every: int) -> tuple[str, str] | None:
+    """A text with a neutral sentence about a group, and with the same about another one; which
+    texts, which group and which terms follows from the text's hash."""
+    lot = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    if not every or lot % every:
+        return None
+    language = sorted(TEMPLATES)[lot // every % len(TEMPLATES)]
+    groups = IDENTITY_GROUPS[language]
+    group = groups[lot // (every * len(TEMPLATES)) % len(groups)]
+    at = lot // 1009 % len(group)
+    one, other = group[at], group[(at + 1 + lot // 9973 % (len(group) - 1)) % len(group)]
+    return tuple(f"{text} {TEMPLATES[language].format(term)}" for term in (one, other))
 
 
 def features(text: str, buckets: int) -> np.ndarray:
@@ -85,6 +137,14 @@ def pair_features(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, ids if other == text else np.unique(features(other, buckets)).astype(np.int32)
 
 
+def row_features(text: str, settings: Settings) -> tuple[np.ndarray, ...]:
+    """The buckets of a text and of its counterfactual, and those of the pair made by template
+    (empty where there is none)."""
+    made = mentioned(text, settings.template_every)
+    pair = (np.unique(features(t, settings.buckets)).astype(np.int32) for t in made) if made else (np.zeros(0, np.int32),) * 2
+    return (*pair_features(text, settings.buckets), *pair)
+
+
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
     classes = [label for label, _, _ in rows]
     share = np.mean(classes) if classes else 0.5
@@ -122,16 +182,34 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings = S
     return weights.astype(np.float32), bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    chosen = sample(labels, "toxic", fold("doc_id", FOLDS) != HELD_OUT, settings.per_class)
-    buckets = settings.buckets
-    rows = featured(docs, chosen, lambda text: pair_features(text, buckets))
-    made = []
-    for label, (ids, other) in rows:
+def _learned(docs: DataFrame, labels: DataFrame, settings: Settings) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The sampled rows, with their counterfactuals (the same array: none), then those made by template."""
+    chosen = sample_joined(docs, labels, "toxic", fold("doc_id", FOLDS) != HELD_OUT, settings.per_class)
+    own, made = [], []
+    for label, arrays in featured(chosen, lambda text: row_features(text, settings)):
         if label in (0, 1):
-            ids = np.frombuffer(ids, np.int32)
-            made.append((int(label), ids, np.frombuffer(other, np.int32) if other != ids.tobytes() else ids))
-    return train(made, settings)
+            ids, other, one, two = (np.frombuffer(a, np.int32) for a in arrays)
+            own.append((int(label), ids, ids if np.array_equal(ids, other) else other))
+            if len(one):
+                made.append((int(label), one, two))
+    return own + made
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, float]:
+    return train(_learned(docs, labels, settings), settings)
+
+
+def penalty_report(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> dict[str, float]:
+    """Rows learned from, rows with a counterfactual, and the mean change of the score (log-odds)
+    between them and their counterfactuals without and with the penalty."""
+    rows = _learned(docs, labels, settings)
+    pairs = [(ids, other) for _, ids, other in rows if other is not ids]
+
+    def change(penalty: float) -> float:
+        weights, _ = train(rows, replace(settings, swap_penalty=penalty))
+        return float(np.mean([abs(weights[a].sum() - weights[b].sum()) for a, b in pairs])) if pairs else 0.0
+
+    return {"rows": len(rows), "with_counterfactual": len(pairs), "change_without": change(0.0), "change_with": change(settings.swap_penalty)}
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> Column:

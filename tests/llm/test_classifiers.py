@@ -83,6 +83,90 @@ def test_counterfactual_penalty_takes_weight_off_identity_terms():
     assert toxicity.swapped("The Women and men") == "The men and girls"
 
 
+def test_the_penalty_is_at_work_on_the_given_tables(tables):
+    told = toxicity.penalty_report(*tables)
+    assert told["with_counterfactual"] > 0.1 * told["rows"]
+    assert told["change_with"] < 0.8 * told["change_without"]
+
+
+def test_mentions_by_template():
+    made = [toxicity.mentioned(f"text {k}", 4) for k in range(4000)]
+    pairs = [m for m in made if m]
+    assert 800 < len(pairs) < 1200 and toxicity.mentioned("text", 0) is None
+    assert all(a != b and a.split()[:2] == b.split()[:2] for a, b in pairs)
+    ends = {m[0].split(" ", 2)[2] for m in pairs}
+    assert len(ends) > 0.8 * sum(len(g) for groups in toxicity.IDENTITY_GROUPS.values() for g in groups)
+    assert toxicity.swapped("Die Frauen und les réfugiés y los niños") == "Die männer und les étrangers y los mujeres"
+
+
+def test_one_gradient_step_of_the_languages():
+    """One epoch from zero weights against the formula written out."""
+    rnd = np.random.default_rng(3)
+    rows = [("abc"[k % 3], (np.sort(rnd.choice(32, 5, replace=False)).astype(np.uint32), rnd.random(5).astype(np.float32))) for k in range(7)]
+    settings = language.Settings(buckets=32, epochs=1)
+    model = language.train(rows, settings)
+    codes = language.codewords(3, settings.bits, settings.seed)
+    want, bias = np.zeros((32, settings.bits)), np.zeros(settings.bits)
+    for label, (ids, values) in rows:
+        code = codes["abc".index(label)]
+        share = 1 / 3 / sum(other == label for other, _ in rows)
+        for bit in range(settings.bits):
+            wrong = -code[bit] * 0.5 * share
+            want[ids, bit] -= settings.rate * 10 * values * wrong
+            bias[bit] -= settings.rate * wrong
+    assert np.allclose(model.weights, want, atol=1e-5) and np.allclose(model.bias, bias, atol=1e-6)
+
+
+def test_decoding_is_the_least_weighted_loss():
+    rnd = np.random.default_rng(4)
+    for _ in range(200):
+        model = language.Model([f"l{k}" for k in range(6)], language.codewords(6, 9, 2), None, None, rnd.dirichlet(np.ones(9)), close=0.05)
+        outputs = rnd.normal(0, 2, 9)
+        losses = [sum(t * np.log(1 + np.exp(-c * o)) for t, c, o in zip(model.trust, code, outputs, strict=True)) for code in model.codes]
+        first, second = sorted(losses)[:2]
+        name, score, near = language.decode(model, outputs)
+        assert name == f"l{int(np.argmin(losses))}" and near == (second - first < 0.05) and 1 / 6 <= score <= 1
+    tied = language.Model(["b", "a"], np.array([[1, -1], [1, -1]]), None, None, np.array([0.5, 0.5]))
+    assert language.decode(tied, np.array([1.0, 2.0])) == ("b", 0.5, True)
+
+
+def test_average_score_of_quality():
+    """The score is the softmax of the mean of the features' vectors: one weight each."""
+    weights = np.random.default_rng(5).normal(size=1 << 16).astype(np.float32)
+    for text in ("a few words, a few words", "é", "x" * 500, "one two three four"):
+        ids, shares = quality.features(text, len(weights))
+        assert abs(float(shares @ weights[ids]) - weights[quality.grams(text, len(weights))].mean()) < 1e-4
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    from shapeloom.llm.labelled import featured, sample_joined, sample_labelled
+
+    docs = spark.createDataFrame([(1 if k < 1000 else k, f"text {k}", "en" if k % 2 else "de") for k in range(1200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(k, k % 2) for k in range(1000, 1200)], "doc_id long, toxic int")
+    true = F.lit(True)
+    for chosen in (sample_joined(docs, labels, "toxic", true, 20), sample_labelled(docs, "lang", true, 20)):
+        rows = featured(chosen, lambda text: (np.array([len(text)]),))
+        counts = {label: sum(r[0] == label for r in rows) for label in {r[0] for r in rows}}
+        assert len(counts) == 2 and max(counts.values()) == 20 and min(counts.values()) > 0
+        again = featured(chosen, lambda text: (np.array([len(text)]),))
+        assert [(a, b[0]) for a, b in rows] == [(a, b[0]) for a, b in again]
+
+
+def test_many_languages(spark):
+    """600 labels, one read of the table whatever their number."""
+    rows = [(k, f"{chr(0x4E00 + k % 600) * 6} {chr(0x4E00 + k % 600) * 4}", f"l{k % 600}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = language.Settings(per_language=5, epochs=120, buckets=1 << 14, rate=20.0)
+    model = language.fit(docs, settings)
+    known = {r.lang for r in docs.where(fold("doc_id", 3) != 1).select("lang").collect()}
+    assert set(model.languages) == known and model.codes.shape == (len(known), 40) and len(known) > 590
+    capped = language.Settings(per_language=5, rows=700, epochs=1)
+    assert set(language.fit(docs, capped).languages) == known
+    found = language.languages(docs, settings).join(docs, "doc_id")
+    assert found.count() == 3000
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.5
+
+
 def test_codewords_and_ambiguity():
     codes = language.codewords(6, 15, 1)
     assert min((codes[a] != codes[b]).sum() for a in range(6) for b in range(a)) >= 4
