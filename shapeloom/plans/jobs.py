@@ -13,7 +13,7 @@ from shapeloom.operators import propose as proposing
 from shapeloom.operators.render import master_pieces, render_pieces
 from shapeloom.operators.shred import DEFAULT_LEVELS
 from shapeloom.session import configure, cut, small_side
-from shapeloom.sources import tables, texts
+from shapeloom.sources import tables, texts, versions
 
 
 def prepare_documents(
@@ -80,6 +80,7 @@ def propose_for_pending(
     model: str,
     out: str,
     log: str,
+    deadline: float | None = None,
 ) -> None:
     """Ask a generator about every pending document that is not of the low tier.
 
@@ -99,7 +100,7 @@ def propose_for_pending(
     wanted = cut(wanted)
     named = _named_documents(spark, documents).join(wanted.select("file"), "file", "left_semi")
     # Answers are costly: they are written once and read from there.
-    responses = cut(proposing.propose_schemas(proposing.prompts(named), make_generator))
+    responses = cut(proposing.propose_schemas(proposing.prompts(named), make_generator, deadline=deadline))
     outcomes = proposing.proposal_outcomes(listed, responses, "processed/schema_documents", model)
     tables.append_run_log(outcomes, log)
     answered = proposing.saved_text(
@@ -114,6 +115,61 @@ def propose_for_pending(
     tables.write_manifest(manifest.refresh_manifest(listed, existing).drop("updated"), manifest_path)
 
 
+def stored_answers(spark: SparkSession, answers: str) -> DataFrame:
+    """``file, response, error`` of all runs of ``propose_once``."""
+    places = list(versions.batches(spark, answers).values())
+    layout = "file string, response string, error string"
+    return spark.read.schema(layout).parquet(*places) if places else spark.createDataFrame([], layout)
+
+
+def stored_log(spark: SparkSession, log: str) -> DataFrame:
+    """The log rows of all runs of ``propose_once``."""
+    places = list(versions.batches(spark, log).values())
+    layout = ", ".join(f"{c} string" for c in tables.LOG_COLUMNS)
+    return spark.read.schema(layout).parquet(*places) if places else spark.createDataFrame([], layout)
+
+
+def propose_once(
+    spark: SparkSession,
+    manifest_root: str,
+    documents: str,
+    make_generator: Callable[[], proposing.Generator],
+    model: str,
+    answers: str,
+    log: str,
+    deadline: float | None = None,
+) -> int:
+    """As ``propose_for_pending``, over a manifest in versions; returns the version it leaves.
+
+    The run is pinned to the newest version of the manifest and known by it and the model. Its
+    answers, its log rows and the next version are each put in place once, under that name: a run
+    that dies, wherever that is, and is started again reads the answers it has, asks about none
+    of them a second time, logs every document once and goes on. Of two runs at the same time one
+    ends with ``Conflict``. There is a manifest at any moment.
+    """
+    configure(spark)
+    version = versions.latest_version(spark, manifest_root)
+    if not version:
+        raise FileNotFoundError(f"no version of a manifest below {manifest_root}")
+    run = f"{model}/{version}"
+    listed = cut(tables.scan_manifest(spark, versions.version_path(spark, manifest_root, version)))
+    usable = manifest.dataset_of(F.col("file")).isNotNull()
+    if not versions.has_batch(spark, answers, run):
+        wanted = manifest.route_by_complexity(listed).filter((F.col("tier") != "skip") & usable)
+        named = _named_documents(spark, documents).join(wanted.select("file"), "file", "left_semi")
+        asked = proposing.propose_schemas(proposing.prompts(named), make_generator, deadline=deadline)
+        versions.add_batch(asked, answers, run)
+    own = spark.read.schema("file string, response string, error string").parquet(versions.batches(spark, answers)[run])
+    if not versions.has_batch(spark, log, run):
+        outcomes = proposing.proposal_outcomes(listed, own, "processed/schema_documents", model)
+        versions.add_batch(tables.log_rows(outcomes), log, run)
+    succeeded = stored_answers(spark, answers).filter(F.col("response").isNotNull()).select("file").distinct()
+    existing = listed.join(succeeded, "file", "left_semi").select(
+        manifest.dataset_of(F.col("file")).alias("dataset"), "object_type", base_name(F.col("file")).alias("base_name")
+    )
+    return versions.write_manifest_version(manifest.refresh_manifest(listed, existing).drop("updated"), manifest_root, version)
+
+
 def traditional_schemas(
     spark: SparkSession,
     manifest_path: str,

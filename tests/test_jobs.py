@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.plans import jobs
 from shapeloom.session import cut, fresh_dir
-from shapeloom.sources import tables
+from shapeloom.sources import tables, versions
 
 
 def test_from_files_to_schemas(spark, tmp_path):
@@ -112,3 +112,57 @@ def test_raw_files_pair_with_their_schemas(spark, tmp_path):
     again = jobs.raw_file_schemas(spark, str(tmp_path), out, 4, done).collect()
     assert {r.json_path for r in again} == {bad, str(tmp_path / "c.json")}
     assert [list(s["properties"]) for s in schema(top)] == [["x"]]
+
+
+def test_a_run_that_dies_and_is_repeated_counts_once(spark, tmp_path, monkeypatch):
+    """Killed before and after each thing it puts in place; the generator is asked once per document."""
+    asked = tmp_path / "asked"
+    documents = fresh_dir(spark, "documents")
+    docs = spark.createDataFrame([("d", f"document_{i}", json.dumps({"a": i})) for i in range(6)], "dataset string, doc_id string, json string")
+    tables.write_documents(docs, documents)
+    rows = [(f"processed/d/documents/document_{i}.json", "documents", "low" if i == 5 else "high", "1", "2", "0", "0", "9", "False") for i in range(6)]
+    manifest = spark.createDataFrame([*rows, ("loose.json", "", "high", "1", "2", "0", "0", "9", "False")], ", ".join(f"{c} string" for c in tables.MANIFEST_COLUMNS))
+    place = str(asked)
+
+    def make():
+        def generate(prompts):
+            with open(place, "a") as file:
+                file.write("".join(f"{p.split()[-2]}\n" for p in prompts))
+            return [ValueError("odd") if '"a": 3' in p else '{"type": "object"}' for p in prompts]
+
+        return generate
+
+    put = versions.put_if_absent
+    for dies_at in range(7):
+        root, answers, log = (fresh_dir(spark, n) for n in ("manifest", "answers", "log"))
+        assert versions.write_manifest_version(manifest, root, 0) == 1
+        asked.write_text("")
+        calls = [0]
+
+        def dying(*args, calls=calls, dies_at=dies_at):
+            calls[0] += 1
+            if calls[0] == dies_at // 2 + 1 and dies_at % 2 == 0 and dies_at < 6:
+                raise KeyboardInterrupt  # before it is in place
+            done = put(*args)
+            if calls[0] == dies_at // 2 + 1 and dies_at < 6:
+                raise KeyboardInterrupt  # right behind
+            return done
+
+        with monkeypatch.context() as patch:
+            patch.setattr(versions, "put_if_absent", dying)
+            try:
+                jobs.propose_once(spark, root, documents, make, "m", answers, log)
+            except KeyboardInterrupt:
+                assert versions.latest_version(spark, root) == (2 if dies_at == 5 else 1)
+        if versions.latest_version(spark, root) == 1:
+            assert jobs.propose_once(spark, root, documents, make, "m", answers, log) == 2
+        counts = {r.original_file: r["count"] for r in jobs.stored_log(spark, log).groupBy("original_file").count().collect()}
+        assert len(counts) == 6 and set(counts.values()) == {1}
+        if dies_at != 0:  # whoever dies before the answers are in place asks again
+            assert len(asked.read_text().split()) == 5
+        flags = {r.file: r.schema_generated for r in tables.scan_manifest(spark, versions.version_path(spark, root, 2)).collect()}
+        assert [f for f, flag in sorted(flags.items()) if flag == "true"] == [r[0] for r in rows if r[0][-6] in "0124"]
+    # A next run asks about what failed only, under the next version's name.
+    asked.write_text("")
+    assert jobs.propose_once(spark, root, documents, make, "m", answers, log) == 3
+    assert len(asked.read_text().split()) == 1
