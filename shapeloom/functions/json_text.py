@@ -79,7 +79,11 @@ def _strings_shortened(text: Column) -> Column:
 
 
 def parse_structure(text: Column) -> Column:
-    """As ``parse_strict``; in a text that only parses that way, long strings are cut down."""
+    """As ``parse_strict``; in a text that only parses that way, long strings are cut down.
+
+    The value then has the text's structure, but does not hold the document any more: strings are
+    not to be read from it.
+    """
     long = F.length(text) >= _LONG_TEXT
     return F.coalesce(parse_strict(text), F.when(long, parse_strict(_strings_shortened(text))))
 
@@ -170,9 +174,11 @@ def quote_json_list(texts: Column) -> Column:
 
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_FLOAT = r"-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)"
 # Floats of at most 15 digits from 0.0001 on: written anew they lose zeros at the end, no more.
 _PLAIN_FLOAT = r"^-?(?=[0-9.]{3,16}$)(?:0\.(?:0+$|0{0,3}[1-9][0-9]*$)|[1-9][0-9]*\.[0-9]+$)"
+# A text without this has plain floats only.
+_ODD_FLOAT = r"[0-9][eE]|[0-9.]{17}|(?<![0-9])0\.0{4}"
 
 
 @F.pandas_udf(T.LongType())
@@ -212,26 +218,36 @@ def with_serialized_length(df: DataFrame, name: str, text: Column, v: Column) ->
     ):
         plain = F.regexp_replace(plain, escape, written)
     spelt = F.when(F.contains(text, F.lit("\\")), plain).otherwise(text)
-    is_float = lambda t: F.regexp_like(t, F.lit("[.eE]"))
-    is_plain = lambda t: F.regexp_like(t, F.lit(_PLAIN_FLOAT))
-    zeros = lambda t: F.length(F.regexp_extract(t, r"(0*)$", 1))
-    lost = lambda t: F.when(F.regexp_like(t, F.lit(r"\.0+$")), zeros(t) - 1).otherwise(zeros(t))
-    # Computed once each, one after the other.
     work = with_computed(df, "__spelt", spelt)
     work = with_computed(work, "__outside", F.regexp_replace("__spelt", _STRING, ""))
-    numbers = F.regexp_extract_all("__outside", F.lit(_NUMBER), F.lit(0))
-    work = with_computed(work, "__numbers", F.when(F.regexp_like("__outside", F.lit(r"[.eE]|-0")), numbers))
-    spelt, outside, numbers = (F.col(c) for c in ("__spelt", "__outside", "__numbers"))
-    colons = _count(F.regexp_replace(F.to_json(v), _STRING, ""), ":")
-    floats = F.filter(numbers, is_float)
+    spelt, outside = F.col("__spelt"), F.col("__outside")
+
+    # Names by their colons; strings are only looked through again where they hold colons.
+    canonical = F.to_json(v)
+    plain_colons = (_count(spelt, ":") == _count(outside, ":")) & ~F.contains(text, F.lit("\\u"))
+    colons = F.when(plain_colons, _count(canonical, ":")).otherwise(_count(F.regexp_replace(canonical, _STRING, ""), ":"))
     repeated = _count(outside, ":") != colons
-    saved = F.aggregate(F.filter(floats, is_plain), F.lit(0), lambda n, t: n + lost(t)) + F.size(F.filter(numbers, lambda t: t == "-0"))
-    odd = F.filter(floats, lambda t: ~is_plain(t))
-    by_python = _spelt_by_python(F.when(F.size(odd) > 0, odd), F.when(repeated, text))
+
     strings = F.length(spelt) - F.length(outside)
     signs = F.length(F.translate(outside, " \t\n\r", "")) + _count(outside, ",") + _count(outside, ":")
-    size = F.when(repeated, by_python).otherwise(strings + signs - F.coalesce(saved, F.lit(0)) + by_python)
-    return work.withColumn(name, size.cast("long")).drop("__spelt", "__outside", "__numbers")
+    # Zeros at the end of plain floats, and signs of whole zeros.
+    shorter = F.regexp_replace(F.regexp_replace(outside, r"(\.[0-9]*?[1-9])0+(?![0-9])", "$1"), r"(\.0)0+(?![0-9])", "$1")
+    zeros = F.when(F.contains(outside, F.lit(".")), F.length(outside) - F.length(shorter)).otherwise(0)
+    minus = F.when(F.contains(outside, F.lit("-0")), F.regexp_count(outside, F.lit(r"-0(?![0-9.eE])"))).otherwise(0)
+
+    # Where there are unusual floats, token by token.
+    tokens = F.when(F.regexp_like(outside, F.lit(_ODD_FLOAT)), F.regexp_extract_all(outside, F.lit(_FLOAT), F.lit(0)))
+    work = with_computed(work, "__floats", tokens)
+    floats = F.col("__floats")
+    is_plain = lambda t: F.regexp_like(t, F.lit(_PLAIN_FLOAT))
+    ending = lambda t: F.length(F.regexp_extract(t, r"(0*)$", 1))
+    lost = lambda t: F.when(F.regexp_like(t, F.lit(r"\.0+$")), ending(t) - 1).otherwise(ending(t))
+    among = F.aggregate(F.filter(floats, is_plain), F.lit(0), lambda n, t: n + lost(t))
+    odd = F.filter(floats, lambda t: ~is_plain(t))
+    by_python = _spelt_by_python(F.when(F.size(odd) > 0, odd), F.when(repeated, text))
+    saved = F.when(floats.isNull(), zeros).otherwise(among) + minus
+    size = F.when(repeated, by_python).otherwise(strings + signs - saved + by_python)
+    return work.withColumn(name, size.cast("long")).drop("__spelt", "__outside", "__floats")
 
 
 @F.pandas_udf(T.StringType())

@@ -24,11 +24,12 @@ def dataset_of(file: Column) -> Column:
 def pending_documents(manifest: DataFrame, seed: int | None = None) -> DataFrame:
     """Rows still to be worked on: an empty or missing flag counts as pending.
 
-    With a seed the rows also get a random order, as a column to sort or batch by.
+    With a seed the rows also get a random order, as a column to sort or batch by: the same one
+    however the rows are partitioned.
     """
     pending = manifest.filter(~_flag("").isin(DONE_FLAGS))
     if seed is not None:
-        pending = pending.withColumn("turn", F.rand(seed))
+        pending = pending.withColumn("turn", F.xxhash64("file", F.lit(seed)))
     return pending
 
 

@@ -66,6 +66,16 @@ def test_sampling_steps_round_half_to_even(spark):
     }
 
 
+def test_random_order_does_not_change_with_the_partitions(spark):
+    rows = manifest_rows(spark, ["no"] * 50)
+    orders = []
+    for parts in (1, 7):
+        pending = manifest.pending_documents(rows.repartition(parts), seed=3).orderBy("turn")
+        orders.append([r.file for r in pending.collect()])
+    other = [r.file for r in manifest.pending_documents(rows, seed=4).orderBy("turn").collect()]
+    assert orders[0] == orders[1] != other and orders[0] != sorted(orders[0])
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One dataset holds most rows; blocks hold a few each."""
