@@ -214,6 +214,19 @@ def write_lines(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _write_folders(files: DataFrame, path: str, by: list[str]) -> None:
+    """A file in a folder of its own for every value of ``by``.
+
+    Making a folder takes longer than filling it, so the rows are dealt out by number, which
+    adaptive execution does not undo for their small size, and every task puts its own files in
+    place instead of leaving them to the driver.
+    """
+    spark = files.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = files.repartition(tasks, *by).write.partitionBy(*by)
+    dealt.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def write_arrays(spark: SparkSession, sf_dir: str) -> str:
     """A file holding an array for every type and 2,500 events; some files are something else."""
     path = fresh_dir(spark, "arrays")
@@ -232,7 +245,7 @@ def write_arrays(spark: SparkSession, sf_dir: str) -> str:
             when event_type = 'view' and chunk % 4 = 3 then '   '
             else concat('[', {joined}, ']') end as text""",
     )
-    files.repartition("collection").write.partitionBy("collection").text(path)
+    _write_folders(files, path, ["collection"])
     return path
 
 
@@ -249,5 +262,5 @@ def write_supplier_files(spark: SparkSession, sf_dir: str, text_sql: str) -> str
     files = table(spark, sf_dir, "supplier").selectExpr(
         "s_nationkey as nation", "s_suppkey as supplier", f"{text_sql} as text"
     )
-    files.repartition("nation", "supplier").write.partitionBy("nation", "supplier").text(path)
+    _write_folders(files, path, ["nation", "supplier"])
     return path

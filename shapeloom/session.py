@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 SMALL_SIDE_ROWS = 200_000
 SMALL_SIDE_BYTES = 64 * 1024 * 1024
 
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 _local_root: str | None = None
 
 
@@ -20,12 +22,15 @@ def configure(spark: SparkSession) -> SparkSession:
     """Set what the jobs rely on.
 
     Repeated JSON keys resolve to the last one. How files are cut into splits must not change
-    while executors come and go, for jobs that read the same files twice.
+    while executors come and go, for jobs that read the same files twice. Many folders are listed
+    by a few tasks for each core, not by one for each folder.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    cores = spark.sparkContext.defaultParallelism
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        cores = spark.sparkContext.defaultParallelism
         spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
+    if spark.conf.get(_LISTING_TASKS, None) is None:
+        spark.conf.set(_LISTING_TASKS, str(4 * cores))
     checkpoint_root(spark)
     return spark
 

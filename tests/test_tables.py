@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shapeloom.operators import compare, infer, manifest, propose, sampling, shred
+from shapeloom.plans import corpora
 from shapeloom.session import fresh_dir
 from shapeloom.sources import tables, texts
 
@@ -361,3 +363,14 @@ def test_documents_without_a_value_are_reject_rows(spark):
         "bad": "invalid", "none": "invalid", "large": "too_large",
     }
     assert [r.id for r in shred.parse_documents(docs).select("id").collect()] == ["ok"]
+
+
+def test_folders_are_written_by_many_tasks(spark, tmp_path):
+    """A file in a folder per row: small rows, but the folders are dealt out all the same."""
+    rows = [(i, i % 3, f"S{i}") for i in range(60)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_name string").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    path = corpora.write_supplier_files(spark, str(tmp_path), corpora.SUPPLIER_DOC_SQL)
+    files = texts.whole_files(spark, path, "directory", "*.txt").collect()
+    assert sorted(r.dataset for r in files) == sorted(f"supplier={i}" for i in range(60))
+    parts = {re.search(r"part-(\d+)", r.file)[1] for r in files}
+    assert len(parts) >= 4
