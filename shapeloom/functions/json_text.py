@@ -30,7 +30,8 @@ def _floats_marked(text: Column) -> Column:
         tokens,
         lambda t: F.when(F.startswith(t, F.lit('"')), t).otherwise(F.regexp_replace(t, _LARGE_FLOAT, "$1e0")),
     )
-    return F.when(F.regexp_like(text, F.lit(_LARGE_FLOAT)), F.array_join(marked, "")).otherwise(text)
+    large = F.contains(text, F.lit(".0")) & F.regexp_like(text, F.lit(_LARGE_FLOAT))
+    return F.when(large, F.array_join(marked, "")).otherwise(text)
 
 
 _LARGE_FLOAT = r"([0-9]{19})\.0+(?![0-9.eE])"
@@ -40,15 +41,12 @@ def parse_strict(text: Column) -> Column:
     """The text as a variant, or NULL unless it is exactly one JSON value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), _floats_marked(text), F.lit(f',"{_MARK}"]')))
 
-    def whole(w: Column) -> Column:
-        ends = F.try_variant_get(w, "$[1]", "string") == _MARK
-        return ends & F.try_variant_get(w, "$[2]", "variant").isNull()
+    def whole(items: Column) -> Column:
+        return (F.size(items) == 2) & (F.try_variant_get(F.get(items, F.lit(1)), "$", "string") == _MARK)
 
     # Passed through an array, the parsed value is looked at three times but parsed once.
-    return F.get(
-        F.transform(F.array(wrapped), lambda w: F.when(whole(w), F.try_variant_get(w, "$[0]", "variant"))),
-        F.lit(0),
-    )
+    items = F.array(F.try_variant_get(wrapped, "$", "array<variant>"))
+    return F.get(F.transform(items, lambda i: F.when(whole(i), F.get(i, F.lit(0)))), F.lit(0))
 
 
 # Fixed value: characters from which on a text that did not parse is looked at once more.
@@ -173,81 +171,39 @@ def quote_json_list(texts: Column) -> Column:
     return F.to_json(texts)
 
 
-_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_FLOAT = r"-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)"
-# Floats of at most 15 digits from 0.0001 on: written anew they lose zeros at the end, no more.
-_PLAIN_FLOAT = r"^-?(?=[0-9.]{3,16}$)(?:0\.(?:0+$|0{0,3}[1-9][0-9]*$)|[1-9][0-9]*\.[0-9]+$)"
-# A text without this has plain floats only.
-_ODD_FLOAT = r"[0-9][eE]|[0-9.]{17}|(?<![0-9])0\.0{4}"
-
-
-@F.pandas_udf(T.LongType())
-def _spelt_by_python(floats: pd.Series, text: pd.Series) -> pd.Series:
-    """Characters that ``floats`` take when written anew less those they have, and those of a
-    whole value ``text`` where one is given."""
+_write = json.JSONEncoder(ensure_ascii=False, check_circular=False).encode
 
-    def measure(tokens, value: str | None) -> int:
-        if value is not None:
-            return len(json.dumps(json.loads(value), ensure_ascii=False))
-        return sum(len(json.dumps(float(t))) - len(t) for t in tokens) if tokens is not None else 0
 
-    return pd.Series([measure(t, v) for t, v in zip(floats, text, strict=True)], dtype="int64")
+def measure(text: str) -> tuple[int, int, int, int, int]:
+    """Of one JSON value: its characters written by Python's ``json`` with default separators,
+    non-ASCII kept, and how many members, levels, arrays and entries of arrays it has."""
+    root = json.loads(text)
+    members = arrays = entries = 0
+    levels, front = 1, [root]
+    while front:
+        inside: list = []
+        for x in front:
+            if isinstance(x, dict):
+                members += len(x)
+                inside += x.values()
+            elif isinstance(x, list):
+                arrays += 1
+                entries += len(x)
+                inside += x
+        levels += bool(inside)
+        front = [x for x in inside if isinstance(x, (dict, list))]
+    return len(_write(root)), members, levels, arrays, entries
 
 
-def _count(text: Column, sign: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, sign, ""))
+@F.pandas_udf(T.LongType())
+def _serialized_length(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: len(_write(json.loads(t))), na_action="ignore").astype("Int64")
 
 
 def with_serialized_length(df: DataFrame, name: str, text: Column, v: Column) -> DataFrame:
     """Add the characters of the value written by Python's ``json`` with default separators,
-    non-ASCII kept. ``text`` must be the one JSON value that ``v`` was parsed of.
-
-    Summed up over the text's tokens without parsing it: strings by how their escapes would be
-    written, one blank behind every comma and colon, none elsewhere. How a float is spelt is up
-    to Python, which gets the unusual ones only; short floats just lose zeros at their end. A text
-    that repeats a member's name, told by its number of colons, is left to Python as a whole.
-    """
-    # Escaped backslashes first, as two characters, so that every other one begins an escape.
-    plain = F.replace(text, F.lit("\\\\"), F.lit(2 * _PAIR))
-    for escape, written in (
-        (r"\\/", "x"),
-        (r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "x"),
-        (r"\\u00(?:0[89aAcCdD]|22|5[cC])", "xx"),
-        (r"\\u00[01][0-9a-fA-F]", "xxxxxx"),
-        (r"\\u[0-9a-fA-F]{4}", "x"),
-    ):
-        plain = F.regexp_replace(plain, escape, written)
-    spelt = F.when(F.contains(text, F.lit("\\")), plain).otherwise(text)
-    work = with_computed(df, "__spelt", spelt)
-    work = with_computed(work, "__outside", F.regexp_replace("__spelt", _STRING, ""))
-    spelt, outside = F.col("__spelt"), F.col("__outside")
-
-    # Names by their colons; strings are only looked through again where they hold colons.
-    canonical = F.to_json(v)
-    plain_colons = (_count(spelt, ":") == _count(outside, ":")) & ~F.contains(text, F.lit("\\u"))
-    colons = F.when(plain_colons, _count(canonical, ":")).otherwise(_count(F.regexp_replace(canonical, _STRING, ""), ":"))
-    repeated = _count(outside, ":") != colons
-
-    strings = F.length(spelt) - F.length(outside)
-    signs = F.length(F.translate(outside, " \t\n\r", "")) + _count(outside, ",") + _count(outside, ":")
-    # Zeros at the end of plain floats, and signs of whole zeros.
-    shorter = F.regexp_replace(F.regexp_replace(outside, r"(\.[0-9]*?[1-9])0+(?![0-9])", "$1"), r"(\.0)0+(?![0-9])", "$1")
-    zeros = F.when(F.contains(outside, F.lit(".")), F.length(outside) - F.length(shorter)).otherwise(0)
-    minus = F.when(F.contains(outside, F.lit("-0")), F.regexp_count(outside, F.lit(r"-0(?![0-9.eE])"))).otherwise(0)
-
-    # Where there are unusual floats, token by token.
-    tokens = F.when(F.regexp_like(outside, F.lit(_ODD_FLOAT)), F.regexp_extract_all(outside, F.lit(_FLOAT), F.lit(0)))
-    work = with_computed(work, "__floats", tokens)
-    floats = F.col("__floats")
-    is_plain = lambda t: F.regexp_like(t, F.lit(_PLAIN_FLOAT))
-    ending = lambda t: F.length(F.regexp_extract(t, r"(0*)$", 1))
-    lost = lambda t: F.when(F.regexp_like(t, F.lit(r"\.0+$")), ending(t) - 1).otherwise(ending(t))
-    among = F.aggregate(F.filter(floats, is_plain), F.lit(0), lambda n, t: n + lost(t))
-    odd = F.filter(floats, lambda t: ~is_plain(t))
-    by_python = _spelt_by_python(F.when(F.size(odd) > 0, odd), F.when(repeated, text))
-    saved = F.when(floats.isNull(), zeros).otherwise(among) + minus
-    size = F.when(repeated, by_python).otherwise(strings + signs - saved + by_python)
-    return work.withColumn(name, size.cast("long")).drop("__spelt", "__outside", "__floats")
+    non-ASCII kept. ``text`` must be the one JSON value that ``v`` was parsed of."""
+    return df.withColumn(name, _serialized_length(F.when(v.isNotNull(), F.make_valid_utf8(text))))
 
 
 @F.pandas_udf(T.StringType())

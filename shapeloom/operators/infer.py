@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import parse_structure, reject_reason, strip_bom, with_computed
 from shapeloom.functions.paths import is_item, is_member, parent_of
-from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
+from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents, with_text
 from shapeloom.session import cut, small_side
 from shapeloom.sources.structure import counted, structure_counts
 from shapeloom.sources.texts import not_blank, text_lines
@@ -65,13 +65,25 @@ def paths_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def infer_document_paths(nodes: DataFrame, keys: list[str]) -> DataFrame:
+# Characters of documents whose path tables one task makes: some 200 bytes of memory for each.
+TASK_CHARACTERS = 1_000_000
+
+
+def document_tasks(docs: DataFrame) -> int:
+    """Tasks for ``infer_document_paths`` of ``docs``, in proportion to their text."""
+    size = docs.agg(F.sum(F.length("json"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_CHARACTERS))
+
+
+def infer_document_paths(nodes: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """The path table of every single document, with what its children say about each path.
 
     Documents are spread by their keys once; counting per path and looking up the parent then
-    both happen inside a document, without another shuffle.
+    both happen inside a document, without another shuffle. With a number of ``tasks``, as
+    ``document_tasks`` gives it, the memory one of them needs does not grow with the input.
     """
-    counts = path_counts(nodes.repartition(*keys), keys)
+    spread = nodes.repartition(*keys) if tasks is None else nodes.repartition(tasks, *keys)
+    counts = path_counts(spread, keys)
     rows = counts.withColumn(
         "shelf",
         F.explode(
@@ -197,7 +209,8 @@ def file_schemas(
     # A line of its own that is too large is scanned, too.
     by_lines = "broken = 0 and not (lines = 1 and rejected = 1)"
     by_line = parsed.join(small_side(tried.filter(by_lines).select("file")), "file", "left_semi")
-    counts = path_counts(shred_documents(by_line.filter(F.col("v").isNotNull()), keys, levels), keys)
+    read = with_text(by_line.filter(F.col("v").isNotNull()), F.col("text"))
+    counts = path_counts(shred_documents(read, keys, levels), keys)
 
     second = tried.filter(f"not ({by_lines})")
     large = F.lit(False) if whole_bytes is None else (F.col("opening") != "[") & (F.col("size") > whole_bytes)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shapeloom.functions.json_text import with_serialized_length
-from shapeloom.functions.paths import is_item, parent_name
-from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
+from shapeloom.functions.json_text import measure
+from shapeloom.functions.paths import parent_name
+from shapeloom.operators.shred import DEFAULT_LEVELS, TEXT, parse_documents
 
 # A document beyond any one of these is of high complexity.
 DEPTH_LIMIT = 3
@@ -27,6 +31,9 @@ MANIFEST_COLUMNS = [
 ]
 
 
+_MEASURES = ["size_bytes_", "keys_", "depth_", "arrays_", "array_len_"]
+
+
 def document_complexity(
     docs: DataFrame,
     keys: list[str],
@@ -35,28 +42,34 @@ def document_complexity(
 ) -> DataFrame:
     """``keys, depth, arrays, array_len`` per document, and ``size_bytes`` (in characters).
 
-    The size is taken before the document is opened and travels with its nodes, so it needs no
-    join. All nodes of a document leave one task together: the map side folds them into a
-    single row before anything is shuffled.
+    Every document is measured inside its row: nothing is put out per node, and what is shuffled
+    is one short row per document. The result does not depend on ``levels``.
     """
-    parsed = parse_documents(docs)
-    if with_size:
-        parsed = with_serialized_length(parsed, "size_bytes", F.col("json"), F.col("v"))
-        nodes = shred_documents(parsed, [*keys, "size_bytes"], levels)
-        size = [F.max("size_bytes").alias("size_bytes")]
-    else:
-        nodes = shred_documents(parsed, keys, levels)
-        size = []
-    item = is_item(F.col("path"))
-    return nodes.groupBy(*keys).agg(
-        F.count_if((F.col("depth") > 1) & ~item).alias("keys"),
-        F.max("depth").alias("depth"),
-        F.count_if(F.col("kind") == "array").alias("arrays"),
-        F.count_if(item).alias("array_len"),
-        *size,
+    measured = _measured(parse_documents(docs), keys)
+    return measured.groupBy(*keys).agg(
+        F.sum("keys_").alias("keys"),
+        F.max("depth_").alias("depth"),
+        F.sum("arrays_").alias("arrays"),
+        F.sum("array_len_").alias("array_len"),
+        *[F.max("size_bytes_").alias("size_bytes")] * with_size,
     )
 
 
+def _measured(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """A row of ``keys`` and measures for every document that carries its text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(t) for t in batch.column(len(keys)).to_pylist()]
+            told = zip(*found, strict=True) if found else [()] * len(_MEASURES)
+            columns = [pa.array(c, pa.int32() if name == "depth_" else pa.int64()) for name, c in zip(_MEASURES, told, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], names=[*keys, *_MEASURES])
+
+    carried = parsed.select(*[F.col(f"`{k}`") for k in keys], TEXT)
+    told = [T.StructField(name, T.IntegerType() if name == "depth_" else T.LongType()) for name in _MEASURES]
+    return carried.mapInArrow(work, T.StructType([*carried.schema.fields[:-1], *told]))
+
+
 def complexity_level() -> Column:
     high = (
         (F.col("depth") > DEPTH_LIMIT)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import brace_slice, indented, indented_unicode, parse_strict
-from shapeloom.operators.infer import infer_document_paths
+from shapeloom.operators.infer import document_tasks, infer_document_paths
 from shapeloom.operators.manifest import dataset_of, route_by_complexity, target_path
 from shapeloom.operators.render import render_schema
 from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
@@ -190,7 +190,7 @@ def propose_offline(
 ) -> DataFrame:
     """A proposal per document without a model: the schema inferred from it alone."""
     nodes = shred_documents(parse_documents(docs), keys, levels)
-    proposals = render_schema(infer_document_paths(nodes, keys), keys)
+    proposals = render_schema(infer_document_paths(nodes, keys, document_tasks(docs)), keys)
     return proposals.withColumnRenamed("schema_json", "response")
 
 

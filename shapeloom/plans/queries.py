@@ -317,7 +317,8 @@ def infer_file_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def infer_document_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["dataset", "doc_id"]
-    paths = infer.infer_document_paths(_nodes(corpora.mixed(spark, sf_dir), keys), keys)
+    docs = corpora.mixed(spark, sf_dir)
+    paths = infer.infer_document_paths(_nodes(docs, keys), keys, infer.document_tasks(docs))
     return paths.select(*keys, "path", "nodes", _types(), "required")
 
 

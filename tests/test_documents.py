@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import brace_slice, parse_strict, with_serialized_length
 from shapeloom.functions.paths import ancestors_of, decode_key, encode_key, part, stem, steps_of
-from shapeloom.operators import infer, profile
+from shapeloom.operators import infer, profile, propose, shred
 from shapeloom.operators.render import render_schema
 from shapeloom.operators.shred import parse_documents, shred_documents
 
@@ -345,3 +345,36 @@ def test_large_floats_are_numbers(spark):
     nodes = shred_documents(docs, ["id"], 3).filter("depth = 2").collect()
     assert {r.id: r.kind for r in nodes} == cases
     assert {r.path for r in nodes} == {'.12345678901234567890~10 " 1'}
+
+
+def test_both_ways_to_the_nodes_agree(spark):
+    """Documents that carry their text are walked in it: the same nodes as those of the value."""
+    odd = ['null', '{"a.b~[":{"":[{}]},"é\\ud83d\\ude00":-0}', '[1e5,1.0,12345678901234567890.0,-99999999999999999999]', '{"a":1,"a":[true]}', ' {"x" : [ ] } ', '{"\\ud800":1}', "1" * 38, "1" * 39]
+    rng = random.Random(8)
+    texts = odd + [_text(rng, 4) for _ in range(200)]
+    parsed = parse_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, json string"))
+    by_text, by_value = (shred_documents(some, ["doc_id"]) for some in (parsed, parsed.drop(shred.TEXT)))
+    assert "MapInArrow" in by_text._jdf.queryExecution().toString()
+    found = [sorted(map(str, nodes.collect())) for nodes in (by_text, by_value)]
+    assert found[0] == found[1]
+    counted = profile.document_complexity(parsed.select("doc_id", "json"), ["doc_id"])
+    assert "Generate variant_explode" not in counted._jdf.queryExecution().toString()
+    item = F.endswith("path", F.lit("[]"))
+    told = by_value.groupBy("doc_id").agg(
+        F.count_if((F.col("depth") > 1) & ~item).alias("keys"), F.max("depth").alias("depth"),
+        F.count_if(F.col("kind") == "array").alias("arrays"), F.count_if(item).alias("array_len"),
+    )
+    assert sorted(counted.drop("size_bytes").collect()) == sorted(told.collect())
+
+
+def test_path_tables_of_documents_take_tasks_by_text(spark, monkeypatch):
+    monkeypatch.setattr(infer, "TASK_CHARACTERS", 100)
+    docs = spark.createDataFrame([(k, '{"a":[1,{"b":"%d"}]}' % k) for k in range(100)], "file int, json string")
+    tasks = infer.document_tasks(docs)
+    assert tasks == 20  # 1,990 characters
+    nodes = shred_documents(parse_documents(docs), ["file"])
+    tables = infer.infer_document_paths(nodes, ["file"], tasks)
+    assert tables.rdd.getNumPartitions() == 20
+    plain = infer.infer_document_paths(nodes, ["file"])
+    assert sorted(map(str, tables.collect())) == sorted(map(str, plain.collect()))
+    assert propose.propose_offline(docs, ["file"]).rdd.getNumPartitions() == 20
