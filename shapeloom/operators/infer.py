@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.functions.json_text import parse_structure, reject_reason, strip_bom, with_computed
 from shapeloom.functions.paths import is_item, is_member, parent_of
-from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents, with_text
+from shapeloom.operators.shred import DEFAULT_LEVELS, parse_documents, shred_documents
 from shapeloom.session import cut, small_side
 from shapeloom.sources.structure import counted, structure_counts
 from shapeloom.sources.texts import not_blank, text_lines
@@ -208,8 +208,9 @@ def file_schemas(
     )
     # A line of its own that is too large is scanned, too.
     by_lines = "broken = 0 and not (lines = 1 and rejected = 1)"
-    by_line = parsed.join(small_side(tried.filter(by_lines).select("file")), "file", "left_semi")
-    read = with_text(by_line.filter(F.col("v").isNotNull()), F.col("text"))
+    # Only the lines of files that count by their lines are parsed once more.
+    by_line = lines.join(small_side(tried.filter(by_lines).select("file")), "file", "left_semi")
+    read = parse_documents(by_line, F.col("text"))
     counts = path_counts(shred_documents(read, keys, levels), keys)
 
     second = tried.filter(f"not ({by_lines})")

@@ -28,11 +28,7 @@ def parse_documents(docs: DataFrame, text: Column | None = None) -> DataFrame:
     are cut down.
     """
     text = F.col("json") if text is None else text
-    return with_text(with_computed(docs, "v", parse_structure(text)).filter(F.col("v").isNotNull()), text)
-
-
-def with_text(parsed: DataFrame, text: Column) -> DataFrame:
-    """Carry the text along with the value ``v`` that was parsed of it."""
+    parsed = with_computed(docs, "v", parse_structure(text)).filter(F.col("v").isNotNull())
     return parsed.withColumn(TEXT, F.make_valid_utf8(text))
 
 
