@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shapeloom.functions.json_text import (
     brace_slice,
@@ -14,6 +19,7 @@ from shapeloom.functions.json_text import (
     with_computed,
 )
 from shapeloom.functions.paths import STEP_SQL, member_step_sql
+from shapeloom.operators.shred import TEXT
 from shapeloom.session import small_side
 
 # Levels of properties opened row by row. What lies deeper is walked inside its row.
@@ -230,18 +236,20 @@ def _all_below(mode: str) -> str:
         s -> s.done)"""
 
 
+# The votes of a ``type`` that is a list.
+_LISTED_VOTES = """transform(
+        filter(try_variant_get(type, '$', 'array<variant>'), t -> not is_variant_null(t)),
+        t -> case schema_of_variant(t)
+             when 'BOOLEAN' then initcap(cast(t as string))
+             when 'STRING' then cast(t as string)
+             else to_json(t) end)"""
 # The votes a node casts; none when its ``type`` has no usable form.
 _VOTES = f"""case
     when forced and {_is_schema_like('type')} then array('null')
     when forced then array('object')
     when type_form in ('absent', 'null') then array('null')
     when type_form = 'string' then array(cast(type as string))
-    when type_form = 'array' then transform(
-        filter(try_variant_get(type, '$', 'array<variant>'), t -> not is_variant_null(t)),
-        t -> case schema_of_variant(t)
-             when 'BOOLEAN' then initcap(cast(t as string))
-             when 'STRING' then cast(t as string)
-             else to_json(t) end)
+    when type_form = 'array' then {_LISTED_VOTES}
     else cast(array() as array<string>) end"""
 
 
@@ -298,16 +306,179 @@ def rejected_files(
     return schema_tree(suspects, keys, mode, levels).filter("bad").select(*keys).distinct()
 
 
-def accepted_files(
-    parsed: DataFrame,
+class _Number(str):
+    """A number as the text writes it; it goes back to a text as it is."""
+
+
+def _form(value: object) -> str:
+    """What JSON Schema calls the type of a parsed value, as ``kind_sql`` does."""
+    if type(value) is _Number:
+        whole = value.lstrip("-").isdigit() and len(value.lstrip("-")) <= 38
+        return "integer" if whole else "number"
+    return {dict: "object", list: "array", str: "string", bool: "boolean"}.get(type(value), "null")
+
+
+def _valid(text: str) -> str:
+    """Halves of pairs as question marks, as the engine writes them."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def _written(value: object) -> str:
+    """A parsed value as JSON text, its numbers as they were."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if type(x) is _Number:
+            out.append(x)
+        elif isinstance(x, (dict, list)):
+            named = isinstance(x, dict)
+            parts = [_Number("{" if named else "[")]
+            for i, item in enumerate(x.items() if named else x):
+                head = "," if i else ""
+                parts += [_Number(f"{head}{json.dumps(item[0])}:"), item[1]] if named else [_Number(head), item]
+            todo += reversed([*parts, _Number("}" if named else "]")])
+        else:
+            out.append(json.dumps(x))
+    return "".join(out)
+
+
+def _like_schema(value: object) -> bool:
+    return type(value) is dict and "type" in value
+
+
+def _counted(text: str, exempt: frozenset[str]) -> tuple[list[tuple], bool]:
+    """The nodes of one schema that are counted, the root first, and whether they can be.
+
+    A node is its path, whether it is required, its votes, the form of its ``type``, and that ``type``
+    as text if it lists what the engine has to spell. The rules are those of ``_settle``.
+    """
+    nodes, bad = [], False
+    front = [("", False, json.loads(text, parse_int=_Number, parse_float=_Number))]
+    while front:
+        inside = []
+        for path, is_required, node in front:
+            own = node if type(node) is dict else {}
+            kind, properties, listed = own.get("type"), own.get("properties"), own.get("required")
+            has = type(properties) is dict
+            movable = {} if has else {k: x for k, x in own.items() if _like_schema(x) and k not in exempt}
+            forced = bool(movable) and (
+                (type(kind) is str and kind == "object") or any(k in own and k not in movable for k in MARKER_KEYWORDS)
+            )
+            form, spelt = _form(kind) if "type" in own else "absent", None
+            if forced:
+                votes = ["null"] if _like_schema(kind) else ["object"]
+            elif kind is None:
+                votes = ["null"]
+            elif form == "string":
+                votes = [_valid(kind)]
+            elif form == "array":
+                votes = [str(t) if type(t) is bool else _valid(t) for t in kind if type(t) in (bool, str)]
+                if any(type(t) not in (bool, str, type(None)) for t in kind):
+                    spelt = _written(kind)
+            else:
+                votes = []
+            nodes.append((path, is_required, votes, form, spelt))
+            if not path:
+                visited = True
+            elif forced:
+                visited = not _like_schema(kind)
+            else:
+                visited = "properties" in own and (
+                    (form == "string" and kind == "object") or (form == "array" and any(type(t) is str and t == "object" for t in kind))
+                )
+            if not visited:
+                continue
+            named = listed if type(listed) is list else []
+            bad = bad or (
+                type(node) is not dict
+                or (not has and not forced and "properties" in own)
+                or any(type(r) in (dict, list) for r in named)
+            )
+            names = {_valid(r) for r in named if type(r) is str}
+            for key, x in (properties if has else movable if forced else {}).items():
+                if type(x) is dict:
+                    key = _valid(key)
+                    step = key.replace("~", "~0").replace(".", "~1").replace("[", "~2")
+                    inside.append((f"{path}.{step}", key in names, x))
+        front = inside
+    return nodes, bad
+
+
+# Nodes of one batch, roughly.
+_BATCH_NODES = 50_000
+
+
+def counted_nodes(texts: DataFrame, keys: list[str], mode: str = "reference") -> DataFrame:
+    """The nodes the merge counts, roots included, of schemas that have their text in ``__text``.
+
+    Each text is walked once, batch by batch, and knows by then whether its votes can be counted: if
+    not, it gives no rows, unless one of its keys is null. These are the ``voted`` nodes of
+    ``schema_tree``: keys, ``path, is_required, type_form, types``.
+    """
+    if mode not in ("reference", "strict"):
+        raise ValueError(f"unknown repair mode {mode!r}")
+    exempt = frozenset(["required", *(SCHEMA_KEYWORDS if mode == "strict" else [])])
+    node = T.StructType.fromDDL("path string, is_required boolean, types array<string>, type_form string, spelt string")
+    kinds = [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.string()]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unnamed = {row for c in batch.columns[:-1] if c.null_count for row, x in enumerate(c.is_null().to_pylist()) if x}
+            rows, nodes = [], []
+
+            def done() -> pa.RecordBatch:
+                own = [column.take(pa.array(rows, pa.int32())) for column in batch.columns[:-1]]
+                told = [pa.array(values, kind) for values, kind in zip(zip(*nodes), kinds)]
+                return pa.RecordBatch.from_arrays([*own, *told], names=[*keys, *node.names])
+
+            for row, text in enumerate(batch.columns[-1].to_pylist()):
+                counted, bad = _counted(text, exempt)
+                if not bad or row in unnamed:
+                    nodes += counted
+                    rows += [row] * len(counted)
+                if len(rows) >= _BATCH_NODES:
+                    yield done()
+                    rows, nodes = [], []
+            if rows:
+                yield done()
+
+    carried = texts.select(*[F.col(f"`{k}`") for k in keys], TEXT)
+    walked = carried.mapInArrow(walk, T.StructType([*carried.schema.fields[:-1], *node.fields]))
+    votes = f"case when spelt is null then types else {_LISTED_VOTES} end as types"
+    own = walked.withColumn("type", parse_strict(F.col("spelt")))
+    return own.selectExpr(*[f"`{k}`" for k in keys], "path", "is_required", "type_form", votes)
+
+
+def _given_twice(schemas: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Rows whose keys more than one row has, and by chance a few others; None if there are none.
+
+    Only the keys are read for it, and shuffled as a number each.
+    """
+    named = schemas.dropna(subset=keys)
+    number = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    counts = named.groupBy(number.alias("__number")).agg(F.count(F.lit(1)).alias("rows"))
+    twice = small_side(counts.filter("rows > 1").select("__number"))
+    if twice.isEmpty():
+        return None
+    return named.withColumn("__number", number).join(twice, "__number", "left_semi").drop("__number")
+
+
+def accepted_texts(
+    schemas: DataFrame,
     keys: list[str],
     mode: str = "reference",
     levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
-    """Parsed schema files without the failed and the rejected ones: a file counts whole or not."""
-    readable = parsed.filter(F.col("v").isNotNull())
-    rejected = small_side(rejected_files(parsed, keys, mode, levels))
-    return readable.join(rejected, keys, "left_anti")
+    """Schema texts that can be read, as ``__text``, for ``counted_nodes``, which leaves out those
+    that are rejected. A file counts whole or not, also if it comes as several rows: only those are
+    looked at beforehand."""
+    several = _given_twice(schemas, keys)
+    if several is not None:
+        rejected = rejected_files(repair_schema_text(several), keys, mode, levels)
+        schemas = schemas.join(small_side(rejected), keys, "left_anti")
+    text = F.when(F.col("status") == "ok", strip_bom(F.col("text"))).otherwise(brace_slice(F.col("text")))
+    readable = repair_schema_text(schemas).filter(F.col("v").isNotNull())
+    return readable.withColumn(TEXT, F.make_valid_utf8(text)).drop("v")
 
 
 def repair_required(

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from shapeloom.functions.paths import ancestors_of, parent_of
 from shapeloom.operators.repair import (
     DEFAULT_LEVELS,
-    accepted_files,
-    repair_schema_text,
-    schema_tree,
+    accepted_texts,
+    counted_nodes,
 )
 from shapeloom.session import cut
 
@@ -30,12 +29,9 @@ def schema_nodes(
     ``with_root`` adds the root of each file, path ''.
     """
     keys = ["dataset", "file"]
-    accepted = accepted_files(repair_schema_text(schemas), keys, mode, levels)
-    return (
-        schema_tree(accepted, keys, mode, levels)
-        .filter("voted" if with_root else "voted and depth > 1")
-        .select(*keys, "path", "types", "type_form", "is_required")
-    )
+    nodes = counted_nodes(accepted_texts(schemas, keys, mode, levels), keys, mode)
+    columns = nodes.select(*keys, "path", "types", "type_form", "is_required")
+    return columns if with_root else columns.filter(F.col("path") != "")
 
 
 def path_stats(nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 from helpers import schemas
 from pyspark.sql import functions as F
 
+from shapeloom import session
 from shapeloom.operators import repair, vote
 from shapeloom.operators.render import render_master
 
@@ -267,3 +268,75 @@ def test_schemas_of_any_depth_are_walked_fully(spark):
     got = sorted((r.dataset, r.path, r.is_required, tuple(r.types)) for r in nodes.collect())
     deep = [("deep", ".k" * k, True, ("object" if k < 20 else "string",)) for k in range(1, 21)]
     assert got == sorted([*deep, ("flat", ".c", False, ("string",))])
+
+
+# Values of ``type`` that the engine has to spell, keep out or cut to a form, as JSON text.
+ODD_TYPES = """null 5 -0 1.0 1.50 12345678901234567890 12345678901234567890.0 1e400 true {} {"type":1} [] [null] [null,"object"]
+["object",{"a":1}] [["object"]] [1,2.50,"x",true,false,1e3,-0,100.0] [12345678901234567890.0,0.12345678901234567890123456]
+[{"b":[1.0,{"z":null,"a":"\\u00e9\\ud800"}],"a":[]},[]] "\\ud800" "\\u00e9" ["\\ud83d\\ude00","\\udc00"] "object" ["object","null"]
+"string" ["\\u006fbject"] "Object" 123456789012345678901234567890123456789""".split()
+
+
+def odd_schema(rng, depth=0):
+    """A schema as text, with repeated and strange names, and anything where something is expected."""
+    names = ["a", "b.c", "d[", "~", "", "é", "\\ud800", "items", "type", "title", "default", "required", "properties"]
+    parts = []
+    if rng.random() < 0.8:
+        parts.append('"type":' + rng.choice([*ODD_TYPES, *['"object"'] * 25]))
+    if depth < 4:
+        if rng.random() < 0.7:
+            members = [f'"{n}":{odd_schema(rng, depth + 1)}' for n in rng.choices(names, k=rng.choice([0, 1, 2, 4]))]
+            parts.append('"properties":' + rng.choice(["{" + ", ".join(members) + "}"] * 40 + ["[1]", "null", "3", '{"~":"x"}', '"\\u007b"']))
+        parts += [f'"{n}":{odd_schema(rng, depth + 1)}' for n in rng.choices(names, k=rng.choice([0, 0, 1, 2]))]
+    if rng.random() < 0.5:
+        lists = ['["a","?","\\ud800"]', '["b.c",3,null]', "true", "null", "[]", '"a"', '["~",""]', '["é","type","items"]']
+        parts.append('"required":' + rng.choice(lists * 8 + ['[{"x":1}]', '["a",["b"]]', '{"a":[[]]}']))
+    if rng.random() < 0.2:
+        parts.append('"description":' + rng.choice(['"d"', "null", '{"type":"x"}']))
+    rng.shuffle(parts)
+    return rng.choice(["{}", "{}", "[{}]", "3", "true"]) if depth and rng.random() < 0.1 else "{" + ",".join(parts) + "}"
+
+
+def odd_files(spark, n):
+    """Files with keys that are null or come several times, some of them unreadable."""
+    rng = random.Random(11)
+    around = ["{}"] * 9 + ["Here: {} .", "﻿{}", "[{}]", "{}}}", '"{}']
+    rows = [
+        (rng.choice(["x", "y", None]), rng.choice([f"f{i}", f"f{i}", f"f{i % 50}", None]), rng.choice(around).replace("{}", odd_schema(rng)))
+        for i in range(n)
+    ]
+    return spark.createDataFrame([*rows, ("x", "none", None), ("x", "null", "null"), (None, "list", "[1]")], "dataset string, file string, text string")
+
+
+def test_counted_nodes_are_the_voted_ones_of_the_tree(spark):
+    files, keys = odd_files(spark, 1500).cache(), ["dataset", "file"]
+    parsed = repair.repair_schema_text(files)
+    for mode in ("reference", "strict"):
+        rejected = repair.rejected_files(parsed, keys, mode)
+        tree = repair.schema_tree(parsed, keys, mode).filter("voted").join(rejected, keys, "left_anti")
+        nodes = vote.schema_nodes(files, mode, with_root=True)
+        want, got = (sorted(map(str, x.select(nodes.columns).collect())) for x in (tree, nodes))
+        assert len(got) > 1500 and rejected.count() > 50
+        assert got == want
+
+
+def test_files_are_read_once_and_not_shuffled_however_many_are_rejected(spark, monkeypatch):
+    monkeypatch.setattr(session, "SMALL_SIDE_ROWS", 2)
+    good, bad = with_p({"type": "string"}), json.dumps({"type": "object", "properties": [1]})
+    texts, read = schemas(spark, {"d": [good, bad] * 20}), spark.sparkContext.accumulator(0)
+
+    def seen(text: str) -> str:
+        read.add(1)
+        return text
+
+    nodes = vote.schema_nodes(texts.withColumn("text", F.udf(seen)("text")))
+    assert "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+    assert [r.path for r in nodes.collect()] == [".p"] * 20
+    assert read.value == 40
+
+
+def test_a_rejected_file_takes_its_other_rows_along(spark):
+    good, bad = with_p({"type": "string"}), json.dumps({"type": "object", "properties": [1]})
+    rows = [("d", "1", good), ("d", "1", bad), ("d", "2", good), ("d", "2", good), ("d", None, good), ("d", None, bad), ("d", "3", bad)]
+    nodes = vote.schema_nodes(spark.createDataFrame(rows, "dataset string, file string, text string"))
+    assert sorted((r.file or "", r.path) for r in nodes.collect()) == [("", ".p"), ("2", ".p"), ("2", ".p")]
